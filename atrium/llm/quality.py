@@ -15,13 +15,21 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 TRAIN_PER_CLASS = 1_500
 EPOCHS = 6
+#: Each kind's average counts this many features of no weight, so short texts stay near the prior.
+CALM = 30
 GRAMS = (3, 4, 5)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
-    """(bucket, document) of each word and each n-gram of bytes, kind by kind; case is kept."""
+    """Buckets kind by kind, with the place where each document's begin: words, whether a word repeats the
+    one before it, and n-grams of bytes; case is kept."""
     starts, ends, first = kernel.words(data, offsets)
-    yield (kernel.span_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int32), first
+    h = kernel.span_hashes(data, starts, ends)
+    yield (h % np.uint64(BUCKETS)).astype(np.int32), first
+    again = np.zeros(len(h), np.uint64)
+    again[1:] = h[1:] == h[:-1]
+    again[first[:-1][first[:-1] < len(h)]] = 2
+    yield (kernel.mix(again + np.uint64(11)) % np.uint64(BUCKETS)).astype(np.int32), first
     wide = data.astype(np.uint64) + np.uint64(1)
     for n in GRAMS:
         if len(data) < n:
@@ -29,7 +37,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
         h = wide[: len(data) - n + 1].copy()
         for k in range(1, n):
             h = h * np.uint64(0x100000001B3) + wide[k : len(data) - n + 1 + k]
-        bucket = (kernel.mix(h + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS)).astype(np.int32)
+        bucket = (kernel.mix(h + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(BUCKETS)).astype(np.int32)
         # An n-gram that reaches into the next document belongs to none: it goes to bucket -1.
         inside = np.ones(len(bucket), bool)
         for k in range(1, n):
@@ -45,9 +53,13 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7) ->
     docs = []
     for text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
-        found = np.concatenate([b for b, _ in _features(data, np.array([0, len(data)]))] or [np.empty(0, np.int32)])
-        ids, counts = np.unique(found[found >= 0], return_counts=True)
-        docs.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        ids, share = [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+        for found, _ in _features(data, np.array([0, len(data)])):
+            kind, counts = np.unique(found[found >= 0], return_counts=True)
+            ids.append(kind)
+            share.append((counts / (counts.sum() + CALM)).astype(np.float32))
+        ids, where = np.unique(np.concatenate(ids), return_inverse=True)
+        docs.append((ids, np.bincount(where, weights=np.concatenate(share), minlength=len(ids)).astype(np.float32)))
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, 2), np.float32)
     bias = np.zeros(2, np.float32)
@@ -55,7 +67,7 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7) ->
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             ids, share = docs[i]
-            rate = 0.5 * (1 - at / steps)
+            rate = 0.1 * (1 - at / steps)
             at += 1
             mean = share @ table[ids]
             z = mean @ out + bias
@@ -65,8 +77,8 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7) ->
             back = out @ p
             out -= rate * np.outer(mean, p)
             bias -= rate * p
-            # Shares are small; the rate of a row is set against the largest.
-            table[ids] -= (rate * 4) * (share / share.max() if len(share) else share)[:, None] * back[None, :]
+            # Most shares are tiny, so rows learn at a higher rate, up to a bound.
+            table[ids] -= (rate * 2) * np.minimum(share * 20, 1)[:, None] * back[None, :]
     # The score needs of a row only its part along the difference of the classes.
     return {"weights": (table @ (out[:, 1] - out[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
 
@@ -74,8 +86,9 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7) ->
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Trains on a bounded sample: at most ``per_class`` labelled rows of each class, chosen by a hash of the id.
 
-    One task trains with numpy; only the model comes back. Without two classes the
-    model gives every text the share of ones among the labels (0.5 without labels).
+    One task trains with numpy; only the model comes back. The classes are sampled
+    alike, so the log odds of all labels are added to the bias. Without two classes
+    the model gives every text the share of ones among the labels (0.5 without labels).
     """
     spark = docs.sparkSession
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("y"))
@@ -94,15 +107,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     got = texts.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(got[0]["model"])) if got else {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0}
+    model = pickle.loads(bytes(got[0]["model"])) if got else {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0}
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(sizes) == 2:
+        model["bias"] += float(np.log(sizes[1] / sizes[0]) - np.log(min(sizes[1], per_class) / min(sizes[0], per_class)))
+    return model
 
 
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): the probability of label 1 for each whole text.
 
-    A document is the average of the vectors of its words and of its 3- to
-    5-grams (of UTF-8 bytes, case kept), all hashed to 65,536 rows; softmax of a
-    linear layer gives the score. Null and empty texts have no features and get
+    A document is the sum of the averages of the vectors of its words, of marks that
+    tell a word repeated at once from another, and of its 3- to 5-grams (of UTF-8
+    bytes, case kept), all hashed to 65,536 rows; softmax of a linear layer gives the score. Null and empty texts have no features and get
     the score of the bias alone. Every row gives one row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -114,13 +131,12 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
             data, offsets = kernel.buffers(batch.column(1))
             out = np.zeros(batch.num_rows)
             for a, b in kernel.chunks(offsets):
-                total, count = np.zeros(b - a), np.zeros(b - a)
+                total = np.zeros(b - a)
                 for bucket, first in _features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     sums = np.concatenate(([0.0], np.cumsum(weights[bucket], dtype=np.float64)))
                     held = np.concatenate(([0], np.cumsum(bucket >= 0)))
-                    total += sums[first[1:]] - sums[first[:-1]]
-                    count += held[first[1:]] - held[first[:-1]]
-                out[a:b] = total / np.maximum(count, 1)
+                    total += (sums[first[1:]] - sums[first[:-1]]) / (held[first[1:]] - held[first[:-1]] + CALM)
+                out[a:b] = total
             score = 1 / (1 + np.exp(-np.clip(out + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [id_col, "score"])
 
