@@ -56,26 +56,34 @@ def _in_global_order(h: np.ndarray, bounds: np.ndarray, frequency: np.ndarray) -
     return h[order], f[order]
 
 
-def _prefixes(n: int, percent: int, frequency):
-    """Rows (token, node, size, most) for the prefix of each set in the global order.
+def _prefixes(n: int, percent: int, frequency, hot: int):
+    """Rows (token, salt, node, size, most) for the prefix of each set in the global order.
 
     ``most`` is the largest partner a link through this position can have: what
     follows the position must hold the whole overlap. The set also serves as the
-    smaller partner there if ``most >= size``.
+    smaller partner there if ``most >= size``. A task gives each set once. Tokens
+    that may be frequent get a salt from 1; for all others, with salt 0, the
+    bucket's count bounds how many rows can meet.
     """
 
     def run(batches):
-        f = frequency.value
+        f, seen = frequency.value, set()
         for _, h, bounds in _sets(batches, n):
             size = np.diff(bounds)
             node = _fingerprints(h, bounds)
-            h, _ = _in_global_order(h, bounds, f)
-            take = np.where(size > 0, size + (-percent * size // 100) + 1, 0)
+            h, freq = _in_global_order(h, bounds, f)
+            fresh = np.zeros(len(node), bool)
+            for i, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            take = np.where((size > 0) & fresh, size + (-percent * size // 100) + 1, 0)
             own = np.repeat(np.arange(len(size)), take)
             position = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-            token = h[bounds[:-1][own] + position].view(np.int64)
+            at = bounds[:-1][own] + position
+            salt = np.where(freq[at] >= hot, 1 + (node[own] & 15), 0)
             most = (size[own] - position) * (100 + percent) // percent - size[own]
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node[own]), pa.array(size[own].astype(np.int32)), pa.array(most.astype(np.int32))], ["token", "node", "size", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node[own]), pa.array(size[own].astype(np.int32)), pa.array(most.astype(np.int32))], ["token", "salt", "node", "size", "most"])
 
     return run
 
@@ -135,9 +143,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(frequency)
     members = profile.where("bucket is null")
 
-    postings = materialize(rows.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, node long, size int, most int"), "postings")
-    shared_tokens = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max(F.col("most") - F.col("size")).alias("room")).where("x <> y and room >= 0").select("token")
-    met = postings.join(shared_tokens, "token", "left_semi").groupBy("token", "node").agg(F.min("size").alias("size"), F.max("most").alias("most"))
+    hot = max(4096, 16 * int(frequency.mean()))
+    postings = rows.select("text").mapInArrow(_prefixes(n, percent, shared, hot), "token long, salt int, node long, size int, most int")
+    here = Window.partitionBy("token", "salt")
+    met = postings.withColumn("x", F.min("node").over(here)).withColumn("y", F.max("node").over(here)).withColumn("room", F.max(F.col("most") - F.col("size")).over(here))
+    met = met.where("salt > 0 or (x <> y and room >= 0)").groupBy("token", "node").agg(F.min("size").alias("size"), F.max("most").alias("most"))
     log = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / float(np.log(BAND))).cast("int")
     low = log(F.ceil(F.col("size") * percent / 100))
     met = met.withColumn("band", F.explode(F.sequence(low, F.greatest(low, log(F.least("size", "most"))))))
@@ -171,8 +181,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             first = materialize(first.distinct(), "wanted")
             texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
             cut = texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>")
-            segments = materialize(cut.dropDuplicates(["node", "fragment"]), "segments")
-        found = _linked(pairs, segments, percent)
+            segments = materialize(cut, "segments")
+        found = _linked(pairs, segments, percent, len(cuts) + 1)
         if labels is not None:
             found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(found)
@@ -190,10 +200,12 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataF
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs that reach the similarity: overlaps per fragment, summed per pair."""
     a, b = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
-    parts = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "both", F.size(F.array_intersect("sa", "sb")).alias("part"))
+    parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).join(a, ["a", "fragment"]).join(b, ["b", "fragment"])
+    # A set may have been cut more than once; each of its fragments counts once.
+    parts = parts.select("a", "b", "both", "fragment", F.size(F.array_intersect("sa", "sb")).alias("part")).groupBy("a", "b", "both", "fragment").agg(F.max("part").alias("part"))
     sums = parts.groupBy("a", "b", "both").agg(F.sum("part").alias("overlap"))
     return sums.where(F.col("overlap") * 100 >= (F.col("both") - F.col("overlap")) * percent).select("a", "b")
 
