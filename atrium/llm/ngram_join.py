@@ -13,6 +13,8 @@ from . import kernel
 from .common import components, keep_slots, materialize, salted_left_join
 
 FRAGMENTS = 8
+#: Shingles are counted in 2^18 buckets; more (up to 2^24) keep the order sharp on very large corpora.
+ORDER_BITS = 18
 BAND = 1.04
 FIRST_PIVOTS = 4
 
@@ -105,13 +107,13 @@ def _segments(n: int, cuts: np.ndarray, frequency):
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, fragments: int = FRAGMENTS, order_bits: int = ORDER_BITS) -> DataFrame:
     """Components of documents whose n-word shingle sets have Jaccard similarity >= percent/100.
 
     Returns one row per input row: (id, n_shingles, component_id), the component
     named by its least id.
 
-    Equal sets are one node. All shingles are counted (in up to 2^24 hash buckets,
+    Equal sets are one node. All shingles are counted (in 2^order_bits hash buckets,
     a bounded table), which fixes one global order from rare to frequent. A link
     needs a common shingle in the sets' prefixes of that order, at positions that
     leave room for the overlap; such postings meet by (shingle, size band). In
@@ -132,8 +134,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = rows.count()
-    bits = min(24, max(16, int(total).bit_length()))
+    bits = order_bits
     profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, size long, node long, bucket int"), "profile")
     frequency = np.zeros(1 << bits, np.int64)
     counted = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).toPandas()
@@ -202,6 +203,8 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataF
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs that reach the similarity: overlaps per fragment, summed per pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    segments = segments.join(ends, "node", "left_semi")
     a, b = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
     parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).join(a, ["a", "fragment"]).join(b, ["b", "fragment"])
     # A set may have been cut more than once; each of its fragments counts once.
