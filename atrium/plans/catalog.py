@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-
+from atrium.plans import annotation, coverage, network, placement, raster, simulation
+from atrium.plans.query import Query
 
 QUERIES: dict[str, Query] = {}
+for module in (coverage, network, placement, simulation, annotation, raster):
+    QUERIES |= module.QUERIES

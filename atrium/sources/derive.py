@@ -30,7 +30,7 @@ RULES: dict[str, str] = {
                p_partkey % 13 <> 0 AS accessible, CASE WHEN p_partkey % 17 = 0 THEN 'forward' ELSE 'both' END AS direction
         FROM {part} WHERE p_partkey % 20 < 19 AND (p_partkey * 13 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4
         UNION ALL
-        SELECT p_partkey * 2 + 1 AS edge_id, p_partkey AS source, p_partkey + 20 AS target, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
+        SELECT p_partkey * 2 + 1 AS edge_id, p_partkey AS source, p_partkey + CASE WHEN p_partkey % 400 = 399 THEN 1000000 ELSE 20 END AS target, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
                CAST(5.5 AS double) AS distance, p_partkey % 13 <> 0 AS accessible, CASE WHEN p_partkey % 17 = 0 THEN 'forward' ELSE 'both' END AS direction
         FROM {part} WHERE (p_partkey % 400 < 380 OR p_partkey % 400 = 399) AND (p_partkey * 13 + 5 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4""",
     "beacon": """
