@@ -1 +1,142 @@
-QUERIES: dict = {}
+"""Polygons, labels and their checks; export rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from atrium.functions import geometry as G
+from atrium.plans.query import Query
+from atrium.sources.derive import base, derived, with_sql
+
+# Keywords in the order they are tried.
+KEYWORDS = [("steel", "Metal"), ("copper", "Metal"), ("brass", "Metal"), ("economy", "Budget"), ("promo", "Budget"), ("large", "Large")]
+
+
+def boxes(spark, d) -> DataFrame:
+    """Restricted boxes as rings, every third one clockwise."""
+    r = derived(spark, d, "restricted")
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
+    return r.withColumn("ring", F.when(F.col("rect_id") % 3 == 0, F.reverse(ring)).otherwise(ring))
+
+
+def polygon_measurements(spark, d) -> DataFrame:
+    b = boxes(spark, d)
+    return b.select("rect_id", F.round(F.abs(G.ring_area(F.col("ring"))), 6).alias("area"), F.round(G.perimeter(F.col("ring")), 6).alias("perimeter"))
+
+
+def ring_orientation(spark, d) -> DataFrame:
+    return boxes(spark, d).select("rect_id", F.when(G.ring_area(F.col("ring")) > 0, "ccw").otherwise("cw").alias("orientation"))
+
+
+def ring_self_intersections(spark, d) -> DataFrame:
+    """Rings of four points taken from neighbouring beacons: do the first and third, or second and fourth, sides cross?"""
+    b = derived(spark, d, "beacon")
+    p = b.groupBy(F.floor(F.col("beacon_id") / 4).alias("ring_id")).agg(F.array_sort(F.collect_list(F.struct("beacon_id", "x", "y"))).alias("p")).where("size(p) = 4")
+    turn = lambda a, q, c: (F.col("p")[q]["x"] - F.col("p")[a]["x"]) * (F.col("p")[c]["y"] - F.col("p")[a]["y"]) - (F.col("p")[q]["y"] - F.col("p")[a]["y"]) * (F.col("p")[c]["x"] - F.col("p")[a]["x"])
+    cross = lambda a, b_, c, e: (turn(a, b_, c) * turn(a, b_, e) < 0) & (turn(c, e, a) * turn(c, e, b_) < 0)
+    return p.select("ring_id", (cross(0, 1, 2, 3) | cross(1, 2, 3, 0)).alias("crosses"))
+
+
+def geo_projection(spark, d) -> DataFrame:
+    lon, lat = G.local_to_lonlat(F.col("x"), F.col("y"), 77.09, 28.49)
+    return derived(spark, d, "node").select("node_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+def similarity_fit(spark, d) -> DataFrame:
+    """u = a*x - b*y + tx, v = b*x + a*y + ty by least squares, per floor, with the largest residual."""
+    p = derived(spark, d, "beacon").withColumn("u", 2 * F.col("x") - 0.5 * F.col("y") + 7 + (F.col("beacon_id") % 3) * 0.01).withColumn("v", 0.5 * F.col("x") + 2 * F.col("y") - 3)
+    m = p.groupBy("floor_id").agg(*[F.avg(c).alias(f"m{c}") for c in ("x", "y", "u", "v")])
+    q = p.join(m, "floor_id")  # one row per floor
+    dx, dy, du, dv = (F.col(c) - F.col(f"m{c}") for c in ("x", "y", "u", "v"))
+    s = q.groupBy("floor_id").agg(F.sum(dx * du + dy * dv).alias("sa"), F.sum(dx * dv - dy * du).alias("sb"), F.sum(dx * dx + dy * dy).alias("ss"))
+    fit = s.select("floor_id", (F.col("sa") / F.col("ss")).alias("a"), (F.col("sb") / F.col("ss")).alias("b"))
+    r = q.join(fit, "floor_id").withColumn("ru", du - F.col("a") * dx + F.col("b") * dy).withColumn("rv", dv - F.col("b") * dx - F.col("a") * dy)
+    return r.groupBy("floor_id").agg(F.round(F.max("a"), 6).alias("a"), F.round(F.max("b"), 6).alias("b"), F.round(F.max(F.sqrt(F.col("ru") * F.col("ru") + F.col("rv") * F.col("rv"))), 4).alias("max_residual"))
+
+
+def name_validity(spark, d) -> DataFrame:
+    p = base(spark, d, "part").select("p_partkey", F.trim("p_name").alias("name"))
+    letters = F.length(F.regexp_replace("name", "[^A-Za-z]", ""))
+    w = Window.partitionBy(F.lower("name"))
+    repeated = F.count(F.lit(1)).over(w) > 5
+    return p.select("p_partkey", ((F.length("name") > 2) & (letters > 0.65 * F.length("name")) & ~repeated).alias("valid"))
+
+
+def category_by_keyword(spark, d) -> DataFrame:
+    low = F.lower("p_type")
+    kind = F.coalesce(*[F.when(low.contains(k), v) for k, v in KEYWORDS], F.lit("Other"))
+    return base(spark, d, "part").select("p_partkey", kind.alias("category"))
+
+
+def annotation_stats(spark, d) -> DataFrame:
+    n = derived(spark, d, "node")
+    return n.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("x", 0.5), 6).alias("median_x"), F.count_distinct("floor_id").alias("floors"))
+
+
+def annotation_rule_violations(spark, d) -> DataFrame:
+    """One row per broken rule: clockwise ring, tiny area, outside the floor."""
+    b = boxes(spark, d)
+    cw = b.where(G.ring_area(F.col("ring")) < 0).select(F.lit("ring-orientation").alias("rule"), F.col("rect_id").alias("id"))
+    out = b.where("x1 > 104 or y1 > 104").select(F.lit("outside-boundary").alias("rule"), F.col("rect_id").alias("id"))
+    c = Window.partitionBy("floor_id", "x0", "y0")
+    twice = b.withColumn("n", F.count(F.lit(1)).over(c)).where("n > 1").select(F.lit("duplicate-shape").alias("rule"), F.col("rect_id").alias("id"))
+    return cw.unionByName(out).unionByName(twice)
+
+
+def type_confusion(spark, d) -> DataFrame:
+    n = derived(spark, d, "node").select("node_id", "node_type")
+    other = n.select((F.col("node_id") - 1).alias("node_id"), F.col("node_type").alias("predicted"))
+    return n.join(other, "node_id").groupBy("node_type", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_flatten(spark, d) -> DataFrame:
+    """Turns as lines, lines as words: one label per line with its words of letters, joined again."""
+    c = base(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    words = F.filter(F.split("line", " "), lambda w: w.rlike("[A-Za-z]"))
+    return c.select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.concat_ws(" ", words).alias("label")).where("label <> ''")
+
+
+def sequential_names(spark, d) -> DataFrame:
+    w = Window.partitionBy("floor_id", "kind").orderBy("poi_id")
+    n = F.row_number().over(w)
+    padded = F.when(n >= 1000, n.cast("string")).otherwise(F.lpad(n.cast("string"), 3, "0"))
+    return derived(spark, d, "poi").select("poi_id", F.concat("kind", F.lit(" "), padded).alias("label"))
+
+
+def floor_geojson(spark, d) -> DataFrame:
+    """Boxes as GeoJSON features: outer rings counter-clockwise and closed."""
+    ring = F.when(G.ring_area(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring"))
+    b = boxes(spark, d).withColumn("ring", ring)
+    text = F.array_join(F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.format_string("[%.2f,%.2f]", p["x"], p["y"])), ",")
+    return b.select("rect_id", F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("rect_id").cast("string"), F.lit('},"geometry":{"type":"Polygon","coordinates":[['), text, F.lit("]]}}")).alias("feature"))
+
+
+QUERIES = {
+    "polygon_measurements": Query(polygon_measurements, with_sql("SELECT rect_id, round((x1-x0)*(y1-y0), 6) AS area, round(2*((x1-x0)+(y1-y0)), 6) AS perimeter FROM restricted", "restricted")),
+    "ring_orientation": Query(ring_orientation, with_sql("SELECT rect_id, CASE WHEN rect_id % 3 = 0 THEN 'cw' ELSE 'ccw' END AS orientation FROM restricted", "restricted")),
+    "ring_self_intersections": Query(ring_self_intersections, with_sql("""+r AS (SELECT CAST(floor(beacon_id / 4) AS bigint) AS ring_id, list(struct_pack(x := x, y := y) ORDER BY beacon_id) AS p FROM beacon GROUP BY 1 HAVING count(*) = 4),
+        t AS (SELECT ring_id, p[1].x AS ax, p[1].y AS ay, p[2].x AS bx, p[2].y AS by_, p[3].x AS cx, p[3].y AS cy, p[4].x AS dx, p[4].y AS dy FROM r),
+        o AS (SELECT ring_id, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS abc, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS abd, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS cda, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS cdb,
+                     (cx-bx)*(dy-by_)-(cy-by_)*(dx-bx) AS bcd, (cx-bx)*(ay-by_)-(cy-by_)*(ax-bx) AS bca, (ax-dx)*(by_-dy)-(ay-dy)*(bx-dx) AS dab, (ax-dx)*(cy-dy)-(ay-dy)*(cx-dx) AS dac FROM t)
+        SELECT ring_id, (abc*abd < 0 AND cda*cdb < 0) OR (bcd*bca < 0 AND dab*dac < 0) AS crosses FROM o""", "beacon")),
+    "geo_projection": Query(geo_projection, with_sql("SELECT node_id, round((77.09::double + degrees(x / (6378137.0::double * cos(radians(28.49::double)))) + 540) % 360 - 180, 6) AS lon, round(28.49::double + degrees(y / 6378137.0::double), 6) AS lat FROM node", "node")),
+    "similarity_fit": Query(similarity_fit, with_sql("""+p AS (SELECT *, 2 * x - 0.5::double * y + 7 + (beacon_id % 3) * 0.01::double AS u, 0.5::double * x + 2 * y - 3 AS v FROM beacon),
+        c AS (SELECT floor_id, x - avg(x) OVER f AS dx, y - avg(y) OVER f AS dy, u - avg(u) OVER f AS du, v - avg(v) OVER f AS dv FROM p WINDOW f AS (PARTITION BY floor_id)),
+        s AS (SELECT floor_id, sum(dx*du+dy*dv) / sum(dx*dx+dy*dy) AS a, sum(dx*dv-dy*du) / sum(dx*dx+dy*dy) AS b FROM c GROUP BY floor_id)
+        SELECT floor_id, round(max(a), 6) AS a, round(max(b), 6) AS b, round(max(sqrt(power(du - a*dx + b*dy, 2) + power(dv - b*dx - a*dy, 2))), 4) AS max_residual FROM c JOIN s USING (floor_id) GROUP BY floor_id""", "beacon")),
+    "name_validity": Query(name_validity, "SELECT p_partkey, length(trim(p_name)) > 2 AND length(regexp_replace(trim(p_name), '[^A-Za-z]', '', 'g')) > 0.65 * length(trim(p_name)) AND NOT count(*) OVER (PARTITION BY lower(trim(p_name))) > 5 AS valid FROM part"),
+    "category_by_keyword": Query(category_by_keyword, "SELECT p_partkey, CASE" + "".join(f" WHEN contains(lower(p_type), '{k}') THEN '{v}'" for k, v in KEYWORDS) + " ELSE 'Other' END AS category FROM part"),
+    "annotation_stats": Query(annotation_stats, with_sql("SELECT node_type, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS median_x, count(DISTINCT floor_id) AS floors FROM node GROUP BY node_type", "node")),
+    "annotation_rule_violations": Query(annotation_rule_violations, with_sql("""SELECT 'ring-orientation' AS rule, rect_id AS id FROM restricted WHERE rect_id % 3 = 0
+        UNION ALL SELECT 'outside-boundary', rect_id FROM restricted WHERE x1 > 104 OR y1 > 104
+        UNION ALL SELECT 'duplicate-shape', rect_id FROM (SELECT rect_id, count(*) OVER (PARTITION BY floor_id, x0, y0) AS n FROM restricted) WHERE n > 1""", "restricted")),
+    "type_confusion": Query(type_confusion, with_sql("SELECT a.node_type, b.node_type AS predicted, count(*) AS n FROM node a JOIN node b ON b.node_id - 1 = a.node_id GROUP BY ALL", "node")),
+    "label_flatten": Query(label_flatten, """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations)
+        SELECT * FROM (SELECT conv_id, turn, i, array_to_string(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '[A-Za-z]')), ' ') AS label FROM l) WHERE label <> ''"""),
+    "sequential_names": Query(sequential_names, with_sql("SELECT poi_id, kind || ' ' || CASE WHEN n >= 1000 THEN n::varchar ELSE lpad(n::varchar, 3, '0') END AS label FROM (SELECT *, row_number() OVER (PARTITION BY floor_id, kind ORDER BY poi_id) AS n FROM poi)", "poi")),
+    # The ring of a turned box starts at its last point.
+    "floor_geojson": Query(floor_geojson, with_sql("""+f AS (SELECT rect_id, printf('[%.2f,%.2f]', x0, y0) AS a, printf('[%.2f,%.2f]', x1, y0) AS b, printf('[%.2f,%.2f]', x1, y1) AS c, printf('[%.2f,%.2f]', x0, y1) AS d FROM restricted)
+        SELECT rect_id, '{"type":"Feature","properties":{"id":' || rect_id || '},"geometry":{"type":"Polygon","coordinates":[[' || concat_ws(',', a, b, c, d, a) || ']]}}' AS feature FROM f""", "restricted")),
+}

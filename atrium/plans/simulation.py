@@ -49,7 +49,7 @@ def active_beacon_per_sample(spark, d) -> DataFrame:
     best = near.groupBy("floor_id", "i").agg(F.max(F.struct("signal", (-F.col("beacon_id")).alias("neg"), (F.col("dist") <= F.col("radius") + G.EPS).alias("ok"))).alias("b"))
     out = s.select("floor_id", "i").join(best, ["floor_id", "i"], "left")
     state = F.when(F.col("b").isNull(), "dead").when(F.col("b.ok"), "reliable").otherwise("weak")
-    return out.select("floor_id", "i", (-F.col("b.neg")).alias("active"), F.round("b.signal", 6).alias("signal"), state.alias("state"))
+    return out.select("floor_id", "i", (-F.col("b.neg")).alias("active"), F.round("b.signal", 4).alias("signal"), state.alias("state"))
 
 
 def handover_events(spark, d) -> DataFrame:
@@ -102,7 +102,7 @@ smp AS (SELECT floor_id, i, x + (i - start_at) / length * (bx - x) AS x, y + (i
 ACTIVE_SQL = SEG_SQL + """,
 near AS (SELECT s.floor_id, s.i, b.beacon_id, b.radius, sqrt((s.x-b.x)*(s.x-b.x)+(s.y-b.y)*(s.y-b.y)) AS dist, b.marginal FROM smp s JOIN beacon b ON b.enabled AND b.floor_id = s.floor_id AND sqrt((s.x-b.x)*(s.x-b.x)+(s.y-b.y)*(s.y-b.y)) <= b.marginal + 1e-8),
 best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY floor_id, i ORDER BY round(100 * (1 - dist / marginal), 8) DESC, beacon_id) = 1),
-act AS (SELECT s.floor_id, s.i, b.beacon_id AS active, round(round(100 * (1 - dist / marginal), 8), 6) AS signal, CASE WHEN b.beacon_id IS NULL THEN 'dead' WHEN dist <= radius + 1e-8 THEN 'reliable' ELSE 'weak' END AS state
+act AS (SELECT s.floor_id, s.i, b.beacon_id AS active, round(round(100 * (1 - dist / marginal), 8), 4) AS signal, CASE WHEN b.beacon_id IS NULL THEN 'dead' WHEN dist <= radius + 1e-8 THEN 'reliable' ELSE 'weak' END AS state
         FROM smp s LEFT JOIN best b ON b.floor_id = s.floor_id AND b.i = s.i),
 ev AS (SELECT floor_id, i, was AS from_beacon, active AS to_beacon, CASE WHEN was IS NULL THEN 'connect' WHEN active IS NULL THEN 'lost' ELSE 'handover' END AS kind
        FROM (SELECT *, lag(active) OVER (PARTITION BY floor_id ORDER BY i) AS was FROM act) WHERE active IS DISTINCT FROM was),
