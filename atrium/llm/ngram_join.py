@@ -17,6 +17,8 @@ FRAGMENTS = 8
 ORDER_BITS = 18
 BAND = 1.04
 FIRST_PIVOTS = 4
+#: A round's sets are found by broadcast up to this many of them, by shuffle beyond.
+BROADCAST_NODES = 400_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -204,7 +206,8 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataF
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs that reach the similarity: overlaps per fragment, summed per pair."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    segments = segments.join(ends, "node", "left_semi")
+    small = 2 * pairs.count() <= BROADCAST_NODES
+    segments = segments.join(F.broadcast(ends) if small else ends, "node", "left_semi")
     a, b = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
     parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).join(a, ["a", "fragment"]).join(b, ["b", "fragment"])
     # A set may have been cut more than once; each of its fragments counts once.
