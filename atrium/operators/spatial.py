@@ -66,7 +66,8 @@ def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
 
 
 def interval_union(df: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Merges overlapping intervals of each key: (keys, lo, hi)."""
+    """Merges overlapping intervals of each key: (keys, lo, hi). Equal intervals count once, so the order has no ties."""
+    df = df.select(*keys, lo, hi).distinct()
     w = Window.partitionBy(*keys).orderBy(lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(before.isNull() | (F.col(lo) > before + 1e-9), 1).otherwise(0)

@@ -133,7 +133,7 @@ ends AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM edge e JOI
 quad AS (SELECT e.edge_id, (bx-ax)*(bx-ax)+(by_-ay)*(by_-ay) AS a, 2*((ax-c.x)*(bx-ax)+(ay-c.y)*(by_-ay)) AS b, (ax-c.x)*(ax-c.x)+(ay-c.y)*(ay-c.y)-c.radius*c.radius AS c
          FROM ends e JOIN beacon c ON c.floor_id = e.floor_id AND c.enabled),
 part AS (SELECT edge_id, greatest(0, (-b-sqrt(b*b-4*a*c))/(2*a)) AS lo, least(1, (-b+sqrt(b*b-4*a*c))/(2*a)) AS hi FROM quad WHERE b*b-4*a*c >= 0),
-good AS (SELECT * FROM part WHERE hi - lo > 1e-9),
+good AS (SELECT DISTINCT * FROM part WHERE hi - lo > 1e-9),
 marked AS (SELECT *, max(hi) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM good),
 run AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS r FROM marked),
 merged AS (SELECT edge_id, min(lo) AS lo, max(hi) AS hi FROM run GROUP BY edge_id, r)"""

@@ -147,7 +147,7 @@ side AS (SELECT e.edge_id, CASE WHEN ax = bx THEN CASE WHEN ax BETWEEN x0 AND x1
                 CASE WHEN ay = by_ THEN CASE WHEN ay BETWEEN y0 AND y1 THEN 0 ELSE 2 END ELSE least((y0-ay)/(by_-ay), (y1-ay)/(by_-ay)) END AS yl,
                 CASE WHEN ay = by_ THEN CASE WHEN ay BETWEEN y0 AND y1 THEN 1 ELSE -1 END ELSE greatest((y0-ay)/(by_-ay), (y1-ay)/(by_-ay)) END AS yh
          FROM ends e JOIN restricted q ON q.floor_id = e.floor_id),
-good AS (SELECT edge_id, greatest(0, xl, yl)::double AS lo, least(1, xh, yh)::double AS hi FROM side WHERE least(1, xh, yh) - greatest(0, xl, yl) > 1e-9),
+good AS (SELECT DISTINCT edge_id, greatest(0, xl, yl)::double AS lo, least(1, xh, yh)::double AS hi FROM side WHERE least(1, xh, yh) - greatest(0, xl, yl) > 1e-9),
 marked AS (SELECT *, max(hi) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM good),
 run AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS r FROM marked),
 merged AS (SELECT edge_id, min(lo) AS lo, max(hi) AS hi FROM run GROUP BY edge_id, r)"""

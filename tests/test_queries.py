@@ -26,7 +26,7 @@ def duck():
 def plain(v):
     if isinstance(v, (list, np.ndarray)):
         return str([plain(x) for x in v])
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or pd.isna(v):
         return "none"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
