@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, keep_slots, materialize, salted_left_join
+from .common import components, forget, keep_slots, materialize, salted_left_join
 
 FRAGMENTS = 8
 #: Shingles are counted in 2^18 buckets; more (up to 2^24) keep the order sharp on very large corpora.
 ORDER_BITS = 18
 BAND = 1.04
 FIRST_PIVOTS = 4
-#: A round's sets are found by broadcast up to this many of them, by shuffle beyond.
-BROADCAST_NODES = 400_000
+#: Longest sketch of a set, in 64-bit words.
+SKETCH_WORDS = 1024
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -37,17 +37,27 @@ def _fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, kernel.mix((mixed[bounds[1:]] - mixed[bounds[:-1]]) ^ size.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
+def _sketches(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Per set the parities of its shingles in at least as many hash buckets (a power of two) as it has shingles, as 64-bit words."""
+    size = np.diff(bounds)
+    words = np.minimum(1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64), SKETCH_WORDS)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(words)))
+    at = np.repeat(ends[:-1] * 64, size) + ((h >> np.uint64(40)).astype(np.int64) & np.repeat(words * 64 - 1, size))
+    parity = (np.bincount(at, minlength=int(ends[-1]) * 64) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.packbits(parity, bitorder="little").view(np.int64)))
+
+
 def _profile(n: int, bits: int):
-    """Per document its set size and fingerprint, and at the end of each task the counts of the shingle buckets."""
+    """Per document its set size, fingerprint and sketch, and at the end of each task the counts of the shingle buckets."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.int64)
         for batch, h, bounds in _sets(batches, n):
             counts += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(_fingerprints(h, bounds)), pa.nulls(k, pa.int32())], ["doc_id", "size", "node", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(_fingerprints(h, bounds)), _sketches(h, bounds), pa.nulls(k, pa.int32())], ["doc_id", "size", "node", "sketch", "bucket"])
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used.astype(np.int32))], ["doc_id", "size", "node", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used.astype(np.int32))], ["doc_id", "size", "node", "sketch", "bucket"])
 
     return run
 
@@ -125,7 +135,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vertical partitioning: the order is cut into fragments, overlaps are counted
     per fragment and summed per pair. The rounds end when no place holds an
     untested pair between two components, so no link between components is lost,
-    and no group is expanded into all its pairs.
+    and no group is expanded into all its pairs. Before its texts are cut, a pair
+    must pass a bound: buckets whose parities differ between two sketches each
+    hold a shingle of only one of the sets.
 
     Words are maximal runs of other than space and \\x09-\\x0D after lower-casing
     A-Z. A text with fewer than n words is one shingle; one without words is
@@ -137,7 +149,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = order_bits
-    profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, size long, node long, bucket int"), "profile")
+    profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, size long, node long, sketch array<long>, bucket int"), "profile")
     frequency = np.zeros(1 << bits, np.int64)
     counted = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).toPandas()
     frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
@@ -150,7 +162,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = rows.select("text").mapInArrow(_prefixes(n, percent, shared, hot), "token long, salt int, node long, size int, most int")
     here = Window.partitionBy("token", "salt")
     met = postings.withColumn("x", F.min("node").over(here)).withColumn("y", F.max("node").over(here)).withColumn("room", F.max(F.col("most") - F.col("size")).over(here))
-    met = met.where("salt > 0 or (x <> y and room >= 0)").groupBy("token", "node").agg(F.min("size").alias("size"), F.max("most").alias("most"))
+    met = met.where("salt > 0 or (x <> y and room >= 0)").groupBy("token", "salt", "node").agg(F.min("size").alias("size"), F.max("most").alias("most")).drop("salt")
     log = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / float(np.log(BAND))).cast("int")
     low = log(F.ceil(F.col("size") * percent / 100))
     met = met.withColumn("band", F.explode(F.sequence(low, F.greatest(low, log(F.least("size", "most"))))))
@@ -160,7 +172,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turns = met.where("pivot").join(places, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("most").alias("p_most"), F.row_number().over(order).alias("turn"))
     turns = materialize(turns, "turns")
     fits = "node <> p and p_size <= size and p_size <= most and size <= p_most"
-    labels, segments, done, width = None, None, 0, FIRST_PIVOTS
+    labels, done, width = None, 0, FIRST_PIVOTS
     while True:
         now = turns.where((F.col("turn") > done) & (F.col("turn") <= done + width))
         if labels is None:
@@ -176,19 +188,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             now = _labelled(turns.where(F.col("turn") <= done + width), "p", labels, "p_label")
             pairs = met.join(now, ["token", "band"]).where(f"{fits} and label <> p_label")
         pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), (F.col("size") + F.col("p_size")).alias("both"))
-        pairs = materialize(pairs.distinct(), "pairs")
-        if segments is None:
-            later = turns.where(F.col("turn") > width).select("token", "band").distinct()
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.join(later, ["token", "band"], "left_semi").select("node")).distinct()
-            first = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(wanted, "node", "left_semi").select("first")
-            first = materialize(first.distinct(), "wanted")
-            texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-            cut = texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>")
-            segments = materialize(cut, "segments")
+        pairs = materialize(_possible(pairs.distinct(), members, percent), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = keep_slots(members.where("node <> 0"), ends, ["node"]).groupBy("node").agg(F.min("doc_id").alias("first")).join(ends, "node", "left_semi").select("first")
+        first = materialize(first.distinct(), "wanted")
+        texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+        segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
         found = _linked(pairs, segments, percent, len(cuts) + 1)
         if labels is not None:
             found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(found)
+        for step in (pairs, first, segments):
+            forget(step)
         done, width = done + width, width * 4
     named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -203,11 +214,18 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataF
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may reach the similarity, by the parities that differ between their sketches; longer sketches are folded."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = keep_slots(members.select("node", "sketch"), ends, ["node"]).dropDuplicates(["node"])
+    a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
+    folded = lambda k: f"aggregate(sequence(i, size({k}) - 1, least(size(ka), size(kb))), 0L, (x, j) -> x ^ {k}[j])"
+    differ = F.expr(f"aggregate(sequence(0, least(size(ka), size(kb)) - 1), 0, (t, i) -> t + bit_count({folded('ka')} ^ {folded('kb')}))")
+    return pairs.join(a, "a").join(b, "b").where(differ * (100 + percent) <= F.col("both") * (100 - percent)).select("a", "b", "both")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs that reach the similarity: overlaps per fragment, summed per pair."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    small = 2 * pairs.count() <= BROADCAST_NODES
-    segments = segments.join(F.broadcast(ends) if small else ends, "node", "left_semi")
     a, b = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
     parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).join(a, ["a", "fragment"]).join(b, ["b", "fragment"])
     # A set may have been cut more than once; each of its fragments counts once.

@@ -267,3 +267,17 @@ def test_entropy_windows_equal_plain_python(spark):
 
     a, b = hot(key)
     assert got[0] == f"entropy:{4 + a}:{4 + b}" and got[1] == "" and got[2] == "" and "entropy" not in got[3] and got[4] == ""
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    fold = lambda k, n: np.bitwise_xor.reduce(k.reshape(-1, n), axis=0)
+    for size, extra, changed in [(0, 1, 0), (3, 2, 1), (64, 3, 8), (500, 30, 20), (1000, 60, 0), (70_000, 900, 400)]:
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate((a[changed:], rng.integers(0, 2**63, changed + extra).astype(np.uint64))))
+        sketches = ngram_join._sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        ka, kb = (np.array(x, np.int64).view(np.uint64) for x in sketches.to_pylist())
+        n = min(len(ka), len(kb))
+        differ = int(np.bitwise_count(fold(ka, n) ^ fold(kb, n)).sum())
+        real = len(np.setxor1d(a, b))
+        assert 0 < differ <= real or real == 0
