@@ -172,7 +172,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turns = met.where("pivot").join(places, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("most").alias("p_most"), F.row_number().over(order).alias("turn"))
     turns = materialize(turns, "turns")
     fits = "node <> p and p_size <= size and p_size <= most and size <= p_most"
-    labels, done, width = None, 0, FIRST_PIVOTS
+    labels, wanted, done, width = None, None, 0, FIRST_PIVOTS
     while True:
         now = turns.where((F.col("turn") > done) & (F.col("turn") <= done + width))
         if labels is None:
@@ -188,18 +188,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             now = _labelled(turns.where(F.col("turn") <= done + width), "p", labels, "p_label")
             pairs = met.join(now, ["token", "band"]).where(f"{fits} and label <> p_label")
         pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), (F.col("size") + F.col("p_size")).alias("both"))
-        pairs = materialize(_possible(pairs.distinct(), members, percent), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = keep_slots(members.where("node <> 0"), ends, ["node"]).groupBy("node").agg(F.min("doc_id").alias("first")).join(ends, "node", "left_semi").select("first")
-        first = materialize(first.distinct(), "wanted")
-        texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-        segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
+        pairs = pairs.distinct()
+        if wanted is None:
+            pairs = materialize(pairs, "near")
+            later = turns.where(F.col("turn") > width).select("token", "band").distinct()
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.join(later, ["token", "band"], "left_semi").select("node")).distinct()
+            known = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+            wanted = materialize(known.join(nodes, "node", "left_semi"), "wanted")
+            first = wanted.select("first").distinct()
+            texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+            segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
+        pairs = materialize(_possible(pairs, wanted, percent), "pairs")
         found = _linked(pairs, segments, percent, len(cuts) + 1)
         if labels is not None:
             found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(found)
-        for step in (pairs, first, segments):
-            forget(step)
+        forget(pairs)
         done, width = done + width, width * 4
     named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -214,11 +218,9 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataF
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that may reach the similarity, by the parities that differ between their sketches; longer sketches are folded."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = keep_slots(members.select("node", "sketch"), ends, ["node"]).dropDuplicates(["node"])
-    a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
+    a, b = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
     folded = lambda k: f"aggregate(sequence(i, size({k}) - 1, least(size(ka), size(kb))), 0L, (x, j) -> x ^ {k}[j])"
     differ = F.expr(f"aggregate(sequence(0, least(size(ka), size(kb)) - 1), 0, (t, i) -> t + bit_count({folded('ka')} ^ {folded('kb')}))")
     return pairs.join(a, "a").join(b, "b").where(differ * (100 + percent) <= F.col("both") * (100 - percent)).select("a", "b", "both")
@@ -226,6 +228,8 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs that reach the similarity: overlaps per fragment, summed per pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    segments = keep_slots(segments, ends, ["node"])
     a, b = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa")), segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
     parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).join(a, ["a", "fragment"]).join(b, ["b", "fragment"])
     # A set may have been cut more than once; each of its fragments counts once.
