@@ -9,6 +9,10 @@ from .common import keep_slots, materialize
 
 WINDOW = 8
 LEAST_COVER = 0.5
+#: Windows in a row that are enough whatever the item's length: 15 words. Where values conflict elsewhere in the alignment, changed ones need 22.
+RUN, CONFLICT_RUN = 8, 15
+#: Plain words that a window needs to count in a run with changed values, and a short item to be found with other values.
+LEAST_PLAIN = 4
 BROADCAST_WINDOWS = 1_000_000
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -28,20 +32,57 @@ def words(text: Column) -> Column:
 def template(word: Column) -> Column:
     """The word, or the typed placeholder that stands for it."""
     low = F.lower(word)
-    return F.when(word.startswith(NAME), NAME).when(word.rlike("^[0-9]") | low.isin(NUMBERS), NUMBER).when(low.isin(UNITS), UNIT).otherwise(low)
+    return F.when(word.startswith(NAME), NAME).when(((word >= "0") & (word < ":")) | low.isin(NUMBERS), NUMBER).when(low.isin(UNITS), UNIT).otherwise(low)
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, at, key, slots): each window of template words, with the words its placeholders stand for ('' elsewhere)."""
-    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= size)
-    rows = rows.withColumn("t", F.transform("w", lambda w: F.xxhash64(template(w))))
+def shifted(df: DataFrame, id_col: str, text_col: str, size: int, least: int) -> DataFrame:
+    """(id, at, n, t0.., w0..): templates' hashes and words from each place on; null behind the text's end. Texts with fewer than ``least`` words give nothing."""
+    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= least)
+    rows = rows.withColumn("t", F.transform("w", lambda w: F.xxhash64(template(w)))).withColumn("w", F.transform("w", lambda w: F.lower(w)))
     n = F.size("w")
-    shifted = [F.slice(c, k + 1, n).alias(f"{c}{k}") for k in range(size) for c in ("t", "w")]
-    rows = rows.select("id", F.inline(F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("at"), *shifted)))
-    rows = rows.where(F.col(f"t{size - 1}").isNotNull())
+    moved = [F.slice(c, k + 1, n).alias(f"{c}{k}") for k in range(size) for c in ("t", "w")]
+    return rows.select("id", n.alias("n"), F.inline(F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("at"), *moved)))
+
+
+def _hash(kind: str, size: int) -> Column:
+    return F.xxhash64(F.lit(size), *[F.col(f"{kind}{k}") for k in range(size)])
+
+
+def _literal(size: int) -> Column:
+    return F.xxhash64(F.lit(-size), *[F.col(f"w{k}") for k in range(size)])
+
+
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, q, size, key, item_slots): each window of an item, or the whole item if it is shorter; '' where no placeholder stands."""
+    rows = shifted(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 1).withColumn("size", F.least("n", F.lit(window))).where(F.col("at") + F.col("size") <= F.col("n"))
     placeholders = [F.xxhash64(F.lit(x)) for x in (NAME, NUMBER, UNIT)]
-    slots = F.array(*[F.when(F.col(f"t{k}").isin(*placeholders), F.lower(f"w{k}")).otherwise("") for k in range(size)])
-    return rows.select("id", "at", F.xxhash64(*[F.col(f"t{k}") for k in range(size)]).alias("key"), slots.alias("slots"))
+    slots = F.array(*[F.when(F.col(f"t{k}").isin(*placeholders), F.col(f"w{k}")).otherwise("") for k in range(window)])
+    rows = rows.withColumn("item_slots", F.slice(slots, 1, F.col("size")))
+    # A short item of few plain words says too little: it is looked for in its own words.
+    strict = (F.col("size") < window) & (F.size(F.filter("item_slots", lambda x: x == "")) < LEAST_PLAIN)
+    key = F.coalesce(*[F.when(F.col("size") == k, F.when(strict, _literal(k)).otherwise(_hash("t", k))) for k in range(1, window + 1)])
+    return rows.select(F.col("id").alias("item"), F.col("at").alias("q"), "size", key.alias("key"), "item_slots")
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, window: int, short: list[int]) -> DataFrame:
+    """(id, at, key, slots): each window of template words with its words, and the windows of the short items' lengths."""
+    rows = shifted(docs, id_col, text_col, window, window).where(F.col(f"t{window - 1}").isNotNull())
+    out = rows.select("id", "at", _hash("t", window).alias("key"), F.array(*[F.col(f"w{k}") for k in range(window)]).alias("slots"))
+    if short:
+        rows = shifted(docs, id_col, text_col, max(short), min(short))
+        keys = F.array(*[F.when(F.col(f"t{k - 1}").isNotNull(), x) for k in short for x in (_hash("t", k), _literal(k))])
+        out = out.unionByName(rows.select("id", "at", F.explode(F.array_compact(keys)).alias("key"), F.array(*[F.col(f"w{k}") for k in range(max(short))]).alias("slots")))
+    return out
+
+
+def _one_to_one(pairs: Column) -> Column:
+    one = lambda k: F.size(F.array_distinct(F.transform(pairs, lambda p: p[k]))) == F.size(pairs)
+    return one("i") & one("d")
+
+
+def _starts(q: Column, run: int) -> Column:
+    """Places (from 0) in the ascending numbers ``q`` at which ``run`` consecutive ones begin."""
+    return F.filter(F.transform(q, lambda x, i: F.when(F.get(q, i + F.lit(run - 1)) - x == run - 1, i)), lambda i: i.isNotNull())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_cover: float = LEAST_COVER) -> DataFrame:
@@ -51,32 +92,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     other values has the same template. Windows of ``window`` template words of
     documents and items are hash-joined. Windows that match along one alignment
     are checked together: each value of the item's slots must stand for one value
-    in the document, and each document value for one of the item. ``cover`` is
-    the share of the item's windows that match in consistent alignments; a pair
-    needs ``least_cover``. ``verbatim`` tells that all slot values are the item's.
-
-    Whole texts are read. Null and empty texts, and texts or items with fewer
-    than ``window`` words, match nothing. Repeated rows of an id count as one
-    document; null ids never match. The items' windows are broadcast if there
-    are at most 1,000,000 of them (counted first); else documents' windows are
-    reduced by a bounded broadcast of slot numbers and then joined by shuffle.
+    in the document, and each document value for one of the item. If that fails
+    for the alignment, its windows with the item's own values count all the same,
+    and so do 15 in a row that agree among themselves. ``cover`` is the share of
+    the item's windows that count; a pair needs ``least_cover``, or 8 counting
+    windows in a row (15 words) whatever the item's length. In such a run a window
+    has the item's own values or at least 4 plain words. ``verbatim`` tells that
+    all slot values are the item's.
+
+    An item with fewer than ``window`` words is one window as long as itself; with
+    fewer than 4 plain words it is found only in its own words. Whole texts are
+    read. Null and empty texts and items match nothing. Repeated rows of an id
+    count as one document; null ids never match. The items' windows are broadcast
+    if there are at most 1,000,000 of them (counted first); else documents' windows
+    are reduced by a bounded broadcast of slot numbers and then joined by shuffle.
     """
-    items = materialize(windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, window).select(F.col("id").alias("item"), F.col("at").alias("q"), "key", F.col("slots").alias("item_slots")), "items")
+    items = materialize(item_windows(benchmark, item_col, item_text, window), "items")
     total = items.groupBy("item").agg(F.countDistinct("q").alias("n"))
-    rows = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window)
-    if items.count() <= BROADCAST_WINDOWS:
-        hits = rows.join(F.broadcast(items), "key")
-    else:
-        hits = keep_slots(rows, items, ["key"]).join(items, "key")
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda s: s["i"] != "")
-    hits = hits.select("id", "item", (F.col("at") - F.col("q")).alias("shift"), "q", F.array_distinct(pairs).alias("pairs"))
-    aligned = hits.groupBy("id", "item", "shift").agg(F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    one = lambda k: F.size(F.array_distinct(F.col(f"pairs.{k}"))) == F.size("pairs")
-    aligned = aligned.where(one("i") & one("d")).withColumn("verbatim", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    found = aligned.select("id", "item", "verbatim", F.explode("q").alias("q")).groupBy("id", "item", "q").agg(F.max("verbatim").alias("verbatim"))
-    found = found.groupBy("id", "item").agg(F.count(F.lit(1)).alias("m"), F.min("verbatim").alias("verbatim"))
-    out = found.join(F.broadcast(total) if items.count() <= BROADCAST_WINDOWS else total, "item").withColumn("cover", F.col("m") / F.col("n"))
-    return out.where(F.col("cover") >= least_cover).select(F.col("id").alias(id_col), "item", "cover", "verbatim")
+    short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
+    rows = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, short)
+    small = items.count() <= BROADCAST_WINDOWS
+    hits = rows.join(F.broadcast(items), "key") if small else keep_slots(rows, items, ["key"]).join(items, "key")
+    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda s: s["i"] != ""))
+    plain = F.size(F.filter("item_slots", lambda x: x == ""))
+    hits = hits.select("id", "item", (F.col("at") - F.col("q")).alias("shift"), F.struct("q", pairs.alias("pairs"), plain.alias("plain")).alias("w"))
+    aligned = hits.groupBy("id", "item", "shift").agg(F.array_sort(F.collect_set("w")).alias("w"))
+    same = lambda pairs: F.forall(pairs, lambda p: p["i"] == p["d"])
+    every = F.array_distinct(F.flatten("w.pairs"))
+    aligned = aligned.withColumn("own", F.filter("w", lambda x: same(x["pairs"]))).withColumn("ok", _one_to_one(every)).withColumn("verbatim", same(every))
+    agree = F.filter(_starts(F.col("w.q"), CONFLICT_RUN), lambda i: _one_to_one(F.array_distinct(F.flatten(F.transform(F.slice("w", i + 1, CONFLICT_RUN), lambda x: x["pairs"])))))
+    agree = F.array_distinct(F.flatten(F.transform(agree, lambda i: F.slice("w", i + 1, CONFLICT_RUN))))
+    aligned = aligned.withColumn("counts", F.when(F.col("ok"), F.col("w")).otherwise(F.array_sort(F.array_union("own", agree))))
+    firm = F.filter("counts", lambda x: same(x["pairs"]) | (x["plain"] >= LEAST_PLAIN))
+    aligned = aligned.withColumn("firm", F.transform(firm, lambda x: x["q"])).withColumn("run", F.size(_starts(F.col("firm"), RUN)) > 0)
+    # Where the alignment conflicts, a run with changed values has to be as long as an agreeing part.
+    own = F.size(_starts(F.col("own.q"), RUN)) > 0
+    long = F.size(_starts(F.col("firm"), CONFLICT_RUN)) > 0
+    aligned = aligned.withColumn("run", F.when(F.col("ok"), F.col("run")).otherwise(own | long))
+    found = aligned.select("id", "item", "verbatim", "run", F.explode("counts.q").alias("q")).groupBy("id", "item", "q").agg(F.max("verbatim").alias("verbatim"), F.max("run").alias("run"))
+    found = found.groupBy("id", "item").agg(F.count(F.lit(1)).alias("m"), F.min("verbatim").alias("verbatim"), F.max("run").alias("run"))
+    out = found.join(F.broadcast(total) if small else total, "item").withColumn("cover", F.col("m") / F.col("n"))
+    return out.where((F.col("cover") >= least_cover) | F.col("run")).select(F.col("id").alias(id_col), "item", "cover", "verbatim")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

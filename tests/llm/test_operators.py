@@ -281,3 +281,15 @@ def test_sketches_never_exceed_the_difference():
         differ = int(np.bitwise_count(fold(ka, n) ^ fold(kb, n)).sum())
         real = len(np.setxor1d(a, b))
         assert 0 < differ <= real or real == 0
+
+
+def test_decontamination_finds_excerpts_short_items_and_changed_mentions(spark):
+    rng = random.Random(6)
+    plain = [f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}" for i in range(400)]
+    long = plain[:200]
+    named = " ".join([*plain[200:230], "with", "Paris", *plain[230:260], "from", "Paris", *plain[260:270]])
+    values = " ".join([*plain[300:320], "7", *plain[320:340], "9", *plain[340:360]])
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, named), (3, "why is the sky blue"), (4, values), (5, "what is 12")], "item_id long, text string")
+    tests = [" ".join(long[90:105]), " ".join(long[90:104]), named.replace("Paris", "Rome", 1), "ask: Why is the sky blue?", "why is the sky", values.replace("9", "7"), "say what is 13", "say what is 12 now", prose(rng, 300, plain[:26])]
+    got = [r["items"] for r in decontaminate.report(docs(spark, tests), bench).orderBy("doc_id").collect()]
+    assert got == [[1], [], [2], [3], [], [4], [], [5], []]
