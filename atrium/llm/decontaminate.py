@@ -21,26 +21,33 @@ UNITS = ["mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "mile", "miles
 NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million"]
 
 
-def words(text: Column) -> Column:
-    """Words without punctuation; a name (capitalised inside a sentence) starts with a mark."""
+def words(text: Column, named: bool = True) -> Column:
+    """Words in lower case without punctuation; a name (capitalised inside a sentence) starts with a mark, unless ``named`` is false."""
     text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)]\s)(?=\p{Lu}\p{Ll})", NAME)
-    bare = F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}\s{NAME}]+", "")
+    if named:
+        text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)]\s)(?=\p{Lu}\p{Ll})", NAME)
+    # Upper case has no sharp s and no final sigma.
+    low = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    bare = F.regexp_replace(low, rf"[^\p{{L}}\p{{N}}\s{NAME}]+", "")
     return F.filter(F.split(bare, r"[\s]+"), lambda w: w != "")
 
 
 def template(word: Column) -> Column:
-    """The word, or the typed placeholder that stands for it."""
-    low = F.lower(word)
-    return F.when(word.startswith(NAME), NAME).when(((word >= "0") & (word < ":")) | low.isin(NUMBERS), NUMBER).when(low.isin(UNITS), UNIT).otherwise(low)
+    """The word in lower case, or the typed placeholder that stands for it."""
+    return F.when(word.startswith(NAME), NAME).when(((word >= "0") & (word < ":")) | word.isin(NUMBERS), NUMBER).when(word.isin(UNITS), UNIT).otherwise(word)
 
 
-def shifted(df: DataFrame, id_col: str, text_col: str, size: int, least: int) -> DataFrame:
-    """(id, at, n, t0.., w0..): templates' hashes and words from each place on; null behind the text's end. Texts with fewer than ``least`` words give nothing."""
-    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= least)
-    rows = rows.withColumn("t", F.transform("w", lambda w: F.xxhash64(template(w)))).withColumn("w", F.transform("w", lambda w: F.lower(w)))
+def shifted(df: DataFrame, id_col: str, text_col: str, size: int, least: int, named: bool) -> DataFrame:
+    """(id, at, n, u0.., w0.., t0..): templates' hashes and words from each place on; null behind the text's end. Texts with fewer than ``least`` words give nothing.
+
+    u takes names as plain words, as they are in a text in another case; t, only if ``named``, as names.
+    """
+    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col), named).alias("w")).where(F.size("w") >= least)
+    if named:
+        rows = rows.withColumn("t", F.transform("w", lambda w: F.xxhash64(template(w)))).withColumn("w", F.transform("w", lambda w: F.translate(w, NAME, "")))
+    rows = rows.withColumn("u", F.transform("w", lambda w: F.xxhash64(template(w))))
     n = F.size("w")
-    moved = [F.slice(c, k + 1, n).alias(f"{c}{k}") for k in range(size) for c in ("t", "w")]
+    moved = [F.slice(c, k + 1, n).alias(f"{c}{k}") for k in range(size) for c in ("u", "w", "t")[: 2 + named]]
     return rows.select("id", n.alias("n"), F.inline(F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("at"), *moved)))
 
 
@@ -53,25 +60,31 @@ def _literal(size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, q, size, key, item_slots): each window of an item, or the whole item if it is shorter; '' where no placeholder stands."""
-    rows = shifted(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 1).withColumn("size", F.least("n", F.lit(window))).where(F.col("at") + F.col("size") <= F.col("n"))
+    """(item, q, size, key, named, item_slots): each window of an item, or the whole item if it is shorter; '' where no placeholder stands.
+
+    A window with names has two keys: with the names' placeholders (``named``), and with the names as words.
+    """
+    rows = shifted(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 1, True).withColumn("size", F.least("n", F.lit(window))).where(F.col("at") + F.col("size") <= F.col("n"))
     placeholders = [F.xxhash64(F.lit(x)) for x in (NAME, NUMBER, UNIT)]
     slots = F.array(*[F.when(F.col(f"t{k}").isin(*placeholders), F.col(f"w{k}")).otherwise("") for k in range(window)])
     rows = rows.withColumn("item_slots", F.slice(slots, 1, F.col("size")))
     # A short item of few plain words says too little: it is looked for in its own words.
     strict = (F.col("size") < window) & (F.size(F.filter("item_slots", lambda x: x == "")) < LEAST_PLAIN)
-    key = F.coalesce(*[F.when(F.col("size") == k, F.when(strict, _literal(k)).otherwise(_hash("t", k))) for k in range(1, window + 1)])
-    return rows.select(F.col("id").alias("item"), F.col("at").alias("q"), "size", key.alias("key"), "item_slots")
+    key = lambda kind: F.coalesce(*[F.when(F.col("size") == k, F.when(strict, _literal(k)).otherwise(_hash(kind, k))) for k in range(1, window + 1)])
+    both = F.array(F.struct(key("u").alias("key"), F.lit(False).alias("named")), F.when(key("t") != key("u"), F.struct(key("t").alias("key"), F.lit(True).alias("named"))))
+    return rows.select(F.col("id").alias("item"), F.col("at").alias("q"), "size", F.inline(F.array_compact(both)), "item_slots")
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, window: int, short: list[int]) -> DataFrame:
-    """(id, at, key, slots): each window of template words with its words, and the windows of the short items' lengths."""
-    rows = shifted(docs, id_col, text_col, window, window).where(F.col(f"t{window - 1}").isNotNull())
-    out = rows.select("id", "at", _hash("t", window).alias("key"), F.array(*[F.col(f"w{k}") for k in range(window)]).alias("slots"))
+def windows(docs: DataFrame, id_col: str, text_col: str, window: int, short: list[int], named: bool) -> DataFrame:
+    """(id, at, key, slots): each window of template words with its words, and the windows of the short items' lengths; with two keys where it has names and ``named`` is true."""
+    kinds = ("u", "t")[: 1 + named]
+    rows = shifted(docs, id_col, text_col, window, window, named).where(F.col(f"u{window - 1}").isNotNull())
+    key = F.explode(F.array_distinct(F.array(*[_hash(c, window) for c in kinds]))) if named else _hash("u", window)
+    out = rows.select("id", "at", key.alias("key"), F.array(*[F.col(f"w{k}") for k in range(window)]).alias("slots"))
     if short:
-        rows = shifted(docs, id_col, text_col, max(short), min(short))
-        keys = F.array(*[F.when(F.col(f"t{k - 1}").isNotNull(), x) for k in short for x in (_hash("t", k), _literal(k))])
-        out = out.unionByName(rows.select("id", "at", F.explode(F.array_compact(keys)).alias("key"), F.array(*[F.col(f"w{k}") for k in range(max(short))]).alias("slots")))
+        rows = shifted(docs, id_col, text_col, max(short), min(short), named)
+        keys = F.array(*[F.when(F.col(f"u{k - 1}").isNotNull(), x) for k in short for x in (*[_hash(c, k) for c in kinds], _literal(k))])
+        out = out.unionByName(rows.select("id", "at", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"), F.array(*[F.col(f"w{k}") for k in range(max(short))]).alias("slots")))
     return out
 
 
@@ -89,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Pairs (id, item, cover, verbatim) of documents and the benchmark items found in them.
 
     Numbers, names and units become typed placeholders, so a question asked with
-    other values has the same template. Windows of ``window`` template words of
+    other values has the same template. What is a name is told by its capital; in a
+    copy in another case the item's names are looked for as plain words. Windows of ``window`` template words of
     documents and items are hash-joined. Windows that match along one alignment
     are checked together: each value of the item's slots must stand for one value
     in the document, and each document value for one of the item. If that fails
@@ -110,7 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialize(item_windows(benchmark, item_col, item_text, window), "items")
     total = items.groupBy("item").agg(F.countDistinct("q").alias("n"))
     short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
-    rows = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, short)
+    named = not items.where("named").isEmpty()
+    rows = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, short, named)
     small = items.count() <= BROADCAST_WINDOWS
     hits = rows.join(F.broadcast(items), "key") if small else keep_slots(rows, items, ["key"]).join(items, "key")
     pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda s: s["i"] != ""))

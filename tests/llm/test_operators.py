@@ -293,3 +293,11 @@ def test_decontamination_finds_excerpts_short_items_and_changed_mentions(spark):
     tests = [" ".join(long[90:105]), " ".join(long[90:104]), named.replace("Paris", "Rome", 1), "ask: Why is the sky blue?", "why is the sky", values.replace("9", "7"), "say what is 13", "say what is 12 now", prose(rng, 300, plain[:26])]
     got = [r["items"] for r in decontaminate.report(docs(spark, tests), bench).orderBy("doc_id").collect()]
     assert got == [[1], [], [2], [3], [], [4], [], [5], []]
+
+
+def test_decontamination_finds_copies_in_another_case(spark):
+    item = "a train with 12 cars leaves for Paris at 7 and travels 300 km before it meets the second train from Paris"
+    bench = spark.createDataFrame([(1, item), (2, "die Straße nach Köln ist heute ganz frei")], "item_id long, text string")
+    tests = [item.upper(), item.lower(), item.title(), item.upper().replace("12", "31"), item.replace("Paris", "Rome"), item.lower().replace("paris", "rome", 1), "DIE STRASSE NACH KÖLN IST HEUTE GANZ FREI"]
+    got = [r["items"] for r in decontaminate.report(docs(spark, tests), bench).orderBy("doc_id").collect()]
+    assert got == [[1], [1], [1], [1], [1], [], [2]]
