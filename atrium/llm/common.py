@@ -48,6 +48,11 @@ def slot(*cols: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(slots)).cast("int")
 
 
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """128 bits of a row's id and text: a decision on a text comes back to its own rows, with null and repeated ids too."""
+    return F.struct(*[F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{seed}") for seed in (1, 2)])
+
+
 def keep_slots(df: DataFrame, keys: DataFrame, cols: list[str], slots: int = 1 << 18) -> DataFrame:
     """Rows of df whose key may occur in keys, decided on the map side.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_slots, materialize
+from .common import keep_slots, materialize, row_key
 
 WINDOW = 8
 LEAST_COVER = 0.5
@@ -116,16 +116,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item with fewer than ``window`` words is one window as long as itself; with
     fewer than 4 plain words it is found only in its own words. Whole texts are
-    read. Null and empty texts and items match nothing. Repeated rows of an id
-    count as one document; null ids never match. The items' windows are broadcast
+    read. Null and empty texts and items match nothing. Rows count as one document
+    if id and text are equal; null ids are ids like others, null item ids are left
+    out. The items' windows are broadcast
     if there are at most 1,000,000 of them (counted first); else documents' windows
     are reduced by a bounded broadcast of slot numbers and then joined by shuffle.
     """
+    found = pairs_of(docs, id_col, text_col, benchmark, item_col, item_text, window, least_cover)
+    ids = docs.select(row_key(id_col, text_col).alias("__key"), F.col(id_col)).join(found, "__key").dropDuplicates(["__key", "item"])
+    return ids.select(id_col, "item", "cover", "verbatim")
+
+
+def pairs_of(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int, least_cover: float) -> DataFrame:
+    """(__key, item, cover, verbatim): what ``contaminated`` finds, by the row's key."""
     items = materialize(item_windows(benchmark, item_col, item_text, window), "items")
     total = items.groupBy("item").agg(F.countDistinct("q").alias("n"))
     short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
     named = not items.where("named").isEmpty()
-    rows = windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, short, named)
+    rows = windows(docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", window, short, named)
     small = items.count() <= BROADCAST_WINDOWS
     hits = rows.join(F.broadcast(items), "key") if small else keep_slots(rows, items, ["key"]).join(items, "key")
     pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda s: s["i"] != ""))
@@ -147,18 +155,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = aligned.select("id", "item", "verbatim", "run", F.explode("counts.q").alias("q")).groupBy("id", "item", "q").agg(F.max("verbatim").alias("verbatim"), F.max("run").alias("run"))
     found = found.groupBy("id", "item").agg(F.count(F.lit(1)).alias("m"), F.min("verbatim").alias("verbatim"), F.max("run").alias("run"))
     out = found.join(F.broadcast(total) if small else total, "item").withColumn("cover", F.col("m") / F.col("n"))
-    return out.where((F.col("cover") >= least_cover) | F.col("run")).select(F.col("id").alias(id_col), "item", "cover", "verbatim")
+    return out.where((F.col("cover") >= least_cover) | F.col("run")).select(F.col("id").alias("__key"), "item", "cover", "verbatim")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_cover: float = LEAST_COVER) -> DataFrame:
     """One row per document: (id, contaminated, items, best_cover, reworded)."""
-    found = contaminated(docs, benchmark, id_col, **options)
-    found = found.groupBy(id_col).agg(F.array_sort(F.collect_set("item")).alias("items"), F.round(F.max("cover"), 6).alias("best_cover"), F.max(~F.col("verbatim")).alias("reworded"))
-    out = docs.select(id_col).join(found, id_col, "left")
+    found = pairs_of(docs, id_col, text_col, benchmark, item_col, item_text, window, least_cover)
+    found = found.groupBy("__key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.round(F.max("cover"), 6).alias("best_cover"), F.max(~F.col("verbatim")).alias("reworded"))
+    out = docs.select(id_col, row_key(id_col, text_col).alias("__key")).join(found, "__key", "left")
     return out.select(id_col, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("best_cover", F.lit(0.0)).alias("best_cover"), F.coalesce("reworded", F.lit(False)).alias("reworded"))
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def clean_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_cover: float = LEAST_COVER) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    found = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    found = pairs_of(docs, id_col, text_col, benchmark, item_col, item_text, window, least_cover).select("__key").distinct()
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_left_join, slot
+from .common import materialize, row_key, salted_left_join, slot
 
 PREFIX_CHARS = 64
 SLOTS = 1 << 18
@@ -44,9 +44,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, in their own columns, each id once."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The documents that stay, in their own columns: one row of each text, with the text's largest id."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    kept = exact_dedup(keyed, id_col, text_col, ["__key"]).where("kept").select("__key").distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def ranked(df: DataFrame, key: str, order: list[str], fine: int, coarse: int = 1000) -> DataFrame:

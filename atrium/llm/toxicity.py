@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_key
+
 TRAIN_ROWS = 20_000
 LEXICON_SIZE = 5_000
 PREFIX = range(4, 9)
@@ -164,6 +166,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score is below the threshold, in their own columns."""
-    toxic = score_toxicity(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col(id_col).alias("__toxic")).distinct()
-    return docs.join(toxic, docs[id_col].eqNullSafe(F.col("__toxic")), "left_anti")
+    """The documents whose score is below the threshold, in their own columns; each row is judged by its own text."""
+    rows = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    toxic = score_toxicity(rows, model, "__key", "__text").where(F.col("score") >= threshold).select("__key").distinct()
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(toxic, "__key", "left_anti").select(*docs.columns)

@@ -301,3 +301,18 @@ def test_decontamination_finds_copies_in_another_case(spark):
     tests = [item.upper(), item.lower(), item.title(), item.upper().replace("12", "31"), item.replace("Paris", "Rome"), item.lower().replace("paris", "rome", 1), "DIE STRASSE NACH KÖLN IST HEUTE GANZ FREI"]
     got = [r["items"] for r in decontaminate.report(docs(spark, tests), bench).orderBy("doc_id").collect()]
     assert got == [[1], [1], [1], [1], [1], [], [2]]
+
+
+def test_decisions_stay_with_their_own_rows(spark):
+    model = {"lexicon": {" idiot": 5.0}, "exceptions": [], "slope": 4.0, "middle": 0.5}
+    bad, good, item = "you idiot", "a river and a stone", "one two words of an item that nobody else would ever write down"
+    schema = "doc_id long, text string, source string"
+    df = spark.createDataFrame([(None, bad, "a"), (None, good, "b"), (3, bad, "c"), (3, "other", "d"), (4, None, "e")], schema)
+    assert sorted(r.source for r in toxicity.reject_toxic(df, model).collect()) == ["b", "d", "e"]
+    df = spark.createDataFrame([(None, item, "a"), (None, good, "b"), (3, item, "c"), (3, "other", "d"), (4, None, "e")], schema)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.source for r in decontaminate.clean_of(df, bench).collect()) == ["b", "d", "e"]
+    assert sorted((str(r.doc_id), r.contaminated) for r in decontaminate.report(df, bench).collect()) == [("3", False), ("3", True), ("4", False), ("None", False), ("None", True)]
+    assert sorted(map(str, (r.doc_id for r in decontaminate.contaminated(df, bench).collect()))) == ["3", "None"]
+    df = spark.createDataFrame([(None, "x", "a"), (None, "x", "a"), (3, "y", "b"), (3, "y", "c"), (3, "z", "d"), (9, "z", "e"), (5, None, "f"), (5, "", "f")], schema)
+    assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.one_of_each(df).collect()) == [("3", "y"), ("5", ""), ("9", "z"), ("None", "x")]
