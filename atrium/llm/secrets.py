@@ -13,10 +13,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
 
-# Candidates for the entropy scan: long runs of key-like characters with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# Candidates for the entropy scan: long runs of key-like characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits per character that a window must reach, by the class of its string.
+#: Bits per character that a window must reach, by the class of its string. A window of 20 digits has at most 3.3: that class is off.
 LEAST_BITS = {"digits": 9.0, "hex": 3.0, "alnum": 3.6, "base64": 3.6}
 #: Strings that look random and are public: UUIDs, documentation keys, digest prefixes, data addresses.
 ALLOWED = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*example.*|sha(1|256|384|512)-.*|[0-9/_=-]+)$"
@@ -51,6 +51,21 @@ def _least(s: Column) -> Column:
     return reduce(lambda out, k: out.when(_class(s) == k, LEAST_BITS[k]), LEAST_BITS, F.when(F.lit(False), 0.0))
 
 
+def _cut(c: Column, base: Column, window: int) -> Column:
+    """What the base spans (in order) leave of a candidate, as spans of at least ``window`` characters."""
+    start = F.struct(c["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string,match:string>>)").alias("out"))
+
+    def add(acc: Column, end: Column) -> Column:
+        piece = F.struct(acc["at"].alias("start"), end.alias("end"), c["order"].alias("order"), c["kind"].alias("kind"), F.substring(c["match"], acc["at"] - c["start"] + 1, end - acc["at"]).alias("match"))
+        return F.when(end - acc["at"] >= window, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+
+    def step(acc: Column, b: Column) -> Column:
+        meets = (b["start"] < c["end"]) & (c["start"] < b["end"])
+        return F.struct(F.when(meets, F.greatest(acc["at"], b["end"])).otherwise(acc["at"]).alias("at"), F.when(meets, add(acc, b["start"])).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(base, start, step, lambda acc: add(acc, c["end"]))
+
+
 def _hot_windows(s: Column, least: Column, window: int) -> Column:
     """(first, last) character of the windows that reach the entropy, or -1.
 
@@ -94,7 +109,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matches that are long enough. Kind entropy covers, in other long key-like
     strings, the part from the first to the last window of ``window`` characters
     whose Shannon entropy reaches the bits set for the string's character class,
-    unless the string is on the allow-list or inside a span of another kind.
+    unless the string is on the allow-list. Spans of the other kinds are cut out
+    of the strings first; each part that is left is judged as a string of its own.
+    Strings of digits alone are never reported.
     Offsets count code points, the end is exclusive; spans are ordered by start,
     then kind.
 
@@ -111,8 +128,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for kind, (pattern, keep) in rules.items():
         rows = rows.withColumn(f"__{kind}", F.when(F.col("__t").rlike(pattern), _spans(_parts(F.col("__t"), pattern), kind, keep)).otherwise(none))
     base = F.concat(*[F.col(f"__{k}") for k in KINDS])
-    apart = lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = rows.drop("__t").withColumn("__base", F.array_sort(base)).withColumn("__entropy", F.filter("__entropy", apart))
+    rows = rows.drop("__t").withColumn("__base", F.array_sort(base))
+    left = F.filter(F.flatten(F.transform("__entropy", lambda c: _cut(c, F.col("__base"), window))), lambda c: ~c["match"].rlike(ALLOWED))
+    rows = rows.withColumn("__entropy", F.when((F.size("__entropy") > 0) & (F.size("__base") > 0), left).otherwise(F.col("__entropy")))
     hot = F.transform("__entropy", lambda c: F.struct(c.alias("c"), _hot_windows(c["match"], _least(c["match"]), window).alias("w")))
     hot = F.filter(hot, lambda x: x["w"]["first"] >= 0)
     at = lambda x, k: (x["c"]["start"] + x["w"][k]).cast("int")
