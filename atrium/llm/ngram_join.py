@@ -123,7 +123,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Components of documents whose n-word shingle sets have Jaccard similarity >= percent/100.
 
     Returns one row per input row: (id, n_shingles, component_id), the component
-    named by its least id.
+    named by its least id. This is a component join: pairs already in one component
+    are not tested, so a document's number of links is not known.
 
     Equal sets are one node. All shingles are counted (in 2^order_bits hash buckets,
     a bounded table), which fixes one global order from rare to frequent. A link
