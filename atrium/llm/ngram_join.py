@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, forget, keep_slots, materialize, salted_left_join
+from .common import components, forget, keep_slots, materialize, row_key, salted_left_join
 
 FRAGMENTS = 8
-#: Shingles are counted in 2^18 buckets; more (up to 2^24) keep the order sharp on very large corpora.
-ORDER_BITS = 18
-BAND = 1.04
-FIRST_PIVOTS = 4
+#: Shingles are counted in 2^22 buckets, a table of 4 MB; more (up to 2^28) keep the order sharp on very large corpora.
+ORDER_BITS = 22
+#: Bits of the slices in which the table is summed.
+SLICE_BITS = 18
+#: Pivots of a place in the first round over open places; each later round takes eight times as many.
+FIRST_PIVOTS = 8
+#: Rows that one part of a frequent shingle's place holds.
+PLACE_ROWS = 1 << 16
 #: Longest sketch of a set, in 64-bit words.
 SKETCH_WORDS = 1024
 
@@ -48,40 +52,59 @@ def _sketches(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _profile(n: int, bits: int):
-    """Per document its set size, fingerprint and sketch, and at the end of each task the counts of the shingle buckets."""
+    """Per document its set size, fingerprint and sketch, and at the end of each task its counts of the shingle buckets, slice by slice."""
+    cut = min(bits, SLICE_BITS)
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch, h, bounds in _sets(batches, n):
-            counts += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            at, times = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+            counts[at] += times.astype(np.uint32)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(_fingerprints(h, bounds)), _sketches(h, bounds), pa.nulls(k, pa.int32())], ["doc_id", "size", "node", "sketch", "bucket"])
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used.astype(np.int32))], ["doc_id", "size", "node", "sketch", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(_fingerprints(h, bounds)), _sketches(h, bounds), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "key", "size", "node", "sketch", "slice", "counts"])
+        parts = counts.reshape(-1, 1 << cut)
+        used = [i for i, x in enumerate(parts) if x.any()]
+        packed = [pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in used]
+        k = len(used)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "key", "size", "node", "sketch", "slice", "counts"])
 
     return run
 
 
-def _in_global_order(h: np.ndarray, bounds: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each document from rare to frequent; frequencies alongside."""
-    f = frequency[(h & np.uint64(len(frequency) - 1)).astype(np.int64)]
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, f, doc))
+def _summed(cut: int):
+    """Sums the tasks' counts of each slice; a task holds one table for each slice dealt to it."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(pa.decompress(blob.as_py(), decompressed_size=4 << cut, codec="zstd", asbytes=True), np.uint32)
+                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
+        keys = list(sums)
+        # A count's class, eight to an octave, is all that the order needs.
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([np.minimum(255, 8 * np.log2(sums[i].astype(float) + 1)).astype(np.uint8).tobytes() for i in keys], pa.binary())], ["slice", "classes"])
+
+    return run
+
+
+def _in_global_order(h: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each document from rare to frequent; count classes alongside."""
+    f = classes[(h & np.uint64(len(classes) - 1)).astype(np.int64)]
+    order = np.argsort(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << 8 | f, kind="stable")
     return h[order], f[order]
 
 
-def _prefixes(n: int, percent: int, frequency, hot: int):
+def _prefixes(n: int, percent: int, classes):
     """Rows (token, salt, node, size, most) for the prefix of each set in the global order.
 
     ``most`` is the largest partner a link through this position can have: what
-    follows the position must hold the whole overlap. The set also serves as the
-    smaller partner there if ``most >= size``. A task gives each set once. Tokens
-    that may be frequent get a salt from 1; for all others, with salt 0, the
-    bucket's count bounds how many rows can meet.
+    follows the position must hold the whole overlap. A task gives each set once.
+    The rows of a token whose bucket counts more than ``PLACE_ROWS`` are dealt
+    by a salt over parts of about that size; all others have salt 0.
     """
 
     def run(batches):
-        f, seen = frequency.value, set()
+        f, seen = np.frombuffer(classes.value, np.uint8), set()
         for _, h, bounds in _sets(batches, n):
             size = np.diff(bounds)
             node = _fingerprints(h, bounds)
@@ -95,18 +118,19 @@ def _prefixes(n: int, percent: int, frequency, hot: int):
             own = np.repeat(np.arange(len(size)), take)
             position = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             at = bounds[:-1][own] + position
-            salt = np.where(freq[at] >= hot, 1 + (node[own] & 15), 0)
+            parts = np.exp2(freq[at] / 8.0).astype(np.int64) // PLACE_ROWS
+            salt = np.where(parts > 0, 1 + (node[own] & 0x7FFFFFFF) % (parts + 1), 0)
             most = (size[own] - position) * (100 + percent) // percent - size[own]
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node[own]), pa.array(size[own].astype(np.int32)), pa.array(most.astype(np.int32))], ["token", "salt", "node", "size", "most"])
 
     return run
 
 
-def _segments(n: int, cuts: np.ndarray, frequency):
+def _segments(n: int, cuts: np.ndarray, classes):
     """Rows (node, fragment, segment): a set cut at the fragments of the global order."""
 
     def run(batches):
-        f = frequency.value
+        f = np.frombuffer(classes.value, np.uint8)
         for _, h, bounds in _sets(batches, n):
             node = _fingerprints(h, bounds)
             h, freq = _in_global_order(h, bounds, f)
@@ -129,16 +153,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal sets are one node. All shingles are counted (in 2^order_bits hash buckets,
     a bounded table), which fixes one global order from rare to frequent. A link
     needs a common shingle in the sets' prefixes of that order, at positions that
-    leave room for the overlap; such postings meet by (shingle, size band). In
-    each meeting place the sets that can be the smaller partner take turns as
-    pivots, 4 in the first round and four times as many in each later one; a pair
-    already in one component needs no test. Pairs that remain are verified by
-    vertical partitioning: the order is cut into fragments, overlaps are counted
-    per fragment and summed per pair. The rounds end when no place holds an
-    untested pair between two components, so no link between components is lost,
-    and no group is expanded into all its pairs. Before its texts are cut, a pair
-    must pass a bound: buckets whose parities differ between two sketches each
-    hold a shingle of only one of the sets.
+    leave room for the overlap; sets with such a shingle meet in its place. First
+    each set of a place is held against the place's least set, which joins groups
+    of copies. Places whose sets are then of one component are closed. Of open
+    places with the same sets one stays; in size bands, sets take turns as
+    pivots, 8 in the first round and eight times as many in each later one, and
+    meet the sets of other components. Candidate pairs are verified by vertical
+    partitioning: the order is cut into fragments, overlaps are counted per
+    fragment and summed per pair. The rounds end when no place holds an untested
+    pair between two components, so no link between components is lost, and no
+    group is expanded into all its pairs. Before its texts are cut, a pair must
+    pass a bound: buckets whose parities differ between two sketches each hold a
+    shingle of only one of the sets.
 
     Words are maximal runs of other than space and \\x09-\\x0D after lower-casing
     A-Z. A text with fewer than n words is one shingle; one without words is
@@ -147,73 +173,91 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat an id stay separate rows. An empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = order_bits
-    profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, size long, node long, sketch array<long>, bucket int"), "profile")
-    frequency = np.zeros(1 << bits, np.int64)
-    counted = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).toPandas()
-    frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    ranked = np.sort(frequency[frequency > 0])
-    cuts = np.unique(ranked[np.searchsorted(np.cumsum(ranked), ranked.sum() * np.arange(1, fragments) / fragments)]) if len(ranked) else ranked
-    shared = spark.sparkContext.broadcast(frequency)
-    members = profile.where("bucket is null")
-
-    hot = max(4096, 16 * int(frequency.mean()))
-    postings = rows.select("text").mapInArrow(_prefixes(n, percent, shared, hot), "token long, salt int, node long, size int, most int")
-    here = Window.partitionBy("token", "salt")
-    met = postings.withColumn("x", F.min("node").over(here)).withColumn("y", F.max("node").over(here)).withColumn("room", F.max(F.col("most") - F.col("size")).over(here))
-    met = met.where("salt > 0 or (x <> y and room >= 0)").groupBy("token", "salt", "node").agg(F.min("size").alias("size"), F.max("most").alias("most")).drop("salt")
-    log = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / float(np.log(BAND))).cast("int")
-    low = log(F.ceil(F.col("size") * percent / 100))
-    met = met.withColumn("band", F.explode(F.sequence(low, F.greatest(low, log(F.least("size", "most"))))))
-    met = materialize(met.withColumn("pivot", (F.col("most") >= F.col("size")) & (F.col("band") == log(F.col("size")))), "met")
-    places = met.groupBy("token", "band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max(F.col("pivot").cast("int")).alias("i")).where("x <> y and i = 1").select("token", "band")
-    order = Window.partitionBy("token", "band").orderBy((F.col("most") / F.col("size")).desc(), "node")
-    turns = met.where("pivot").join(places, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("most").alias("p_most"), F.row_number().over(order).alias("turn"))
-    turns = materialize(turns, "turns")
-    fits = "node <> p and p_size <= size and p_size <= most and size <= p_most"
-    labels, wanted, done, width = None, None, 0, FIRST_PIVOTS
-    while True:
-        now = turns.where((F.col("turn") > done) & (F.col("turn") <= done + width))
-        if labels is None:
-            pairs = met.join(now, ["token", "band"]).where(fits)
-        else:
-            left = turns.where(F.col("turn") > done).select("token", "band").distinct()
-            met = _labelled(met.drop("label").join(left, ["token", "band"], "left_semi"), "node", labels, "label")
-            met = materialize(met, "met")
-            open_places = met.groupBy("token", "band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "band")
-            turns = materialize(turns.where(F.col("turn") > done).join(open_places, ["token", "band"], "left_semi"), "turns")
-            if turns.isEmpty():
-                break
-            now = _labelled(turns.where(F.col("turn") <= done + width), "p", labels, "p_label")
-            pairs = met.join(now, ["token", "band"]).where(f"{fits} and label <> p_label")
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), (F.col("size") + F.col("p_size")).alias("both"))
-        pairs = pairs.distinct()
-        if wanted is None:
-            pairs = materialize(pairs, "near")
-            later = turns.where(F.col("turn") > width).select("token", "band").distinct()
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.join(later, ["token", "band"], "left_semi").select("node")).distinct()
-            known = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
-            wanted = materialize(known.join(nodes, "node", "left_semi"), "wanted")
-            first = wanted.select("first").distinct()
-            texts = keep_slots(rows, first.select(F.col("first").alias("doc_id")), ["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-            segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
-        pairs = materialize(_possible(pairs, wanted, percent), "pairs")
-        found = _linked(pairs, segments, percent, len(cuts) + 1)
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(found)
-        forget(pairs)
-        done, width = done + width, width * 4
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("key"), F.col(text_col).alias("text"))
+    members, labels = _classes(rows, n, percent, fragments, order_bits)
     named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = _labelled(named, "node", labels, "label")
     names = named.groupBy("label").agg(F.min("least").alias("component"), F.sum("copies").alias("documents")).where("documents > 1")
     named = salted_left_join(named, names, ["label"], F.col("node"), 4).where("component is not null").select("node", "component")
     out = salted_left_join(members, named, ["node"], F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, key, text): their profiles (doc_id, key, size, node, sketch), and (node, label) of every node with a link."""
+    spark = rows.sparkSession
+    profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, key string, size long, node long, sketch array<long>, slice int, counts binary"), "profile")
+    cut = min(bits, SLICE_BITS)
+    table = np.zeros(1 << bits, np.uint8)
+    for part in profile.where("slice is not null").select("slice", "counts").repartition(1 << (bits - cut), "slice").mapInArrow(_summed(cut), "slice int, classes binary").collect():
+        table[part["slice"] << cut : (part["slice"] + 1) << cut] = np.frombuffer(part["classes"], np.uint8)
+    weight = np.bincount(table, minlength=256) * (np.exp2(np.arange(256) / 8.0) - 1)
+    cuts = np.unique(np.searchsorted(np.cumsum(weight), weight.sum() * np.arange(1, fragments) / fragments))
+    shared = spark.sparkContext.broadcast(table.tobytes())
+    members = profile.where("slice is null").drop("slice", "counts")
+
+    postings = rows.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node long, size int, most int")
+    place = Window.partitionBy("token", "salt").orderBy(F.col("most") < F.col("size"), "node")
+    met = postings.select("*", *[F.first(c).over(place).alias(f"x_{c}") for c in ("node", "size", "most")], F.lead("node").over(place).alias("next"))
+    met = materialize(met.where("salt > 0 or (x_most >= x_size and (next <> node or x_node <> node))").drop("salt", "next"), "met")
+    known = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+    wanted = materialize(known.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    first = wanted.select(F.col("first").alias("doc_id")).distinct()
+    texts = keep_slots(rows, first, ["doc_id"]).join(first, rows["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select("text")
+    segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
+
+    def judged(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        possible = materialize(_possible(pairs, wanted, percent), "pairs")
+        found = _linked(possible, segments, percent, len(cuts) + 1)
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        now = components(found)
+        forget(possible)
+        if labels is not None:
+            forget(labels)
+        return now
+
+    fits = "x_size <= size and x_size <= most and size <= x_most or size <= x_size and size <= x_most and x_size <= most"
+    labels = judged(_pairs(met.where(f"node <> x_node and ({fits})"), "x_node", "x_size"), None)
+
+    band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(100 / percent))).cast("int")
+    here = met.groupBy("token", "node").agg(F.max("size").alias("size"), F.max("most").alias("most"))
+    here = _open(_labelled(here, "node", labels, "label"), ["token"])
+    here = here.withColumn("band", F.explode(F.sequence(band(F.ceil(F.col("size") * percent / 100)), band(F.col("size")))))
+    here = here.withColumn("pivot", (F.col("most") >= F.col("size")) & (F.col("band") == band(F.col("size"))))
+    marks = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "node", "pivot"), 20)).alias(f"s{i}") for i in (1, 2)]
+    lists = here.groupBy("token", "band").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("sets"), F.sum(F.col("pivot").cast("int")).alias("pivots"), *marks)
+    chosen = lists.where("l <> m and pivots > 0").groupBy("sets", "s1", "s2").agg(F.min(F.struct("token", "band", "pivots")).alias("c")).select("c.*")
+    turn = F.floor(F.shiftrightunsigned(F.xxhash64("node", "token"), 33) / float(1 << 31) * F.col("pivots")).cast("int")
+    rest = here.join(chosen, ["token", "band"]).select("token", "band", "node", "size", F.when(F.col("pivot"), turn).alias("turn"))
+    rest = materialize(rest, "rest")
+    forget(met)
+    done, width = 0, FIRST_PIVOTS
+    while True:
+        left = materialize(_open(_labelled(rest, "node", labels, "label"), ["token", "band"], f"last_turn >= {done}", F.max("turn").alias("last_turn")), "rest")
+        forget(rest)
+        if left.isEmpty():
+            break
+        now = left.where((F.col("turn") >= done) & (F.col("turn") < done + width)).select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
+        pairs = left.join(now, ["token", "band"]).where(f"label <> p_label and p_size <= size and p_size * 100L >= size * {percent}L")
+        labels = judged(_pairs(pairs, "p", "p_size"), labels)
+        rest, done, width = left.drop("label"), done + width, width * 8
+    for x in (left, wanted, segments):
+        forget(x)
+    shared.unpersist()
+    return members, labels
+
+
+def _pairs(rows: DataFrame, other: str, other_size: str) -> DataFrame:
+    return rows.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"), (F.col("size") + F.col(other_size)).alias("both")).distinct()
+
+
+def _open(rows: DataFrame, place: list[str], also: str = "true", *more: Column) -> DataFrame:
+    """The rows of places that still hold two components."""
+    places = rows.groupBy(*place).agg(F.min("label").alias("l"), F.max("label").alias("m"), *more).where(f"l <> m and {also}").select(*place)
+    return rows.join(places, place, "left_semi")
+
+
 def _labelled(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataFrame:
     """Adds the component so far of a node; a node without links is its own."""
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
@@ -240,6 +284,17 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of every component the one with the least id; texts without words all stay."""
-    kept = jaccard_join(docs, id_col, text_col, n, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """The documents that stay, in their own columns: of every component the one with the least id.
+
+    Texts without words all stay. Null ids come last. Of rows that share the
+    least id one stays, whatever the ids elsewhere; rows equal in id and text
+    count once.
+    """
+    keyed = docs.withColumn("__key", F.concat_ws(":", *[row_key(id_col, text_col)[k] for k in ("k1", "k2")]))
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    members, labels = _classes(rows, n, percent, FRAGMENTS, ORDER_BITS)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    nodes = members.where("node <> 0").groupBy("node").agg(first.alias("first"))
+    kept = _labelled(nodes, "node", labels, "label").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    kept = kept.unionByName(members.where("node = 0").select(F.col("key").alias("__key"))).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
