@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ KINDS = ("assign", "access", "hex")
 
 # Candidates for the entropy scan: long runs of key-like characters.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 WINDOW = 20
 #: Bits per character that a window must reach, by the class of its string. A window of 20 digits has at most 3.3: that class is off.
 LEAST_BITS = {"digits": 9.0, "hex": 3.0, "alnum": 3.6, "base64": 3.6}
@@ -22,6 +25,17 @@ LEAST_BITS = {"digits": 9.0, "hex": 3.0, "alnum": 3.6, "base64": 3.6}
 ALLOWED = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*example.*|sha(1|256|384|512)-.*|[0-9/_=-]+)$"
 
 _MARK = "\u0001"
+#: Parts of a text that are gathered at a time; even, so that each block begins with a part that is no match.
+BLOCK = 512
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string,match:string>>)")
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -30,17 +44,34 @@ def _parts(text: Column, pattern: str) -> Column:
 
 
 def _spans(parts: Column, kind: str, keep) -> Column:
-    """array<struct<start,end,kind,order,match>> of the matches that pass ``keep``, with code point offsets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string,match:string>>)").alias("out"))
+    """array<struct<start,end,order,kind,match>> of the matches that pass ``keep``, with code point offsets.
+
+    Parts are taken in blocks of BLOCK, so lists that grow by an element at a time stay short.
+    """
     order = KINDS.index(kind) if kind in KINDS else len(KINDS)
+    length = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: n + F.char_length(p))
+
+    def spans(block: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.lit(0).alias("i"), _none().alias("out"))
+
+        def step(acc: Column, part: Column) -> Column:
+            end = (acc["at"] + F.char_length(part)).cast("int")
+            span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), part.alias("match"))
+            out = F.when((acc["i"] % 2 == 1) & keep(part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
+
+        return F.aggregate(block, begin, step, lambda acc: acc["out"])
+
+    def of(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), lambda i: F.slice(parts, i + 1, BLOCK))
+        return _let(blocks, lambda bs: _let(_starts(F.transform(bs, length)), lambda at: F.flatten(F.transform(bs, lambda b, i: spans(b, F.get(at, i))))))
+
+    return _let(parts, of)
 
-    def step(acc: Column, part: Column) -> Column:
-        size = F.char_length(part)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + size).cast("int").alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), part.alias("match"))
-        out = F.when((acc["i"] % 2 == 1) & keep(part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((acc["at"] + size).cast("int").alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def _starts(lengths: Column) -> Column:
+    """Where each block begins."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int"))))
 
 
 def _class(s: Column) -> Column:
@@ -53,7 +84,7 @@ def _least(s: Column) -> Column:
 
 def _cut(c: Column, base: Column, window: int) -> Column:
     """What the base spans (in order) leave of a candidate, as spans of at least ``window`` characters."""
-    start = F.struct(c["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string,match:string>>)").alias("out"))
+    start = F.struct(c["start"].alias("at"), _none().alias("out"))
 
     def add(acc: Column, end: Column) -> Column:
         piece = F.struct(acc["at"].alias("start"), end.alias("end"), c["order"].alias("order"), c["kind"].alias("kind"), F.substring(c["match"], acc["at"] - c["start"] + 1, end - acc["at"]).alias("match"))
@@ -66,40 +97,27 @@ def _cut(c: Column, base: Column, window: int) -> Column:
     return F.aggregate(base, start, step, lambda acc: add(acc, c["end"]))
 
 
-def _hot_windows(s: Column, least: Column, window: int) -> Column:
+def _hot_windows(codes: Column, least: Column, window: int) -> Column:
     """(first, last) character of the windows that reach the entropy, or -1.
 
     One pass: the counts of the window's characters change by one that comes and
     one that goes, and with them the sum of c*log2(c); the entropy of w characters is
     log2(w) - sum/w.
     """
-    chars = F.split(s, "")
-    state = F.struct(
-        F.expr("cast(map() as map<string,int>)").alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.lit(0).alias("i"),
-        F.lit(-1).alias("first"),
-        F.lit(-1).alias("last"),
-    )
-    f = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    changed = lambda counts, key, by: F.map_concat(F.map_filter(counts, lambda k, _: k != key), F.create_map(key, F.coalesce(F.element_at(counts, key), F.lit(0)) + by))
-
-    def step(acc: Column, ch: Column) -> Column:
-        c = F.coalesce(F.element_at(acc["counts"], ch), F.lit(0))
-        total = acc["total"] + f(c + 1) - f(c)
-        counts = changed(acc["counts"], ch, 1)
-        full = acc["i"] >= window
-        gone = F.when(full, F.element_at(chars, F.greatest(acc["i"] - window, F.lit(0)) + 1))
-        g = F.coalesce(F.element_at(counts, gone), F.lit(0))
-        total = F.when(full, total + f(g - 1) - f(g)).otherwise(total)
-        counts = F.when(full, changed(counts, gone, -1)).otherwise(counts)
-        bits = F.lit(window).cast("double")
-        hot = (acc["i"] >= window - 1) & (F.log2(bits) - total / bits >= least)
+    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, code: Column) -> Column:
+        gone = F.when(acc["i"] >= window, F.get(codes, acc["i"] - window)).otherwise(-1)
+        n, m = F.get(acc["counts"], code), F.get(acc["counts"], F.greatest(gone, F.lit(0))) + F.when(gone == code, 1).otherwise(0)
+        total = acc["total"] + F.get(terms, n + 1) - F.get(terms, n) + F.when(gone >= 0, F.get(terms, m - 1) - F.get(terms, m)).otherwise(0.0)
+        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == code, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0))
+        hot = (acc["i"] >= window - 1) & (math.log2(window) - total / window >= least)
         first = F.when(hot & (acc["first"] < 0), acc["i"] - (window - 1)).otherwise(acc["first"])
         last = F.when(hot, acc["i"]).otherwise(acc["last"])
         return F.struct(counts.alias("counts"), total.alias("total"), (acc["i"] + 1).alias("i"), first.alias("first"), last.alias("last"))
 
-    return F.aggregate(chars, state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(codes, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -122,20 +140,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, "\u0002")
     value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    none = F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string,match:string>>)")
     rows = docs.select(F.col(id_col).alias(id_col), text.alias("__t"))
     rules = {"assign": (ASSIGN, value), "access": (r"AKIA[A-Z0-9]{16,}", lambda m: F.lit(True)), "hex": (r"[0-9a-f]{24,}", lambda m: F.lit(True)), "entropy": (CANDIDATE, lambda m: ~m.rlike(ALLOWED))}
     for kind, (pattern, keep) in rules.items():
-        rows = rows.withColumn(f"__{kind}", F.when(F.col("__t").rlike(pattern), _spans(_parts(F.col("__t"), pattern), kind, keep)).otherwise(none))
+        rows = rows.withColumn(f"__{kind}", F.when(F.col("__t").rlike(pattern), _spans(_parts(F.col("__t"), pattern), kind, keep)).otherwise(_none()))
     base = F.concat(*[F.col(f"__{k}") for k in KINDS])
     rows = rows.drop("__t").withColumn("__base", F.array_sort(base))
     left = F.filter(F.flatten(F.transform("__entropy", lambda c: _cut(c, F.col("__base"), window))), lambda c: ~c["match"].rlike(ALLOWED))
     rows = rows.withColumn("__entropy", F.when((F.size("__entropy") > 0) & (F.size("__base") > 0), left).otherwise(F.col("__entropy")))
-    hot = F.transform("__entropy", lambda c: F.struct(c.alias("c"), _hot_windows(c["match"], _least(c["match"]), window).alias("w")))
+    once = F.transform("__entropy", lambda c: F.struct(c.alias("c"), F.transform(F.split(c["match"], ""), lambda x: F.instr(F.lit(ALPHABET), x)).alias("codes"), _least(c["match"]).alias("least")))
+    hot = F.transform(once, lambda x: F.struct(x["c"].alias("c"), _hot_windows(x["codes"], x["least"], window).alias("w")))
     hot = F.filter(hot, lambda x: x["w"]["first"] >= 0)
     at = lambda x, k: (x["c"]["start"] + x["w"][k]).cast("int")
     found = F.transform(hot, lambda x: F.struct(at(x, "first").alias("start"), (at(x, "last") + 1).cast("int").alias("end"), x["c"]["order"].alias("order"), x["c"]["kind"].alias("kind"), F.substring(x["c"]["match"], x["w"]["first"] + 1, x["w"]["last"] - x["w"]["first"] + 1).alias("match")))
-    added = F.when(F.size("__entropy") > 0, found).otherwise(none)
+    added = F.when(F.size("__entropy") > 0, found).otherwise(_none())
     return rows.select(id_col, F.array_sort(F.concat("__base", added)).alias("spans"))
 
 
