@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a new one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a new one only where it is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
+    if not at and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         at = tempfile.mkdtemp(prefix="atrium-")
         spark.sparkContext.setCheckpointDir(at)
+    if not at:
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     return at
 
 
@@ -53,15 +55,26 @@ def row_key(id_col: str, text_col: str = "text") -> Column:
     return F.struct(*[F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{seed}") for seed in (1, 2)])
 
 
-def keep_slots(df: DataFrame, keys: DataFrame, cols: list[str], slots: int = 1 << 18) -> DataFrame:
-    """Rows of df whose key may occur in keys, decided on the map side.
+#: Words of 64 slots that a set of marks has at most: 2^24 slots.
+MARK_WORDS = 1 << 18
 
-    Only the distinct slot numbers of the keys are broadcast, at most ``slots``
-    integers whatever the size of ``keys``. Rows of other keys may pass (an exact
-    join must follow); no row of these keys is lost.
-    """
-    marks = keys.select(slot(*[F.col(c) for c in cols], slots=slots).alias("__slot")).distinct()
-    return df.withColumn("__slot", slot(*[F.col(c) for c in cols], slots=slots)).join(F.broadcast(marks), "__slot", "left_semi").drop("__slot")
+
+def marks(keys: DataFrame, *cols: Column, words: int = MARK_WORDS) -> DataFrame:
+    """(__word, __bits): a bit for each slot that the keys take; at most ``words`` rows whatever the number of keys."""
+    at = keys.select(slot(*cols, slots=words * 64).alias("__slot"))
+    return at.groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, __slot & 63)")).alias("__bits"))
+
+
+def with_mark(df: DataFrame, marked: DataFrame, *cols: Column, name: str = "__marked", words: int = MARK_WORDS) -> DataFrame:
+    """Adds whether a row's key may be among the marked ones; always true for those. Decided on the map side, against a bounded broadcast."""
+    out = df.withColumn("__slot", slot(*cols, slots=words * 64)).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(marked), "__word", "left")
+    return out.withColumn(name, F.coalesce(F.expr("shiftright(__bits, __slot & 63) & 1L = 1L"), F.lit(False))).drop("__slot", "__word", "__bits")
+
+
+def keep_slots(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of df whose key may occur in keys: an exact join must follow; no row of these keys is lost."""
+    of = [F.col(c) for c in cols]
+    return with_mark(df, marks(keys, *of), *of).where("__marked").drop("__marked")
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, salts: int = 8) -> DataFrame:
