@@ -113,30 +113,54 @@ def test_components_join_a_ring(spark):
     assert {got[i] for i in range(50)} == {0} and got[100] == got[101] == 100
 
 
-def test_pfair_period_stays_within_one_block():
-    for weights in ({"a": 1.0}, {"a": 5, "b": 3, "c": 1, "d": 0.01}, {f"s{i}": 1 + i % 7 for i in range(60)}):
-        share = mixing.shares(weights, 512)
-        assert sum(share.values()) == 512
-        done = dict.fromkeys(share, 0)
-        for s, k, t in mixing.pfair_period(share, 512):
-            assert k == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - share[x] * (t + 1) / 512) < 1 for x in share)
+def plain_schedule(weights, slots):
+    """Slot by slot: of the released blocks the one that is due first."""
+    total, at, out = sum(weights), [0] * len(weights), []
+    for t in range(slots):
+        due, i = min((-(-(k + 1) * total // w), i) for i, (k, w) in enumerate(zip(at, weights)) if k * total // w <= t)
+        assert due > t
+        out.append((i, at[i]))
+        at[i] += 1
+    return out
+
+
+def test_frames_equal_a_schedule_made_slot_by_slot():
+    rng = random.Random(1)
+    for _ in range(150):
+        weights = [rng.choice([1, 2, 3, rng.randint(1, 500)]) for _ in range(rng.randint(1, 12))]
+        slots, size, n = rng.randint(1, 900), rng.choice([1, 7, 64]), len(weights)
+        phase = mixing.Phase(0, slots, sum(weights), tuple(range(n)), tuple(weights), (0,) * n)
+        got = {}
+        for k in range(-(-slots // size)):
+            got |= phase.frame(k, size)
+        assert got == {x: t for t, x in enumerate(plain_schedule(weights, slots))}
+
+
+def test_mix_stays_within_a_block_of_the_target_for_any_number_of_slots():
+    weights = {"a": 0.7, "b": 0.29995, "c": 0.00005}
+    whole = mixing.whole_weights(weights)
+    assert whole == {"a": 14000, "b": 5999, "c": 1}
+    blocks = [280_000, 130_000, 25]
+    (first, *rest) = mixing.phases(list(whole.values()), blocks)
+    for t in (1, 4096, 99_991, first.length - 1):
+        assert sum(first.done(t)) == t and all(abs(n - t * w / 20_000) < 1 for n, w in zip(first.done(t), whole.values()))
+    assert first.length == 400_000 and sum(p.length for p in rest) in (sum(blocks) - 400_000, sum(blocks) - 399_999)
     with pytest.raises(ValueError):
-        mixing.shares({"a": 0.0})
+        mixing.whole_weights({"a": 0.0})
 
 
 def test_mix_keeps_all_rows_in_order(spark):
-    df = spark.createDataFrame([(i if i % 50 else None, "t", "en", None if i % 10 == 9 else f"s{min(i % 10, 3)}", 0) for i in range(1000)], DOC).withColumn("slot", F.lit("old"))
-    out = mixing.mix(df, {"s0": 1, "s1": 2, "s2": 1, "s3": 3, None: 1}, block=4, period=64).collect()
-    assert len(out) == 1000 and len({r.mix_position for r in out}) == 1000
+    df = spark.createDataFrame([(i if i % 50 else None, "t", "en", None if i % 10 == 9 else f"s{min(i % 10, 3)}", 0) for i in range(1000)], DOC).withColumn("slot", F.lit("old")).withColumn("rank", F.col("doc_id") + 7)
+    weights = {"s0": 1, "s1": 2, "s2": 1, "s3": 3, None: 1}
+    out = mixing.mix(df, weights, block=4).collect()
+    assert len(out) == 1000 and len({r.mix_position for r in out}) == 1000 and all(r["rank"] is None or r["rank"] == r.doc_id + 7 for r in out)
     blocks = collections.Counter((r.source, r.block_no) for r in out)
     assert max(blocks.values()) == 4 and len({(r.slot, r.source) for r in out}) == len({r.slot for r in out})
-    share = mixing.shares({"s0": 1, "s1": 2, "s2": 1, "s3": 3, None: 1}, 64)
-    ends = {s: max(r.slot for r in out if r.source == s) for s in share}
+    ends = {s: max(r.slot for r in out if r.source == s) for s in weights}
     for t in range(0, min(ends.values())):
-        for s in share:
-            assert abs(len({r.slot for r in out if r.source == s and r.slot <= t}) - share[s] * (t + 1) / 64) < 1
+        for s in weights:
+            assert abs(len({r.slot for r in out if r.source == s and r.slot <= t}) - weights[s] * (t + 1) / 8) < 1
+    assert max(r.slot for r in out) <= 250 + 5
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -269,6 +293,28 @@ def test_entropy_windows_equal_plain_python(spark):
     assert got[0] == f"entropy:{4 + a}:{4 + b}" and got[1] == "" and got[2] == "" and "entropy" not in got[3] and got[4] == ""
 
 
+def test_entropy_spans_of_all_classes_equal_plain_python(spark):
+    rng = random.Random(9)
+    classes = {"hex": "ABCDEF0123456789", "alnum": "abcXYZ0123456789ghijKLMN", "base64": "abcdefghijkLMNOP0123456789+/_=-"}
+    texts = ["".join(rng.choice(classes[k][: rng.randint(4, 40)]) for _ in range(rng.randint(15, 90))) for k in classes for _ in range(40)]
+    got = [r.spans for r in secrets.digest(secrets.scan_secrets(docs(spark, texts))).orderBy("doc_id").collect()]
+    allowed, least = re.compile(secrets.ALLOWED), {"hex": 3.0, "alnum": 3.6, "base64": 3.6}
+    for text, spans in zip(texts, got, strict=True):
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", text) else "alnum" if re.fullmatch("[0-9a-zA-Z]+", text) else "base64"
+        bits = [-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(text[i : i + 20]).values()) for i in range(len(text) - 19)]
+        at = [i for i, b in enumerate(bits) if b >= least[kind] - 1e-9]
+        want = f"entropy:{at[0]}:{at[-1] + 20}" if at and not allowed.search(text) and not re.fullmatch("[0-9]+", text) else ""
+        assert plain_spans(text) or spans == want
+
+
+def test_secrets_of_very_long_strings_and_many_matches(spark):
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
+    many = " ".join(f"token=abcdef{i}" for i in range(20_000))
+    got = secrets.digest(secrets.scan_secrets(docs(spark, [key, many]))).orderBy("doc_id").collect()
+    assert got[0].spans == "entropy:0:100000" and got[1].n_assign == 20_000 and got[1].spans == ",".join(plain_spans(many))
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     fold = lambda k, n: np.bitwise_xor.reduce(k.reshape(-1, n), axis=0)
@@ -314,6 +360,9 @@ def test_decisions_stay_with_their_own_rows(spark):
     assert sorted(r.source for r in decontaminate.clean_of(df, bench).collect()) == ["b", "d", "e"]
     assert sorted((str(r.doc_id), r.contaminated) for r in decontaminate.report(df, bench).collect()) == [("3", False), ("3", True), ("4", False), ("None", False), ("None", True)]
     assert sorted(map(str, (r.doc_id for r in decontaminate.contaminated(df, bench).collect()))) == ["3", "None"]
+    near = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(3, near, "a"), (3, near + " more", "b"), (3, "quite another text of its own", "c"), (None, near + " x", "d"), (4, "", "e"), (4, None, "f")], schema)
+    assert sorted(r.source for r in ngram_join.one_of_each(df).collect()) in (["a", "c", "e"], ["b", "c", "e"], ["a", "c", "f"], ["b", "c", "f"])
     df = spark.createDataFrame([(None, "x", "a"), (None, "x", "a"), (3, "y", "b"), (3, "y", "c"), (3, "z", "d"), (9, "z", "e"), (5, None, "f"), (5, "", "f")], schema)
     assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.one_of_each(df).collect()) == [("3", "y"), ("5", ""), ("9", "z"), ("None", "x")]
 
