@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +156,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     needs a common shingle in the sets' prefixes of that order, at positions that
     leave room for the overlap; sets with such a shingle meet in its place. First
     each set of a place is held against the place's least set, which joins groups
-    of copies. Places whose sets are then of one component are closed. Of open
-    places with the same sets one stays; in size bands, sets take turns as
+    of copies. Places whose sets are then of one component are closed. Open
+    places with the same sets become one; in size bands, sets take turns as
     pivots, 8 in the first round and eight times as many in each later one, and
     meet the sets of other components. Candidate pairs are verified by vertical
     partitioning: the order is cut into fragments, overlaps are counted per
@@ -202,13 +203,21 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
     met = materialize(met.where("salt > 0 or (x_most >= x_size and (next <> node or x_node <> node))").drop("salt", "next"), "met")
     known = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
     wanted = materialize(known.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
-    first = wanted.select(F.col("first").alias("doc_id")).distinct()
-    texts = keep_slots(rows, first, ["doc_id"]).join(first, rows["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select("text")
-    segments = materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments")
+    cut_sets: list[DataFrame] = []
 
     def judged(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Adds the links among the pairs to the components so far; sets are cut when a pair first needs them."""
         possible = materialize(_possible(pairs, wanted, percent), "pairs")
-        found = _linked(possible, segments, percent, len(cuts) + 1)
+        if labels is not None and possible.isEmpty():
+            forget(possible)
+            return labels
+        nodes = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for x in cut_sets:
+            nodes = nodes.join(x.select("node"), "node", "left_anti")
+        first = wanted.join(nodes, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+        texts = keep_slots(rows, first, ["doc_id"]).join(first, rows["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select("text")
+        cut_sets.append(materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments"))
+        found = _linked(possible, reduce(DataFrame.unionByName, cut_sets), percent, len(cuts) + 1)
         if labels is not None:
             found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         now = components(found)
@@ -227,9 +236,11 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
     here = here.withColumn("pivot", (F.col("most") >= F.col("size")) & (F.col("band") == band(F.col("size"))))
     marks = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "node", "pivot"), 20)).alias(f"s{i}") for i in (1, 2)]
     lists = here.groupBy("token", "band").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("sets"), F.sum(F.col("pivot").cast("int")).alias("pivots"), *marks)
-    chosen = lists.where("l <> m and pivots > 0").groupBy("sets", "s1", "s2").agg(F.min(F.struct("token", "band", "pivots")).alias("c")).select("c.*")
+    alike = Window.partitionBy("sets", "s1", "s2")
+    lists = lists.where("l <> m and pivots > 0").select("token", "band", "pivots", F.min(F.struct("token", "band")).over(alike).alias("place"))
+    rest = here.join(lists, ["token", "band"]).groupBy("place", "pivots", "node").agg(F.max("size").alias("size"), F.max("most").alias("most"), F.max("pivot").alias("pivot"))
     turn = F.floor(F.shiftrightunsigned(F.xxhash64("node", "token"), 33) / float(1 << 31) * F.col("pivots")).cast("int")
-    rest = here.join(chosen, ["token", "band"]).select("token", "band", "node", "size", F.when(F.col("pivot"), turn).alias("turn"))
+    rest = rest.select("place.*", "node", "size", "most", "pivot", "pivots").select("token", "band", "node", "size", "most", F.when(F.col("pivot"), turn).alias("turn"))
     rest = materialize(rest, "rest")
     forget(met)
     done, width = 0, FIRST_PIVOTS
@@ -238,11 +249,11 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
         forget(rest)
         if left.isEmpty():
             break
-        now = left.where((F.col("turn") >= done) & (F.col("turn") < done + width)).select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
-        pairs = left.join(now, ["token", "band"]).where(f"label <> p_label and p_size <= size and p_size * 100L >= size * {percent}L")
+        now = left.where((F.col("turn") >= done) & (F.col("turn") < done + width)).select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("most").alias("p_most"), F.col("label").alias("p_label"))
+        pairs = left.join(now, ["token", "band"]).where("label <> p_label and p_size <= size and p_size <= most and size <= p_most")
         labels = judged(_pairs(pairs, "p", "p_size"), labels)
         rest, done, width = left.drop("label"), done + width, width * 8
-    for x in (left, wanted, segments):
+    for x in (left, wanted, *cut_sets):
         forget(x)
     shared.unpersist()
     return members, labels
