@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,12 +187,13 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     slots = Slots(plan)
     index = {s: i for i, s in enumerate(names)}
 
-    @F.pandas_udf("long")
-    def slot(source: pd.Series, number: pd.Series) -> pd.Series:
-        blocks = pd.DataFrame({"s": source, "k": number})
-        once = blocks.drop_duplicates().sort_values("k")
-        at = {(s, k): slots.of(index[None if pd.isna(s) else s], int(k)) for s, k in once.itertuples(index=False)}
-        return pd.Series([at[s, k] for s, k in blocks.itertuples(index=False)], dtype="int64")
+    @F.arrow_udf("long")
+    def slot(source: pa.Array, number: pa.Array) -> pa.Array:
+        at: dict = {}
+        blocks = list(zip(source.to_pylist(), number.to_pylist(), strict=True))
+        for s, k in sorted(set(blocks), key=lambda b: b[1]):
+            at[s, k] = slots.of(index[s], k)
+        return pa.array([at[b] for b in blocks], pa.int64())
 
     out = numbered.withColumn("slot", slot(F.col(source_col), F.col("block_no")))
     return out.withColumn("mix_position", F.col("slot") * block + F.col("__rank") % block).select(*docs.columns, "block_no", "slot", "mix_position")

@@ -18,7 +18,7 @@ FRAGMENTS = 8
 ORDER_BITS = 22
 #: Bits of the slices in which the table is summed.
 SLICE_BITS = 18
-#: Pivots of a place in the first round over open places; each later round takes eight times as many.
+#: Pivots of a place in the first round over open places; each later round takes 32 times as many.
 FIRST_PIVOTS = 8
 #: Rows that one part of a frequent shingle's place holds.
 PLACE_ROWS = 1 << 16
@@ -158,7 +158,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each set of a place is held against the place's least set, which joins groups
     of copies. Places whose sets are then of one component are closed. Open
     places with the same sets become one; in size bands, sets take turns as
-    pivots, 8 in the first round and eight times as many in each later one, and
+    pivots, 8 in the first round and 32 times as many in each later one, and
     meet the sets of other components. Candidate pairs are verified by vertical
     partitioning: the order is cut into fragments, overlaps are counted per
     fragment and summed per pair. The rounds end when no place holds an untested
@@ -217,14 +217,15 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
         first = wanted.join(nodes, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct()
         texts = keep_slots(rows, first, ["doc_id"]).join(first, rows["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select("text")
         cut_sets.append(materialize(texts.mapInArrow(_segments(n, cuts, shared), "node long, fragment int, segment array<long>"), "segments"))
-        found = _linked(possible, reduce(DataFrame.unionByName, cut_sets), percent, len(cuts) + 1)
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        now = components(found)
+        found = materialize(_linked(possible, reduce(DataFrame.unionByName, cut_sets), percent, len(cuts) + 1), "links")
         forget(possible)
-        if labels is not None:
-            forget(labels)
-        return now
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            before, labels = labels, components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+            forget(before)
+        forget(found)
+        return labels
 
     fits = "x_size <= size and x_size <= most and size <= x_most or size <= x_size and size <= x_most and x_size <= most"
     labels = judged(_pairs(met.where(f"node <> x_node and ({fits})"), "x_node", "x_size"), None)
@@ -252,7 +253,7 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
         now = left.where((F.col("turn") >= done) & (F.col("turn") < done + width)).select("token", "band", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("most").alias("p_most"), F.col("label").alias("p_label"))
         pairs = left.join(now, ["token", "band"]).where("label <> p_label and p_size <= size and p_size <= most and size <= p_most")
         labels = judged(_pairs(pairs, "p", "p_size"), labels)
-        rest, done, width = left.drop("label"), done + width, width * 8
+        rest, done, width = left.drop("label"), done + width, width * 32
     for x in (left, wanted, *cut_sets):
         forget(x)
     shared.unpersist()
