@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,32 +39,39 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     raise RuntimeError("components did not settle")
 
 
-def shortest_distances(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(floor_id, node_id, distance): from each floor's sources, by Dijkstra's rule, one floor per group.
+def wide_arcs(arcs: DataFrame, doublings: int = 2) -> DataFrame:
+    """Arcs (a, b, cost, distance, path) of up to 2^doublings edges: for each pair of nodes the cheapest, ties to the least path."""
+    now = arcs
+    for _ in range(doublings):
+        on = now.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("cost2"), F.col("distance").alias("distance2"), F.col("path").alias("path2"))
+        longer = now.join(on, F.col("b") == F.col("m")).where("a <> c").select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("cost2"), 6).alias("cost"), F.round(F.col("distance") + F.col("distance2"), 6).alias("distance"), F.concat("path", "path2").alias("path"))
+        now = step(_cheapest(now.unionByName(longer), ["a", "b"]), "arcs")
+    return now
+
+
+def _cheapest(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(F.min(F.struct("cost", "path", "distance")).alias("r")).select(*key, "r.cost", "r.distance", "r.path")
 
-    ``nodes``: floor_id, node_id, source (boolean); ``arcs``: floor_id, a, b, cost.
-    A floor's graph is a building's storey, so a group stays small; floors run in parallel.
-    """
 
-    def run(here: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list[tuple[int, float]]] = {}
-        for a, b, cost in zip(roads["a"], roads["b"], roads["cost"], strict=True):
-            out.setdefault(a, []).append((b, cost))
-        heap = [(0.0, n) for n in here.loc[here["source"], "node_id"]]
-        heapq.heapify(heap)
-        done: dict[int, float] = {}
-        while heap:
-            d, n = heapq.heappop(heap)
-            if n in done:
-                continue
-            done[n] = d
-            for m, cost in out.get(n, ()):
-                if m not in done:
-                    heapq.heappush(heap, (d + cost, m))
-        floor = here["floor_id"].iloc[0] if len(here) else 0
-        return pd.DataFrame({"floor_id": [floor] * len(done), "node_id": list(done), "distance": list(done.values())})
-
-    return nodes.groupBy("floor_id").cogroup(arcs.groupBy("floor_id")).applyInPandas(run, "floor_id long, node_id long, distance double")
+def routes(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> DataFrame:
+    """(source, node_id, cost, distance, path): the cheapest route from each source to every node it reaches, ties to the least path.
+
+    ``sources``: source, node_id, and cost if a search starts with one; ``arcs``: a, b, cost, distance, edge_id, directed.
+    Rounds of one join and one aggregation: only nodes whose cost fell in a round go on, by arcs of up to four edges, so
+    rounds are a quarter of the longest route's edges. Costs are rounded to 6 decimals. ``within`` bounds the cost.
+    """
+    arcs = wide_arcs(step(_cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost"), "distance", F.array("edge_id").alias("path")), ["a", "b"]), "arcs"))
+    cost = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
+    best = front = step(_cheapest(sources.select("source", "node_id", cost.alias("cost"), F.lit(0.0).alias("distance"), F.array().cast("array<bigint>").alias("path")), ["source", "node_id"]), "routes")
+    over = arcs.select("a", "b", F.col("cost").alias("more"), F.col("distance").alias("length"), F.col("path").alias("rest"))
+    while True:
+        on = front.join(over, front["node_id"] == over["a"]).select("source", F.col("b").alias("node_id"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"), F.round(F.col("distance") + F.col("length"), 6).alias("distance"), F.concat("path", "rest").alias("path"))
+        on = _cheapest(on if within is None else on.where(F.col("cost") <= within), ["source", "node_id"])
+        known = best.select("source", "node_id", F.struct("cost", "path").alias("known"))
+        front = step(on.join(known, ["source", "node_id"], "left").where(F.col("known").isNull() | (F.struct("cost", "path") < F.col("known"))).drop("known"), "front")
+        if front.isEmpty():
+            return best
+        best = step(best.join(front.select("source", "node_id"), ["source", "node_id"], "left_anti").unionByName(front), "routes")
 
 
 def mergeable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,13 +80,18 @@ def mergeable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("first"), F.max("edge_id").alias("second"), F.sum("distance").alias("length")).where("n = 2").drop("n")
 
 
-def grid_components(cells: DataFrame) -> DataFrame:
-    """Labels of 4-neighbour groups of cells (floor_id, col, row_no): adds label, the least cell number."""
-    numbered = cells.withColumn("node_id", (F.col("floor_id") * 1_000_000 + F.col("row_no") * 1000 + F.col("col")).cast("long"))
-    right = numbered.select(F.col("node_id").alias("source"), (F.col("node_id") + 1).alias("target"))
-    down = numbered.select(F.col("node_id").alias("source"), (F.col("node_id") + 1000).alias("target"))
-    edges = right.unionByName(down).join(numbered.select(F.col("node_id").alias("target")), "target", "left_semi")
-    return numbered.join(components(numbered, edges), "node_id")
+def grid_components(cells: DataFrame, joined=None) -> DataFrame:
+    """Groups of neighbouring cells (floor_id, col, row_no, x, y): adds zone_col and zone_row, the group's first cell by row, then column.
+
+    ``joined`` may drop pairs of neighbours (floor_id, col, row_no, to_col, to_row, ax, ay, bx, by).
+    """
+    there = cells.select("floor_id", F.col("col").alias("to_col"), F.col("row_no").alias("to_row"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    step_to = F.explode(F.array(F.struct((F.col("col") + 1).alias("to_col"), F.col("row_no").alias("to_row")), F.struct(F.col("col").alias("to_col"), (F.col("row_no") + 1).alias("to_row"))))
+    pairs = cells.select("floor_id", "col", "row_no", F.col("x").alias("ax"), F.col("y").alias("ay"), step_to.alias("n")).select("*", "n.*").drop("n").join(there, ["floor_id", "to_col", "to_row"])
+    pairs = joined(pairs) if joined else pairs
+    cell = lambda row, col: F.struct(F.col("floor_id").alias("f"), F.col(row).alias("r"), F.col(col).alias("c"))
+    labels = components(cells.select(cell("row_no", "col").alias("node_id")), pairs.select(cell("row_no", "col").alias("source"), cell("to_row", "to_col").alias("target")))
+    return labels.select(F.col("node_id.f").alias("floor_id"), F.col("node_id.c").alias("col"), F.col("node_id.r").alias("row_no"), F.col("label.c").alias("zone_col"), F.col("label.r").alias("zone_row"))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

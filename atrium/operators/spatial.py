@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as G
+from atrium.sources.shared import step
 
 
 def _bin(v: Column, size: float) -> Column:
@@ -33,29 +36,27 @@ def disc_join(points: DataFrame, discs: DataFrame, radius: Column, size: float,
     return out.drop(binned["floor_id"]).drop(binned["bx"]).drop(binned["by"]).drop("__r", "bx", "by")
 
 
-def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, measure, box, start: float = 8.0, most: float = 4096.0) -> DataFrame:
+def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, measure, box, start: float = 8.0) -> DataFrame:
     """The nearest target on the same floor for each point: (key, target, dist), ties to the least target.
 
     ``box`` gives a target's bounding box, ``measure`` the distance. Search starts
     with bins of ``start`` metres; points that found nothing within that distance
-    try again with twice as much.
+    try again with four times as much, until each point on a floor with targets
+    has one.
     """
-    todo, parts, reach = points, [], start
+    floors = targets.select("floor_id").distinct()
+    todo, parts, reach = step(points.join(floors, "floor_id", "left_semi"), "todo"), [], start
     while True:
         x0, y0, x1, y1 = box
-        bins = spread(targets, x0 - reach, y0 - reach, x1 + reach, y1 + reach, reach).withColumnRenamed("floor_id", "__f").withColumnRenamed("bx", "__bx").withColumnRenamed("by", "__by")
+        bins = spread(targets, x0 - reach, y0 - reach, x1 + reach, y1 + reach, reach).withColumnsRenamed({"floor_id": "__f", "bx": "__bx", "by": "__by"})
         here = todo.withColumn("bx", _bin(F.col("x"), reach)).withColumn("by", _bin(F.col("y"), reach))
         pairs = here.join(bins, (F.col("floor_id") == F.col("__f")) & (F.col("bx") == F.col("__bx")) & (F.col("by") == F.col("__by"))).withColumn("dist", measure)
         best = pairs.where(F.col("dist") <= reach).groupBy(key).agg(F.min(F.struct(F.round("dist", 9).alias("d"), F.col(target).alias("t"))).alias("b"))
-        parts.append(best.select(key, F.col("b.t").alias(target), F.col("b.d").alias("dist")))
-        todo = todo.join(best.select(key), key, "left_anti")
+        parts.append(step(best.select(key, F.col("b.t").alias(target), F.col("b.d").alias("dist")), "nearest"))
+        todo = step(todo.join(parts[-1].select(key), key, "left_anti"), "todo")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
         reach *= 4
-        if reach > most or todo.isEmpty():
-            break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -73,12 +74,3 @@ def interval_union(df: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi
     starts = F.when(before.isNull() | (F.col(lo) > before + 1e-9), 1).otherwise(0)
     runs = df.withColumn("__new", starts).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "__run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("__run")
-
-
-def complement(df: DataFrame, keys: list[str]) -> DataFrame:
-    """What merged intervals leave of 0..1: (keys, lo, hi). Keys without intervals are not seen here."""
-    w = Window.partitionBy(*keys).orderBy("lo")
-    gaps = df.withColumn("__from", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
-    inner = gaps.select(*keys, F.col("__from").alias("lo"), F.col("lo").alias("hi"))
-    tail = df.groupBy(*keys).agg(F.max("hi").alias("lo")).withColumn("hi", F.lit(1.0))
-    return inner.unionByName(tail).where(F.col("hi") - F.col("lo") > 1e-9)

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as G
-from atrium.operators import graph, spatial
-from atrium.plans.coverage import BIN, ends
+from atrium.operators import floor, graph, spatial
+from atrium.plans.coverage import ends, geometry
 from atrium.plans.query import Query
 from atrium.sources.derive import derived, with_sql
 
 
+#: Beacons closer than this are duplicates.
+DUPLICATE = 0.25
+# Metres a second, and what a lift's length counts where lifts are preferred.
+WALKING_SPEED = 1.35
+LIFT_FACTOR = 0.85
+
+
 def edge_with_endpoints(spark, d) -> DataFrame:
     e = ends(spark, d)
     return e.select("edge_id", "source", "target", F.round(G.distance(F.col("ax"), F.col("ay"), F.col("bx_"), F.col("by_")), 6).alias("measured"), "distance")
@@ -31,11 +40,29 @@ def node_degree(spark, d) -> DataFrame:
     return graph.degrees(derived(spark, d, "node"), derived(spark, d, "edge"))
 
 
+def duplicate_nodes(spark, d) -> DataFrame:
+    """Beacon positions as nodes: pairs within 0.5 m, each node's nearest candidate, told once."""
+    b = derived(spark, d, "beacon").select("beacon_id", "floor_id", "x", "y")
+    discs = b.select("floor_id", F.col("beacon_id").alias("other_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    near = spatial.disc_join(b, discs, F.lit(0.5), 2.0).where("beacon_id <> other_id").groupBy("beacon_id").agg(F.min(F.struct(F.round("dist", 9).alias("d"), "other_id")).alias("n"))
+    return near.select("beacon_id", F.col("n.other_id").alias("other_id")).where("beacon_id < other_id")
+
+
 def graph_validation(spark, d) -> DataFrame:
-    isolated = node_degree(spark, d).where("degree = 0").select(F.lit("isolated-node").alias("code"), F.col("node_id").alias("id"))
-    missing = edge_missing_endpoint(spark, d).select(F.lit("missing-endpoint").alias("code"), F.col("edge_id").alias("id"))
-    wrong = edge_distance_mismatch(spark, d).select(F.lit("distance-mismatch").alias("code"), F.col("edge_id").alias("id"))
-    return isolated.unionByName(missing).unionByName(wrong)
+    """All faults of nodes and edges, one row each."""
+    raw = derived(spark, d, "raw_edge")
+    fault = lambda code, rows, key: rows.select(F.lit(code).alias("code"), F.col(key).alias("id"))
+    parts = components(spark, d).select("label").distinct()
+    split = parts.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return reduce(DataFrame.unionByName, [
+        fault("isolated-node", node_degree(spark, d).where("degree = 0"), "node_id"),
+        fault("missing-endpoint", edge_missing_endpoint(spark, d), "edge_id"),
+        fault("invalid-loop", raw.where("source = target"), "edge_id"),
+        fault("zero-length-edge", raw.where("distance <= 0"), "edge_id"),
+        fault("distance-mismatch", edge_distance_mismatch(spark, d), "edge_id"),
+        fault("duplicate-node", duplicate_nodes(spark, d), "beacon_id"),
+        fault("disconnected-components", split, "n"),
+    ])
 
 
 def components(spark, d) -> DataFrame:
@@ -47,58 +74,79 @@ def component_ratio(spark, d) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("ratio"))
 
 
-def _routes(spark, d, arcs: DataFrame) -> DataFrame:
-    nodes = derived(spark, d, "node").select("floor_id", "node_id", (F.col("node_id") % 400 == 45).alias("source"))
-    out = graph.shortest_distances(nodes, arcs)
-    return out.select("floor_id", "node_id", F.round("distance", 6).alias("distance"))
+def arcs(spark, d, accessible: bool = False, stairs: bool = True, lift_factor: float = 1.0) -> DataFrame:
+    """Directed arcs (a, b, cost, distance, edge_id) under the direction rule and the route's options."""
+    e = derived(spark, d, "edge")
+    e = e.where("accessible") if accessible else e
+    e = e if stairs else e.where("edge_type <> 'Stair Connection'")
+    cost = F.col("distance") * F.when(F.col("edge_type") == "Lift Connection", lift_factor).otherwise(1.0)
+    one = lambda a, b, where: e.where(where).select(F.col(a).alias("a"), F.col(b).alias("b"), cost.alias("cost"), "distance", "edge_id", "edge_type")
+    return one("source", "target", "direction <> 'reverse'").unionByName(one("target", "source", "direction <> 'forward'"))
 
 
-def _arcs(edges: DataFrame) -> DataFrame:
-    """Directed arcs under the direction rule."""
-    forth = edges.select("floor_id", F.col("source").alias("a"), F.col("target").alias("b"), F.col("distance").alias("cost"))
-    back = edges.where("direction = 'both'").select("floor_id", F.col("target").alias("a"), F.col("source").alias("b"), F.col("distance").alias("cost"))
-    return forth.unionByName(back)
+def floor_routes(spark, d, **options) -> DataFrame:
+    """From the node at the lift of each floor, by edges that stay on the floor."""
+    nodes = derived(spark, d, "node").where("node_id % 400 = 45").select(F.col("node_id").alias("source"), "node_id")
+    return graph.routes(nodes, arcs(spark, d, **options).where("edge_type <> 'Lift Connection'"))
 
 
 def shortest_distance(spark, d) -> DataFrame:
-    return _routes(spark, d, _arcs(derived(spark, d, "edge")))
+    return floor_routes(spark, d).select(F.floor(F.col("source") / 400).alias("floor_id"), "node_id", F.col("distance"))
 
 
 def shortest_distance_accessible(spark, d) -> DataFrame:
-    nodes = derived(spark, d, "node").where("node_type IN ('Stairs', 'Escalator')").select("node_id")
-    e = derived(spark, d, "edge").where("accessible")
-    for end in ("source", "target"):
-        e = e.join(nodes.withColumnRenamed("node_id", end), end, "left_anti")
-    return _routes(spark, d, _arcs(e))
+    return floor_routes(spark, d, accessible=True, stairs=False).select(F.floor(F.col("source") / 400).alias("floor_id"), "node_id", F.col("distance"))
+
+
+def shortest_route(spark, d) -> DataFrame:
+    """The edges of each route in their order, and the time at walking speed."""
+    r = floor_routes(spark, d)
+    return r.select("source", "node_id", F.col("distance"), F.round(F.col("distance") / WALKING_SPEED, 6).alias("seconds"), F.size("path").alias("edges"), F.array_join(F.col("path").cast("array<string>"), ">").alias("route"))
+
+
+def route_across_floors(spark, d) -> DataFrame:
+    """From the first lift node to every node of the building; lifts count 0.85 of their length, the distance told is the real one."""
+    first = derived(spark, d, "node").where("node_id = 45").select(F.col("node_id").alias("source"), "node_id")
+    return graph.routes(first, arcs(spark, d, lift_factor=LIFT_FACTOR)).select("node_id", F.col("cost"), F.col("distance"))
+
+
+def nodes_within_reach(spark, d) -> DataFrame:
+    """Nodes within 30 m of the nearest enabled beacon that stands on a node, over edges without geometry conflicts."""
+    starts = derived(spark, d, "beacon").where("enabled").select(F.lit(0).alias("source"), (F.col("floor_id") * 400 + F.col("beacon_id") * 7 % 400).alias("node_id"))
+    blocked = blocked_edges(spark, d).select("edge_id")
+    return graph.routes(starts, arcs(spark, d).join(blocked, "edge_id", "left_anti"), within=30.0).select("node_id", F.col("cost").alias("distance"))
+
+
+def linked_components(spark, d) -> DataFrame:
+    """Nodes whose component holds an entrance or exit; all others would be removed."""
+    c = components(spark, d)
+    access = derived(spark, d, "node").where("node_type IN ('Entrance', 'Exit')").select("node_id")
+    kept = c.join(access, "node_id", "left_semi").select("label").distinct()
+    return c.join(kept, "label", "left_semi").select("node_id", "label")
 
 
 def duplicate_beacons(spark, d) -> DataFrame:
     b = derived(spark, d, "beacon").select("beacon_id", "floor_id", "x", "y")
     discs = b.select("floor_id", F.col("beacon_id").alias("other_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    pairs = spatial.disc_join(b, discs, F.lit(1.0), 2.0).where("beacon_id < other_id and dist < 1.0")
+    pairs = spatial.disc_join(b, discs, F.lit(DUPLICATE), 2.0).where(f"beacon_id < other_id and dist < {DUPLICATE}")
     return pairs.select("beacon_id", "other_id", F.round("dist", 6).alias("dist"))
 
 
-def edge_valid_intervals(spark, d) -> DataFrame:
-    """Parts of each edge outside restricted boxes."""
-    merged = _blocked_parts(spark, d)
-    e = derived(spark, d, "edge").select("edge_id")
-    free = e.join(merged.select("edge_id"), "edge_id", "left_anti").select("edge_id", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    out = spatial.complement(merged, ["edge_id"]).unionByName(free)
-    return out.select("edge_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+def _lines(spark, d) -> DataFrame:
+    return ends(spark, d).select("edge_id", "floor_id", "ax", "ay", F.col("bx_").alias("bx"), F.col("by_").alias("by"))
 
 
-def _blocked_parts(spark, d) -> DataFrame:
-    lines = spatial.spread(ends(spark, d), F.least("ax", "bx_"), F.least("ay", "by_"), F.greatest("ax", "bx_"), F.greatest("ay", "by_"), BIN)
-    boxes = spatial.spread(derived(spark, d, "restricted").withColumnRenamed("floor_id", "f"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), BIN).withColumnRenamed("bx", "kx").withColumnRenamed("by", "ky")
-    pairs = lines.join(boxes, (F.col("floor_id") == F.col("f")) & (F.col("bx") == F.col("kx")) & (F.col("by") == F.col("ky"))).dropDuplicates(["edge_id", "rect_id"])
-    lo, hi = G.segment_in_box(*[F.col(c) for c in ("ax", "ay", "bx_", "by_", "x0", "y0", "x1", "y1")])
-    return spatial.interval_union(pairs.select("edge_id", lo.alias("lo"), hi.alias("hi")).where("hi - lo > 1e-9"), ["edge_id"])
+def edge_valid_intervals(spark, d) -> DataFrame:
+    """Parts of each edge on walkable ground: inside the building and outside walls and blocked areas."""
+    out = floor.valid_intervals(_lines(spark, d), ["edge_id"], geometry(spark, d))
+    return out.select("edge_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def blocked_edges(spark, d) -> DataFrame:
-    blocked = _blocked_parts(spark, d).groupBy("edge_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("share")).where("share > 1e-7")
-    return blocked.select("edge_id", F.round("share", 6).alias("blocked_share"))
+    """Edges with a part that is not valid, and how much of them."""
+    valid = floor.valid_intervals(_lines(spark, d), ["edge_id"], geometry(spark, d)).groupBy("edge_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("share"))
+    out = ends(spark, d).select("edge_id").join(valid, "edge_id", "left").withColumn("blocked_share", 1 - F.coalesce("share", F.lit(0.0)))
+    return out.where("blocked_share > 1e-7").select("edge_id", F.round("blocked_share", 6).alias("blocked_share"))
 
 
 def mergeable_nodes(spark, d) -> DataFrame:
@@ -127,53 +175,70 @@ def merge_coincident_nodes(spark, d) -> DataFrame:
 
 
 ROUTE_SQL = """
-+arc AS (SELECT source AS a, target AS b, distance AS cost FROM {edges} UNION ALL SELECT target, source, distance FROM {edges} WHERE direction = 'both'),
-best(n, dist) USING KEY (n) AS (
-  SELECT node_id, 0.0::double FROM node WHERE node_id % 400 = 45
-  UNION SELECT arc.b, min(r.dist + arc.cost) FROM best r JOIN arc ON arc.a = r.n LEFT JOIN recurring.best o ON o.n = arc.b
-  WHERE o.dist IS NULL OR r.dist + arc.cost < o.dist GROUP BY arc.b)
-SELECT CAST(floor(n / 400) AS bigint) AS floor_id, n AS node_id, round(dist, 6) AS distance FROM best"""
+arc AS (SELECT source AS a, target AS b, edge_id, round(distance * {factor}, 6) AS cost, distance FROM {edges} WHERE direction <> 'reverse'
+        UNION ALL SELECT target, source, edge_id, round(distance * {factor}, 6), distance FROM {edges} WHERE direction <> 'forward'),
+best(s, n, cost, distance, path) USING KEY (s, n) AS (
+  SELECT node_id, node_id, 0.0::double, 0.0::double, []::bigint[] FROM node WHERE {start}
+  UNION SELECT s, n, m.cost, m.distance, m.path FROM (
+    SELECT r.s, arc.b AS n, min(struct_pack(cost := round(r.cost + arc.cost, 6), path := list_append(r.path, arc.edge_id), distance := round(r.distance + arc.distance, 6))) AS m
+    FROM best r JOIN arc ON arc.a = r.n GROUP BY r.s, arc.b) x LEFT JOIN recurring.best o USING (s, n)
+  WHERE o.cost IS NULL OR m.cost < o.cost OR (m.cost = o.cost AND m.path < o.path))
+"""
+FLAT = "(SELECT * FROM edge WHERE edge_type <> 'Lift Connection')"
+EASY = "(SELECT * FROM edge WHERE edge_type NOT IN ('Lift Connection', 'Stair Connection') AND accessible)"
 LABEL_SQL = """
 +link AS (SELECT source AS s, target AS t FROM edge UNION SELECT target, source FROM edge),
 lab(n, label) USING KEY (n) AS (
   SELECT node_id, node_id FROM node
   UNION SELECT l.t, min(r.label) FROM lab r JOIN link l ON l.s = r.n JOIN recurring.lab o ON o.n = l.t WHERE r.label < o.label GROUP BY l.t)"""
-ENDS_SQL = "ends AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM edge e JOIN node a ON a.node_id = e.source JOIN node b ON b.node_id = e.target)"
+ENDS_SQL = "ends AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM edge e JOIN node a ON a.node_id = e.source JOIN node b ON b.node_id = e.target AND b.floor_id = a.floor_id)"
 DEGREE_SQL = "degree AS (SELECT n.node_id, count(e.edge_id) AS degree FROM node n LEFT JOIN (SELECT source AS node_id, edge_id FROM edge UNION ALL SELECT target, edge_id FROM edge) e ON e.node_id = n.node_id GROUP BY n.node_id)"
 MISMATCH = "SELECT edge_id, round(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)), 6) AS measured, distance FROM ends WHERE abs(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) - distance) > greatest(0.001, 0.001 * sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)))"
-BOX_SQL = """
-side AS (SELECT e.edge_id, CASE WHEN ax = bx THEN CASE WHEN ax BETWEEN x0 AND x1 THEN 0 ELSE 2 END ELSE least((x0-ax)/(bx-ax), (x1-ax)/(bx-ax)) END AS xl,
-                CASE WHEN ax = bx THEN CASE WHEN ax BETWEEN x0 AND x1 THEN 1 ELSE -1 END ELSE greatest((x0-ax)/(bx-ax), (x1-ax)/(bx-ax)) END AS xh,
-                CASE WHEN ay = by_ THEN CASE WHEN ay BETWEEN y0 AND y1 THEN 0 ELSE 2 END ELSE least((y0-ay)/(by_-ay), (y1-ay)/(by_-ay)) END AS yl,
-                CASE WHEN ay = by_ THEN CASE WHEN ay BETWEEN y0 AND y1 THEN 1 ELSE -1 END ELSE greatest((y0-ay)/(by_-ay), (y1-ay)/(by_-ay)) END AS yh
-         FROM ends e JOIN restricted q ON q.floor_id = e.floor_id),
-good AS (SELECT DISTINCT edge_id, greatest(0, xl, yl)::double AS lo, least(1, xh, yh)::double AS hi FROM side WHERE least(1, xh, yh) - greatest(0, xl, yl) > 1e-9),
-marked AS (SELECT *, max(hi) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM good),
-run AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS r FROM marked),
-merged AS (SELECT edge_id, min(lo) AS lo, max(hi) AS hi FROM run GROUP BY edge_id, r)"""
+VALID_SQL = floor.SHAPES_SQL + ", line AS (SELECT edge_id AS sid, floor_id, ax, ay, bx, by_ FROM ends)," + floor.intervals_sql("line", "valid", True)
+TWIN_SQL = """twin AS (SELECT a AS beacon_id, n.o AS other_id FROM (SELECT a.beacon_id AS a, min(struct_pack(d := round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 9), o := b.beacon_id)) AS n FROM beacon a JOIN beacon b ON a.floor_id = b.floor_id AND a.beacon_id <> b.beacon_id
+         AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.5 + 1e-8 GROUP BY a.beacon_id) WHERE a < n.o)"""
 TWO_SQL = "two AS (SELECT node_id, min(edge_id) AS first, max(edge_id) AS second, sum(distance) AS length FROM (SELECT source AS node_id, edge_id, distance FROM edge UNION ALL SELECT target, edge_id, distance FROM edge) GROUP BY node_id HAVING count(*) = 2)"
 
+
+
+def _route_sql(edges: str, body: str, start: str = "node_id % 400 = 45", factor: str = "1") -> str:
+    return with_sql("+" + ROUTE_SQL.lstrip().format(edges=edges, start=start, factor=factor) + body + " -- USING KEY", "edge")
+
+
 QUERIES = {
     "edge_with_endpoints": Query(edge_with_endpoints, with_sql(f"+{ENDS_SQL} SELECT edge_id, source, target, round(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)), 6) AS measured, distance FROM ends", "edge")),
     "edge_missing_endpoint": Query(edge_missing_endpoint, with_sql("SELECT edge_id, source, target FROM raw_edge WHERE target NOT IN (SELECT node_id FROM node)", "raw_edge", "node")),
     "edge_distance_mismatch": Query(edge_distance_mismatch, with_sql(f"+{ENDS_SQL} {MISMATCH}", "edge")),
     "node_degree": Query(node_degree, with_sql(f"+{DEGREE_SQL} SELECT node_id, degree FROM degree", "edge")),
     "junction_nodes": Query(lambda s, d: node_degree(s, d).where("degree >= 3"), with_sql(f"+{DEGREE_SQL} SELECT node_id, degree FROM degree WHERE degree >= 3", "edge")),
-    "graph_validation": Query(graph_validation, with_sql(f"""+{ENDS_SQL}, {DEGREE_SQL}
+    "duplicate_nodes": Query(duplicate_nodes, with_sql("+" + TWIN_SQL + " SELECT * FROM twin", "beacon")),
+    "graph_validation": Query(graph_validation, with_sql(f"""{LABEL_SQL.lstrip()}, {ENDS_SQL}, {DEGREE_SQL}, {TWIN_SQL}
         SELECT 'isolated-node' AS code, node_id AS id FROM degree WHERE degree = 0
         UNION ALL SELECT 'missing-endpoint', edge_id FROM raw_edge WHERE target NOT IN (SELECT node_id FROM node)
-        UNION ALL SELECT 'distance-mismatch', edge_id FROM ({MISMATCH})""", "edge")),
+        UNION ALL SELECT 'invalid-loop', edge_id FROM raw_edge WHERE source = target UNION ALL SELECT 'zero-length-edge', edge_id FROM raw_edge WHERE distance <= 0
+        UNION ALL SELECT 'distance-mismatch', edge_id FROM ({MISMATCH}) UNION ALL SELECT 'duplicate-node', beacon_id FROM twin
+        UNION ALL SELECT 'disconnected-components', n FROM (SELECT count(DISTINCT label) AS n FROM lab) WHERE n > 1""", "edge", "beacon")),
     "components": Query(components, with_sql(LABEL_SQL.lstrip() + " SELECT n AS node_id, label FROM lab", "edge")),
     "component_ratio": Query(component_ratio, with_sql(LABEL_SQL.lstrip() + ", sizes AS (SELECT label, count(*) AS n FROM lab GROUP BY label) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n)::double, 6) AS ratio FROM sizes", "edge")),
-    "shortest_distance": Query(shortest_distance, with_sql(ROUTE_SQL.lstrip().format(edges="edge"), "edge")),
-    "shortest_distance_accessible": Query(shortest_distance_accessible, with_sql("+usable AS (SELECT * FROM edge WHERE accessible AND source NOT IN (SELECT node_id FROM node WHERE node_type IN ('Stairs', 'Escalator')) AND target NOT IN (SELECT node_id FROM node WHERE node_type IN ('Stairs', 'Escalator'))), " + ROUTE_SQL.lstrip().removeprefix("+").format(edges="usable"), "edge")),
-    "duplicate_beacons": Query(duplicate_beacons, with_sql("SELECT a.beacon_id, b.beacon_id AS other_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS dist FROM beacon a JOIN beacon b ON a.floor_id = b.floor_id AND a.beacon_id < b.beacon_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 1.0", "beacon")),
-    "edge_valid_intervals": Query(edge_valid_intervals, with_sql(f"""+{ENDS_SQL}, {BOX_SQL.lstrip()}
-        , cut AS (SELECT edge_id, coalesce(lag(hi) OVER (PARTITION BY edge_id ORDER BY lo), 0) AS lo, lo AS hi FROM merged
-                  UNION ALL SELECT edge_id, max(hi), 1 FROM merged GROUP BY edge_id
-                  UNION ALL SELECT edge_id, 0, 1 FROM edge WHERE edge_id NOT IN (SELECT edge_id FROM merged))
-        SELECT edge_id, round(lo, 6) AS lo, round(hi, 6) AS hi FROM cut WHERE hi - lo > 1e-9""", "edge", "restricted")),
-    "blocked_edges": Query(blocked_edges, with_sql(f"+{ENDS_SQL}, {BOX_SQL.lstrip()} SELECT edge_id, round(sum(hi - lo), 6) AS blocked_share FROM merged GROUP BY edge_id HAVING sum(hi - lo) > 1e-7", "edge", "restricted")),
+    "shortest_distance": Query(shortest_distance, _route_sql(FLAT, "SELECT CAST(floor(s / 400) AS bigint) AS floor_id, n AS node_id, distance FROM best")),
+    "shortest_distance_accessible": Query(shortest_distance_accessible, _route_sql(EASY, "SELECT CAST(floor(s / 400) AS bigint) AS floor_id, n AS node_id, distance FROM best")),
+    "shortest_route": Query(shortest_route, _route_sql(FLAT, "SELECT s AS source, n AS node_id, distance, round(distance / 1.35, 6) AS seconds, len(path) AS edges, array_to_string(path, '>') AS route FROM best")),
+    "route_across_floors": Query(route_across_floors, _route_sql("edge", "SELECT n AS node_id, cost, distance FROM best", "node_id = 45", "CASE WHEN edge_type = 'Lift Connection' THEN 0.85::double ELSE 1 END")),
+    "nodes_within_reach": Query(nodes_within_reach, with_sql(f"""+{ENDS_SQL}, {VALID_SQL.lstrip()},
+        free AS (SELECT e.* FROM edge e WHERE e.edge_id NOT IN (SELECT edge_id FROM ends WHERE edge_id NOT IN (SELECT sid FROM valid GROUP BY sid HAVING sum(hi - lo) >= 1 - 1e-7))),
+        arc AS (SELECT source AS a, target AS b, distance AS cost FROM free WHERE direction <> 'reverse' UNION ALL SELECT target, source, distance FROM free WHERE direction <> 'forward'),
+        best(n, cost) USING KEY (n) AS (
+          SELECT floor_id * 400 + beacon_id * 7 % 400, 0.0::double FROM beacon WHERE enabled GROUP BY 1
+          UNION SELECT x.n, x.c FROM (SELECT arc.b AS n, min(round(r.cost + arc.cost, 6)) AS c FROM best r JOIN arc ON arc.a = r.n GROUP BY arc.b) x LEFT JOIN recurring.best o ON o.n = x.n WHERE x.c <= 30 AND (o.cost IS NULL OR x.c < o.cost))
+        SELECT n AS node_id, cost AS distance FROM best -- USING KEY""", "edge", "beacon", "vertex", "capsule")),
+    "linked_components": Query(linked_components, with_sql(LABEL_SQL.lstrip() + " SELECT n AS node_id, label FROM lab WHERE label IN (SELECT l.label FROM lab l JOIN node ON node_id = l.n AND node_type IN ('Entrance', 'Exit'))", "edge")),
+    "duplicate_beacons": Query(duplicate_beacons, with_sql("SELECT a.beacon_id, b.beacon_id AS other_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS dist FROM beacon a JOIN beacon b ON a.floor_id = b.floor_id AND a.beacon_id < b.beacon_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.25", "beacon")),
+    "edge_valid_intervals": Query(edge_valid_intervals, with_sql(f"""+{ENDS_SQL}, {VALID_SQL.lstrip()},
+        marked AS (SELECT *, lag(hi) OVER (PARTITION BY sid ORDER BY lo) AS before FROM valid),
+        run AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY lo ROWS UNBOUNDED PRECEDING) AS r FROM marked)
+        SELECT sid AS edge_id, round(min(lo), 6) AS lo, round(max(hi), 6) AS hi FROM run GROUP BY sid, r""", "edge", "vertex", "capsule")),
+    "blocked_edges": Query(blocked_edges, with_sql(f"""+{ENDS_SQL}, {VALID_SQL.lstrip()}
+        SELECT e.edge_id, round(1 - coalesce(sum(v.hi - v.lo), 0), 6) AS blocked_share FROM ends e LEFT JOIN valid v ON v.sid = e.edge_id GROUP BY e.edge_id HAVING 1 - coalesce(sum(v.hi - v.lo), 0) > 1e-7""", "edge", "vertex", "capsule")),
     "mergeable_nodes": Query(mergeable_nodes, with_sql(f"+{TWO_SQL} SELECT node_id, first, second, length FROM two", "edge")),
     "split_edges": Query(split_edges, with_sql("SELECT edge_id, CAST(p AS int) AS part, CASE WHEN distance > 6 THEN distance / 2 ELSE distance END AS length FROM edge, range(2) t(p) WHERE p = 0 OR distance > 6", "edge")),
     "corridor_chains": Query(corridor_chains, with_sql(f"""+{TWO_SQL}, link AS (SELECT first AS s, second AS t FROM two UNION SELECT second, first FROM two),

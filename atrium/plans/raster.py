@@ -48,8 +48,8 @@ def raster_closed(spark, d) -> DataFrame:
 
 def raster_components(spark, d) -> DataFrame:
     """4-neighbour groups of ink: number and largest, per image."""
-    cells = pixels(spark, d).where("ink").select(F.col("vec_id").alias("floor_id"), "col", "row_no")
-    sizes = graph.grid_components(cells).groupBy("floor_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = pixels(spark, d).where("ink").select(F.col("vec_id").alias("floor_id"), "col", "row_no", F.col("col").alias("x"), F.col("row_no").alias("y"))
+    sizes = graph.grid_components(cells).groupBy("floor_id", "zone_col", "zone_row").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(F.col("floor_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
@@ -64,7 +64,7 @@ QUERIES = {
         grown AS (SELECT p.vec_id, p.col, p.row_no, EXISTS (SELECT 1 FROM px q, m WHERE q.ink AND q.vec_id = p.vec_id AND q.col = p.col + dx AND q.row_no = p.row_no + dy) AS ink FROM px p)
         SELECT vec_id, count(*) AS ink FROM grown p WHERE NOT EXISTS (SELECT 1 FROM grown q, m WHERE NOT q.ink AND q.vec_id = p.vec_id AND q.col = p.col + dx AND q.row_no = p.row_no + dy) GROUP BY vec_id"""),
     "raster_components": Query(raster_components, f"""WITH RECURSIVE {PIXEL_SQL}, ink AS (SELECT vec_id, vec_id * 1000000 + row_no * 1000 + col AS id FROM px WHERE ink),
-        link AS (SELECT a.id AS s, b.id AS t FROM ink a JOIN ink b ON b.id IN (a.id + 1, a.id - 1, a.id + 1000, a.id - 1000)),
+        link AS (SELECT a.id AS s, b.id AS t FROM (SELECT id, id + k AS at FROM ink, (VALUES (1), (-1), (1000), (-1000)) v(k)) a JOIN ink b ON b.id = a.at),
         lab(id, label) USING KEY (id) AS (SELECT id, id FROM ink
           UNION SELECT l.t, min(r.label) FROM lab r JOIN link l ON l.s = r.id JOIN recurring.lab o ON o.id = l.t WHERE r.label < o.label GROUP BY l.t),
         sizes AS (SELECT vec_id, label, count(*) AS n FROM ink JOIN lab USING (id) GROUP BY vec_id, label)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Node types in their order, and the kinds of points of interest.
-NODE_TYPES = ["Corridor", "Junction", "Entrance", "Exit", "Lift", "Stairs", "Escalator", "Ramp", "Door", "POI"]
+# Types of nodes and edges.
+NODE_TYPES = ["Corridor", "Junction", "Entrance", "Exit", "Lift", "Escalator", "Stairs", "Room Entrance", "Landmark", "Custom"]
+EDGE_TYPES = ["Walkway", "Lift Connection", "Stair Connection", "Escalator Connection", "Outdoor Path"]
 POI_KINDS = ["Store", "Washroom", "Food", "Information", "Parking"]
 
 
@@ -17,6 +18,23 @@ def _pick(index: str, values: list[str]) -> str:
     return "CASE " + index + "".join(f" WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
+#: Rings of each shape: {shape: [[(x, y), ...], ...]}.
+SHAPES = {
+    0: [[(0, 0), (50, 0), (50, 20), (20, 20), (20, 40), (0, 40)]],
+    1: [[(0, 0), (60, 0), (60, 60), (0, 60)], [(20, 20), (40, 20), (40, 40), (20, 40)]],
+    2: [[(0, 0), (45, 5), (10, 40)]],
+    3: [[(0, 0), (0, 30), (40, 30), (40, 0)]],
+}
+OUTLINES = {
+    0: [[(-50, -50), (1065, -50), (1065, 800), (900, 800), (900, 1065), (-50, 1065)]],
+    1: [[(-40, -40), (1050, -40), (1050, 790), (890, 790), (890, 1050), (-40, 1050)], [(400, 400), (500, 400), (500, 520), (400, 520)]],
+}
+
+
+def _shapes(shapes: dict[int, list[list[tuple[int, int]]]]) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS shape, {r} AS ring, {i} AS i, {x} AS x, {y} AS y" for k, rings in shapes.items() for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring))
+
+
 RULES: dict[str, str] = {
     "node": f"""
         SELECT p_partkey AS node_id, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
@@ -24,26 +42,37 @@ RULES: dict[str, str] = {
                CAST(floor((p_partkey % 400) / 20) * CAST(5.5 AS double) AS double) AS y,
                {_pick('p_size % 10', NODE_TYPES)} AS node_type
         FROM {{part}}""",
-    "raw_edge": """
-        SELECT p_partkey * 2 AS edge_id, p_partkey AS source, p_partkey + 1 AS target, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
-               CASE WHEN p_partkey % 97 = 5 THEN CAST(6.25 AS double) ELSE CAST(5.5 AS double) END AS distance,
-               p_partkey % 13 <> 0 AS accessible, CASE WHEN p_partkey % 17 = 0 THEN 'forward' ELSE 'both' END AS direction
-        FROM {part} WHERE p_partkey % 20 < 19 AND (p_partkey * 13 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4
+    # Lattice edges with gaps, lifts from each storey to the next, and some faulty rows.
+    "raw_edge": f"""
+        SELECT edge_id, source, target, floor_id, distance, accessible, direction, {_pick('kind', EDGE_TYPES)} AS edge_type FROM (
+        SELECT p_partkey * 4 AS edge_id, p_partkey AS source, p_partkey + 1 AS target, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
+               CASE WHEN p_partkey % 97 = 5 THEN CAST(6.25 AS double) ELSE CAST(5.5 AS double) END AS distance, p_partkey % 13 <> 0 AS accessible,
+               CASE WHEN p_partkey % 17 = 0 THEN 'forward' WHEN p_partkey % 19 = 0 THEN 'reverse' ELSE 'both' END AS direction,
+               CASE WHEN p_partkey % 23 = 0 THEN 2 WHEN p_partkey % 29 = 0 THEN 3 WHEN p_partkey % 31 = 0 THEN 4 ELSE 0 END AS kind
+        FROM {{part}} WHERE p_partkey % 20 < 19 AND (p_partkey * 13 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4
+        UNION ALL
+        SELECT p_partkey * 4 + 1, p_partkey, p_partkey + CASE WHEN p_partkey % 400 = 399 THEN 1000000 ELSE 20 END, CAST(floor(p_partkey / 400) AS bigint),
+               CAST(5.5 AS double), p_partkey % 13 <> 0, CASE WHEN p_partkey % 17 = 0 THEN 'forward' WHEN p_partkey % 19 = 0 THEN 'reverse' ELSE 'both' END,
+               CASE WHEN p_partkey % 23 = 0 THEN 2 WHEN p_partkey % 29 = 0 THEN 3 ELSE 0 END
+        FROM {{part}} WHERE (p_partkey % 400 < 380 OR p_partkey % 400 = 399) AND (p_partkey * 13 + 5 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4
+        UNION ALL
+        SELECT p_partkey * 4 + 2, p_partkey, p_partkey + 400, CAST(floor(p_partkey / 400) AS bigint), CAST(4 AS double), true, 'both', 1 FROM {{part}} WHERE p_partkey % 400 = 45
         UNION ALL
-        SELECT p_partkey * 2 + 1 AS edge_id, p_partkey AS source, p_partkey + CASE WHEN p_partkey % 400 = 399 THEN 1000000 ELSE 20 END AS target, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
-               CAST(5.5 AS double) AS distance, p_partkey % 13 <> 0 AS accessible, CASE WHEN p_partkey % 17 = 0 THEN 'forward' ELSE 'both' END AS direction
-        FROM {part} WHERE (p_partkey % 400 < 380 OR p_partkey % 400 = 399) AND (p_partkey * 13 + 5 + CAST(floor(p_partkey / 20) AS bigint) * 17 + CAST(floor(p_partkey / 7) AS bigint) * 3) % 10 >= 4""",
+        SELECT p_partkey * 4 + 3, p_partkey, p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 END, CAST(floor(p_partkey / 400) AS bigint), CAST(0 AS double), true, 'both', 0 FROM {{part}} WHERE p_partkey % 331 = 7
+        ) e""",
+    # Every 29th beacon stands at or near the one before it on its floor.
     "beacon": """
         SELECT c.c_custkey AS beacon_id, c.c_custkey % f.n AS floor_id,
-               CAST((c.c_custkey * 37) % 2090 AS double) / CAST(20 AS double) AS x, CAST((c.c_custkey * 53) % 2090 AS double) / CAST(20 AS double) AS y,
+               CAST((c.c_custkey - CASE WHEN c.c_custkey % 29 = 0 THEN f.n ELSE 0 END) * 37 % 2090 AS double) / CAST(20 AS double) + CASE WHEN c.c_custkey % 29 = 0 THEN CAST(c.c_custkey % 7 AS double) / CAST(10 AS double) ELSE CAST(0 AS double) END AS x,
+               CAST((c.c_custkey - CASE WHEN c.c_custkey % 29 = 0 THEN f.n ELSE 0 END) * 53 % 2090 AS double) / CAST(20 AS double) AS y,
                c.c_acctbal > 0 AS enabled, CAST(5 + c.c_nationkey % 3 AS double) AS radius, CAST(7 + c.c_nationkey % 3 AS double) AS marginal,
                c.c_mktsegment AS strategy
-        FROM {customer} c JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {part}) f ON c.c_custkey >= 0""",
+        FROM {customer} c CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {part}) f""",
     "poi": f"""
         SELECT s.s_suppkey AS poi_id, s.s_name AS name, s.s_suppkey % f.n AS floor_id,
                CAST((s.s_suppkey * 61) % 2090 AS double) / CAST(20 AS double) AS x, CAST((s.s_suppkey * 29) % 2090 AS double) / CAST(20 AS double) AS y,
                {_pick('s.s_nationkey % 5', POI_KINDS)} AS kind
-        FROM {{supplier}} s JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {{part}}) f ON s.s_suppkey >= 0""",
+        FROM {{supplier}} s CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {{part}}) f""",
     "restricted": """
         SELECT p_partkey AS rect_id, CAST(floor(p_partkey / 400) AS bigint) AS floor_id,
                CAST((p_partkey * 17) % 100 AS double) + CAST(0.13 AS double) AS x0, CAST((p_partkey * 31) % 100 AS double) + CAST(0.13 AS double) AS y0,
@@ -54,6 +83,26 @@ RULES: dict[str, str] = {
                CAST(p_partkey % 20 AS double) * CAST(5.5 AS double) + CAST(2.17 AS double) AS x,
                CAST(20.11 AS double) AS y0, CAST(61.19 AS double) AS y1, CAST(0.2 AS double) AS width
         FROM {part} WHERE p_partkey % 400 IN (203, 207, 211, 215, 219)""",
+    # Rings of areas: L-shapes, squares with a hole, triangles and clockwise boxes; ring 0 is the outline. Lengths in tenths of a metre.
+    "vertex": f"""
+        SELECT p.floor_id, p.p_partkey AS polygon_id, CASE WHEN p.p_partkey % 3 = 0 THEN 'nonWalkable' ELSE 'restricted' END AS role, s.ring, s.i,
+               CAST((p.p_partkey * 17) % 100 AS double) + CAST(s.x + 1.3 AS double) / CAST(10 AS double) AS x, CAST((p.p_partkey * 31) % 100 AS double) + CAST(s.y + 1.3 AS double) / CAST(10 AS double) AS y
+        FROM (SELECT p_partkey, CAST(floor(p_partkey / 400) AS bigint) AS floor_id, CAST(floor(p_partkey / 40) AS bigint) % 4 AS shape FROM {{part}} WHERE p_partkey % 40 = 7) p
+        JOIN ({_shapes(SHAPES)}) s ON s.shape = p.shape
+        UNION ALL
+        SELECT f.floor_id, 1000000000 + f.floor_id * 10 + s.shape, CASE WHEN s.shape = 0 THEN 'boundary' ELSE 'walkable' END, s.ring, s.i, CAST(s.x AS double) / CAST(10 AS double), CAST(s.y AS double) / CAST(10 AS double)
+        FROM (SELECT DISTINCT CAST(floor(p_partkey / 400) AS bigint) AS floor_id FROM {{part}}) f CROSS JOIN ({_shapes(OUTLINES)}) s
+        WHERE (s.shape = 0 AND f.floor_id % 5 <> 4) OR (s.shape = 1 AND f.floor_id % 3 <> 2)""",
+    # Walls and walkable paths, piece by piece.
+    "capsule": """
+        SELECT p_partkey AS path_id, s.seg, CAST(floor(p_partkey / 400) AS bigint) AS floor_id, 'wall' AS kind, CAST(0.2 AS double) AS width,
+               CAST(p_partkey % 20 AS double) * CAST(5.5 AS double) + CAST(2.17 AS double) AS ax, CASE WHEN s.seg = 0 THEN CAST(20.11 AS double) ELSE CAST(41.19 AS double) END AS ay,
+               CAST(p_partkey % 20 AS double) * CAST(5.5 AS double) + CASE WHEN s.seg = 0 THEN CAST(2.17 AS double) ELSE CAST(6.67 AS double) END AS bx, CASE WHEN s.seg = 0 THEN CAST(41.19 AS double) ELSE CAST(47.29 AS double) END AS by_
+        FROM {part} CROSS JOIN (SELECT 0 AS seg UNION ALL SELECT 1) s WHERE p_partkey % 400 IN (203, 207, 211, 215, 219)
+        UNION ALL
+        SELECT p_partkey, s.seg, CAST(floor(p_partkey / 400) AS bigint), 'path', CAST(2 AS double), CASE WHEN s.seg = 0 THEN CAST(0 AS double) ELSE CAST(99 AS double) END, CAST(55 AS double),
+               CAST(99 AS double), CASE WHEN s.seg = 0 THEN CAST(55 AS double) ELSE CAST(82.5 AS double) END
+        FROM {part} CROSS JOIN (SELECT 0 AS seg UNION ALL SELECT 1) s WHERE p_partkey % 400 = 60 AND CAST(floor(p_partkey / 400) AS bigint) % 2 = 0""",
     "floor": "SELECT DISTINCT CAST(floor(p_partkey / 400) AS bigint) AS floor_id FROM {part}",
 }
 TABLES = ("part", "customer", "supplier", "orders", "events", "documents", "embeddings", "labels", "nation", "conversations")
@@ -64,12 +113,12 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table; ``edge`` is ``raw_edge`` whose two ends exist."""
+    """One derived table; ``edge`` is ``raw_edge`` of positive length whose two different ends exist."""
     if name == "edge":
-        edges, nodes = derived(spark, sf_dir, "raw_edge"), derived(spark, sf_dir, "node").select("node_id")
+        edges, nodes = derived(spark, sf_dir, "raw_edge").where("source <> target and distance > 0"), derived(spark, sf_dir, "node").select("node_id")
         for end in ("source", "target"):
             edges = edges.join(nodes.withColumnRenamed("node_id", end), end, "left_semi")
-        return edges.select("edge_id", "source", "target", "floor_id", "distance", "accessible", "direction")
+        return edges.select("edge_id", "source", "target", "floor_id", "distance", "accessible", "direction", "edge_type")
     rule = RULES[name]
     return spark.sql(rule, **{t: base(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in rule})
 
@@ -77,7 +126,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_sql(body: str, *names: str) -> str:
     """A DuckDB query with the named derived tables in front."""
     rules = {n: RULES[n].format(**{t: t for t in TABLES}) for n in RULES}
-    rules["edge"] = "SELECT * FROM raw_edge WHERE source IN (SELECT node_id FROM node) AND target IN (SELECT node_id FROM node)"
+    rules["edge"] = "SELECT * FROM raw_edge WHERE source <> target AND distance > 0 AND source IN (SELECT node_id FROM node) AND target IN (SELECT node_id FROM node)"
     needed = list(dict.fromkeys((["raw_edge", "node"] if "edge" in names else []) + list(names)))
     recursive = "RECURSIVE " if "USING KEY" in body else ""
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({rules[n]})" for n in needed) + (",\n" if body.lstrip().startswith("+") else "\n") + body.lstrip().removeprefix("+")

@@ -12,9 +12,12 @@ def step(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes a result and reads it back, which ends its lineage."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
+    master = spark.sparkContext.master
+    if not at and master.startswith("local") and "cluster" not in master:
         at = tempfile.mkdtemp(prefix="atrium-")
         spark.sparkContext.setCheckpointDir(at)
+    if not at:
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

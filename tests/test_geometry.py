@@ -45,11 +45,10 @@ def test_segment_across_a_box_and_a_disc(spark):
     assert (one(spark, lo, a=1), one(spark, hi, a=1)) == (pytest.approx(0.3), pytest.approx(0.7))
 
 
-def test_interval_union_and_complement(spark):
+def test_interval_union(spark):
     parts = spark.createDataFrame([(1, 0.0, 0.2), (1, 0.1, 0.3), (1, 0.5, 0.6), (2, 0.0, 1.0)], "k int, lo double, hi double")
     merged = spatial.interval_union(parts, ["k"])
     assert sorted(map(tuple, merged.collect())) == [(1, 0.0, 0.3), (1, 0.5, 0.6), (2, 0.0, 1.0)]
-    assert sorted(map(tuple, spatial.complement(merged, ["k"]).collect())) == [(1, 0.3, 0.5), (1, 0.6, 1.0)]
 
 
 def test_islands_with_nulls(spark):
@@ -73,10 +72,19 @@ def test_components_of_a_long_chain_and_a_lone_node(spark):
     assert set(got[i] for i in range(40)) == {0} and got[40] == 40
 
 
-def test_route_on_a_lattice(spark):
-    n = 30
-    nodes = spark.range(n * n).select(F.lit(0).cast("long").alias("floor_id"), F.col("id").alias("node_id"), (F.col("id") == 0).alias("source"))
-    right = nodes.where(f"node_id % {n} < {n - 1}").select("floor_id", F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b"), F.lit(1.0).alias("cost"))
-    down = nodes.where(f"node_id < {n * (n - 1)}").select("floor_id", F.col("node_id").alias("a"), (F.col("node_id") + n).alias("b"), F.lit(1.0).alias("cost"))
-    got = dict((r.node_id, r.distance) for r in graph.shortest_distances(nodes, right.unionByName(down)).collect())
-    assert got[n * n - 1] == 2 * (n - 1)
+def test_routes_on_a_lattice(spark):
+    n = 12
+    cells = spark.range(n * n).select(F.col("id").alias("a"))
+    right = cells.where(f"a % {n} < {n - 1}").select("a", (F.col("a") + 1).alias("b"), (F.col("a") * 2).alias("edge_id"))
+    down = cells.where(f"a < {n * (n - 1)}").select("a", (F.col("a") + n).alias("b"), (F.col("a") * 2 + 1).alias("edge_id"))
+    arcs = right.unionByName(down).select("a", "b", "edge_id", F.lit(1.0).alias("cost"), F.lit(1.0).alias("distance"))
+    got = {r.node_id: r for r in graph.routes(cells.where("a = 0").select(F.col("a").alias("source"), F.col("a").alias("node_id")), arcs).collect()}
+    assert all(got[i].cost == i // n + i % n for i in range(n * n)) and len(got[n * n - 1].path) == 2 * (n - 1)
+    near = graph.routes(cells.where("a = 0").select(F.col("a").alias("source"), F.col("a").alias("node_id")), arcs, within=3.0)
+    assert near.count() == 10
+
+
+def test_routes_of_least_cost_and_least_path(spark):
+    arcs = spark.createDataFrame([(0, 1, 1.0, 1), (1, 2, 1.0, 2), (0, 2, 5.0, 3), (0, 3, 1.0, 4), (3, 2, 1.0, 5), (2, 0, 1.0, 6)], "a long, b long, cost double, edge_id long").withColumn("distance", F.col("cost"))
+    start = spark.createDataFrame([(7, 0)], "source long, node_id long")
+    assert {r.node_id: (r.cost, r.path) for r in graph.routes(start, arcs).collect()} == {0: (0.0, []), 1: (1.0, [1]), 2: (2.0, [1, 2]), 3: (1.0, [4])}
