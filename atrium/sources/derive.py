@@ -18,6 +18,9 @@ def _pick(index: str, values: list[str]) -> str:
     return "CASE " + index + "".join(f" WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
+AREA_TYPES = ["Store", "Lift", "Stairs", "Escalator", "Wall", "Male Washroom"]
+LABELS = ["Women washroom", "Lift lobby", "Electrical shaft", "Room 12", "Main atrium", "cold widget", "12 mm", "the", "Gents", "G123B"]
+
 #: Rings of each shape: {shape: [[(x, y), ...], ...]}.
 SHAPES = {
     0: [[(0, 0), (50, 0), (50, 20), (20, 20), (20, 40), (0, 40)]],
@@ -103,6 +106,22 @@ RULES: dict[str, str] = {
         SELECT p_partkey, s.seg, CAST(floor(p_partkey / 400) AS bigint), 'path', CAST(2 AS double), CASE WHEN s.seg = 0 THEN CAST(0 AS double) ELSE CAST(99 AS double) END, CAST(55 AS double),
                CAST(99 AS double), CASE WHEN s.seg = 0 THEN CAST(55 AS double) ELSE CAST(82.5 AS double) END
         FROM {part} CROSS JOIN (SELECT 0 AS seg UNION ALL SELECT 1) s WHERE p_partkey % 400 = 60 AND CAST(floor(p_partkey / 400) AS bigint) % 2 = 0""",
+    # Annotated areas (axis-parallel, some of them overlapping) and the labels read from a plan.
+    "area": f"""
+        SELECT p_partkey AS area_id, CAST(floor(p_partkey / 400) AS bigint) AS floor_id, {_pick('p_size % 6', AREA_TYPES)} AS kind, p_size % 4 = 0 AS needs_review,
+               CASE p_partkey % 5 WHEN 0 THEN concat('Detected area ', CAST(p_partkey AS varchar(20))) WHEN 1 THEN concat('Room ', CAST(p_partkey % 90 AS varchar(20))) WHEN 2 THEN p_name WHEN 3 THEN concat('A', CAST(100 + p_partkey % 900 AS varchar(20))) END AS name,
+               CAST(p_partkey % 20 AS double) * CAST(5.5 AS double) + CAST(0.25 AS double) AS x0, CAST(floor((p_partkey % 400) / 20) AS double) * CAST(5.5 AS double) + CAST(0.25 AS double) AS y0,
+               CAST(p_partkey % 20 AS double) * CAST(5.5 AS double) + CAST(2.25 + p_size % 7 AS double) AS x1, CAST(floor((p_partkey % 400) / 20) AS double) * CAST(5.5 AS double) + CAST(3.25 + p_partkey % 4 AS double) AS y1
+        FROM {{part}} WHERE p_partkey % 2 = 1""",
+    "label": f"""
+        SELECT o.o_orderkey AS label_id, o.o_orderkey % f.n AS floor_id, CAST((o.o_orderkey * 7919) % 1100 AS double) / CAST(10 AS double) AS x, CAST((o.o_orderkey * 104729) % 1100 AS double) / CAST(10 AS double) AS y,
+               {_pick('o.o_custkey % 10', LABELS)} AS text, CASE WHEN o.o_orderkey % 3 = 0 THEN 'pdf-text' ELSE 'ocr' END AS source, CAST(o.o_custkey % 100 AS double) AS confidence
+        FROM {{orders}} o CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {{part}}) f WHERE o.o_orderkey % 3 < 2""",
+    # Edits of beacons in the order they were made.
+    "command": """
+        SELECT e.event_id AS seq, e.ts, e.event_id * 7 % c.n AS beacon_id, CASE e.event_id % 8 WHEN 0 THEN 'lock' WHEN 1 THEN 'move' WHEN 2 THEN 'unlock' WHEN 3 THEN 'delete' WHEN 4 THEN 'disable' WHEN 5 THEN 'enable' WHEN 6 THEN 'duplicate' ELSE 'move' END AS action,
+               CAST(e.event_id % 1040 AS double) / CAST(10 AS double) AS x, CAST(e.event_id * 3 % 1040 AS double) / CAST(10 AS double) AS y
+        FROM {events} e CROSS JOIN (SELECT max(c_custkey) + 1 AS n FROM {customer}) c""",
     "floor": "SELECT DISTINCT CAST(floor(p_partkey / 400) AS bigint) AS floor_id FROM {part}",
 }
 TABLES = ("part", "customer", "supplier", "orders", "events", "documents", "embeddings", "labels", "nation", "conversations")
