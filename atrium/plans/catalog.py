@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atrium.plans import annotation, coverage, network, placement, raster, simulation
+from atrium.plans import annotation, coverage, network, placement, planner, raster, simulation
 from atrium.plans.query import Query
 
 QUERIES: dict[str, Query] = {}
-for module in (coverage, network, placement, simulation, annotation, raster):
+for module in (coverage, network, placement, simulation, annotation, raster, planner):
     QUERIES |= module.QUERIES
