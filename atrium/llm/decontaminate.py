@@ -13,7 +13,6 @@ LEAST_COVER = 0.5
 RUN, CONFLICT_RUN = 8, 15
 #: Plain words that a window needs to count in a run with changed values, and a short item to be found with other values.
 LEAST_PLAIN = 4
-BROADCAST_WINDOWS = 1_000_000
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 # Words that stand for a unit or a number.
@@ -118,9 +117,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     fewer than 4 plain words it is found only in its own words. Whole texts are
     read. Null and empty texts and items match nothing. Rows count as one document
     if id and text are equal; null ids are ids like others, null item ids are left
-    out. The items' windows are broadcast
-    if there are at most 1,000,000 of them (counted first); else documents' windows
-    are reduced by a bounded broadcast of slot numbers and then joined by shuffle.
+    out. Documents' windows are reduced by a bounded broadcast of the
+    items' slots, then joined with the items by shuffle.
     """
     found = pairs_of(docs, id_col, text_col, benchmark, item_col, item_text, window, least_cover)
     ids = docs.select(row_key(id_col, text_col).alias("__key"), F.col(id_col)).join(found, "__key").dropDuplicates(["__key", "item"])
@@ -134,8 +132,7 @@ def pairs_of(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame,
     short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
     named = not items.where("named").isEmpty()
     rows = windows(docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", window, short, named)
-    small = items.count() <= BROADCAST_WINDOWS
-    hits = rows.join(F.broadcast(items), "key") if small else keep_slots(rows, items, ["key"]).join(items, "key")
+    hits = keep_slots(rows, items, ["key"]).join(items, "key")
     pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda s: s["i"] != ""))
     plain = F.size(F.filter("item_slots", lambda x: x == ""))
     hits = hits.select("id", "item", (F.col("at") - F.col("q")).alias("shift"), F.struct("q", pairs.alias("pairs"), plain.alias("plain")).alias("w"))
@@ -154,7 +151,7 @@ def pairs_of(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame,
     aligned = aligned.withColumn("run", F.when(F.col("ok"), F.col("run")).otherwise(own | long))
     found = aligned.select("id", "item", "verbatim", "run", F.explode("counts.q").alias("q")).groupBy("id", "item", "q").agg(F.max("verbatim").alias("verbatim"), F.max("run").alias("run"))
     found = found.groupBy("id", "item").agg(F.count(F.lit(1)).alias("m"), F.min("verbatim").alias("verbatim"), F.max("run").alias("run"))
-    out = found.join(F.broadcast(total) if small else total, "item").withColumn("cover", F.col("m") / F.col("n"))
+    out = found.join(total, "item").withColumn("cover", F.col("m") / F.col("n"))
     return out.where((F.col("cover") >= least_cover) | F.col("run")).select(F.col("id").alias("__key"), "item", "cover", "verbatim")
 
 
