@@ -64,6 +64,19 @@ def fold_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of UTF-8 bytes as numbers, and the offsets of the documents in them."""
+    first = (data & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    lead = data[at].astype(np.uint32)
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    out = np.where(size == 1, lead, lead & (0xFF >> np.minimum(size + 1, 7)))
+    for k in range(1, 4):
+        more = size > k
+        out[more] = (out[more] << 6) | (data[np.minimum(at[more] + k, len(data) - 1)] & 0x3F)
+    return out, np.concatenate((np.zeros(1, np.int64), np.cumsum(first)))[offsets]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, by differences of one running sum."""
     cum = np.zeros(len(data) + 1, dtype=U64)

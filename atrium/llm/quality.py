@@ -21,8 +21,8 @@ GRAMS = (3, 4, 5)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
-    """Buckets kind by kind, with the place where each document's begin: words, whether a word repeats the
-    one before it, and n-grams of bytes; case is kept."""
+    """Buckets kind by kind, with the place where each document's begin: words, whether a word repeats the one
+    before it, and n-grams of the characters of each word with a mark at both ends; case is kept. Bucket -1 is none."""
     starts, ends, first = kernel.words(data, offsets)
     h = kernel.span_hashes(data, starts, ends)
     yield (h % np.uint64(BUCKETS)).astype(np.int32), first
@@ -30,36 +30,42 @@ def _features(data: np.ndarray, offsets: np.ndarray):
     again[1:] = h[1:] == h[:-1]
     again[first[:-1][first[:-1] < len(h)]] = 2
     yield (kernel.mix(again + np.uint64(11)) % np.uint64(BUCKETS)).astype(np.int32), first
-    wide = data.astype(np.uint64) + np.uint64(1)
+    chars, bounds = kernel.code_points(data, offsets)
+    # A space on either side marks a word's end; no n-gram has one inside or reaches into another document.
+    blank = (chars == 32) | ((chars >= 9) & (chars <= 13))
+    wide = np.where(blank, 0, chars).astype(np.uint64) + np.uint64(1)
+    edge = np.zeros(len(chars) + 1, bool)
+    edge[bounds] = True
     for n in GRAMS:
-        if len(data) < n:
+        if len(chars) < n:
             continue
-        h = wide[: len(data) - n + 1].copy()
+        m = len(chars) - n + 1
+        h, inside = wide[:m].copy(), np.ones(m, bool)
         for k in range(1, n):
-            h = h * np.uint64(0x100000001B3) + wide[k : len(data) - n + 1 + k]
+            h = h * np.uint64(0x100000001B3) + wide[k : m + k]
+            inside &= ~edge[k : m + k]
+            if k < n - 1:
+                inside &= ~blank[k : m + k]
         bucket = (kernel.mix(h + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(BUCKETS)).astype(np.int32)
-        # An n-gram that reaches into the next document belongs to none: it goes to bucket -1.
-        inside = np.ones(len(bucket), bool)
-        for k in range(1, n):
-            cut = offsets[1:-1] - k
-            inside[cut[(cut >= 0) & (cut < len(bucket))]] = False
         bucket[~inside] = -1
-        yield bucket, np.minimum(offsets, len(bucket))
+        yield bucket, np.minimum(bounds, m)
+
+
+def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, and the weight of each in its average."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, share = [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+    for found, _ in _features(data, np.array([0, len(data)])):
+        kind, counts = np.unique(found[found >= 0], return_counts=True)
+        ids.append(kind)
+        share.append((counts / (counts.sum() + CALM)).astype(np.float32))
+    ids, where = np.unique(np.concatenate(ids), return_inverse=True)
+    return ids, np.bincount(where, weights=np.concatenate(share), minlength=len(ids)).astype(np.float32)
 
 
-def _train(texts: list[str], labels: np.ndarray, epochs: int, seed: int = 7) -> dict:
+def _train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, seed: int = 7) -> dict:
     """Embeddings, their average and a softmax, fitted by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
-    docs = []
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        ids, share = [np.empty(0, np.int32)], [np.empty(0, np.float32)]
-        for found, _ in _features(data, np.array([0, len(data)])):
-            kind, counts = np.unique(found[found >= 0], return_counts=True)
-            ids.append(kind)
-            share.append((counts / (counts.sum() + CALM)).astype(np.float32))
-        ids, where = np.unique(np.concatenate(ids), return_inverse=True)
-        docs.append((ids, np.bincount(where, weights=np.concatenate(share), minlength=len(ids)).astype(np.float32)))
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, 2), np.float32)
     bias = np.zeros(2, np.float32)
@@ -97,7 +103,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     texts = docs.join(F.broadcast(sample), id_col).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
 
     def run(batches):
-        got = sorted((r["id"], r["y"], r["text"]) for b in batches for r in b.to_pylist())
+        # A text is held as its features, at most BUCKETS of them, however long it is.
+        got = sorted(((i.as_py(), y.as_py(), _shares(t.as_py())) for b in batches for i, t, y in zip(*b.columns, strict=True)), key=lambda r: r[:2])
         y = np.array([r[1] for r in got], np.int64)
         if len(got) == 0 or y.min() == y.max():
             share = float(np.clip(y.mean(), 0.01, 0.99)) if len(got) else 0.5
@@ -118,8 +125,8 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
     """(id, score): the probability of label 1 for each whole text.
 
     A document is the sum of the averages of the vectors of its words, of marks that
-    tell a word repeated at once from another, and of its 3- to 5-grams (of UTF-8
-    bytes, case kept), all hashed to 65,536 rows; softmax of a linear layer gives the score. Null and empty texts have no features and get
+    tell a word repeated at once from another, and of the 3- to 5-grams of its words'
+    characters (case kept), all hashed to 65,536 rows; softmax of a linear layer gives the score. Null and empty texts have no features and get
     the score of the bias alone. Every row gives one row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
