@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atrium.llm import chat, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secrets, toxicity, url_filter
+from atrium.llm import chat, decontaminate, exact_dedup, kernel, language_id, mixing, ngram_join, quality, secrets, toxicity, url_filter
 from atrium.llm.common import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -179,6 +179,51 @@ def test_quality_learns_and_scores_empty_texts(spark):
     assert quality.score_quality(df.limit(0), none).count() == 0
 
 
+def test_code_points_and_features_of_each_text_alone():
+    texts = ["", "añ€😀 x", "the the then", "é", "one two  three\tone", "日本語 テキスト 日本語", "a" * 50, " "]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    chars, bounds = kernel.code_points(data, offsets)
+    assert [chars[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [[ord(c) for c in t] for t in texts]
+    kinds = list(quality._features(data, offsets))
+    for i, text in enumerate(texts):
+        own = np.frombuffer(text.encode(), np.uint8)
+        alone = list(quality._features(own, np.array([0, len(own)])))
+        for (bucket, first), found in itertools.zip_longest(kinds, alone):
+            here = bucket[first[i] : first[i + 1]]
+            assert here[here >= 0].tolist() == (found[0][found[0] >= 0].tolist() if found else [])
+        # 3-grams: those of " word " without the outer blanks at the text's ends.
+        grams = [text[k : k + 3] for k in range(len(text) - 2) if not text[k + 1].isspace()]
+        assert len(alone) < 3 or int((alone[2][0] >= 0).sum()) == len(grams)
+
+
+def test_quality_scores_equal_a_plain_average(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(0, 50), ["alpha", "bêta", "gamma", "gamma gamma"]) for _ in range(40)] + ["x" * 30_000]
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs(spark, texts), {"weights": weights, "bias": 0.3}).collect()}
+    for i, t in enumerate(texts):
+        ids, share = quality._shares(t)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(float(share @ weights[ids]) + 0.3))), abs=1e-4)
+
+
+def test_toxicity_weights_equal_a_plain_search(spark):
+    rng = random.Random(6)
+    model = {"lexicon": {" idiot ": 2.0, " scum": 3.0, " trash": 1.5, " tra": 0.5}, "exceptions": [" trash can ", " pond scum "], "slope": 4.0, "middle": 1.0}
+    parts = ["idiot", "scum", "scumbag", "trash", "trash can", "pond scum", "train", "stone", "river", "the"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    got = {r.doc_id: (r.hits, r.weight) for r in toxicity.score_toxicity(docs(spark, texts), {**model, "lexicon": {toxicity.fold_phrase(k)[: len(k)]: w for k, w in model["lexicon"].items()}, "exceptions": [toxicity.fold_phrase(x) for x in model["exceptions"]]}).collect()}
+    for i, t in enumerate(texts):
+        t = f" {t} "
+        spared = [(k, k + len(x)) for x in model["exceptions"] for k in range(len(t)) if t.startswith(x, k)]
+        best = {}
+        for term, w in model["lexicon"].items():
+            for k in range(len(t)):
+                if t.startswith(term, k) and not any(a <= k < b - 1 for a, b in spared):
+                    best[k] = max(w, best.get(k, 0.0))
+        assert got[i] == (len(best), pytest.approx(sum(best.values()))), t
+
+
 def test_toxicity_folds_and_spares(spark):
     rng = random.Random(2)
     words = ["river", "stone", "can", "by", "the", "of", "you"] + ["".join(rng.choice("bdnrstuvmw") for _ in range(5)) for _ in range(300)]
