@@ -119,37 +119,6 @@ def station_positions(spark, d) -> DataFrame:
     return c.select(F.col("label").alias("chain"), "i", F.round(F.col("length") * F.col("i") / F.col("n"), 4).alias("offset"))
 
 
-def perimeter_candidates(spark, d, every: float = 5.5, inset: float = 0.4) -> DataFrame:
-    """Points inset from the outline of every restricted box, each side divided evenly."""
-    r = derived(spark, d, "restricted")
-    side = F.explode(F.array(F.struct(F.lit(0).alias("s"), (F.col("x1") - F.col("x0")).alias("len")), F.struct(F.lit(1).alias("s"), (F.col("y1") - F.col("y0")).alias("len"))))
-    r = r.withColumn("side", side).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("side.len") / every).cast("int"))))
-    t = F.col("k") / F.ceil(F.col("side.len") / every)
-    x = F.when(F.col("side.s") == 0, F.col("x0") + t * F.col("side.len")).otherwise(F.col("x0") - inset)
-    y = F.when(F.col("side.s") == 0, F.col("y0") - inset).otherwise(F.col("y0") + t * F.col("side.len"))
-    return r.select("floor_id", "rect_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y")).distinct()
-
-
-def corridor_width_class(spark, d) -> DataFrame:
-    """Clear width across each edge at 10, 50 and 90 %: up to the nearest restricted box or 12.5 m; upper median and class."""
-    e = ends(spark, d).withColumn("t", F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))))
-    e = e.withColumn("x", F.col("ax") + F.col("t") * (F.col("bx_") - F.col("ax"))).withColumn("y", F.col("ay") + F.col("t") * (F.col("by_") - F.col("ay"))).withColumn("sx", F.abs(F.col("bx_") - F.col("ax")) > 1e-8)
-    b = derived(spark, d, "restricted").select(F.col("floor_id").alias("f"), "x0", "y0", "x1", "y1")
-    near = e.withColumn("bx", F.floor(F.col("x") / BIN).cast("int")).withColumn("by", F.floor(F.col("y") / BIN).cast("int"))
-    boxes = spatial.spread(b, F.col("x0") - 6.25, F.col("y0") - 6.25, F.col("x1") + 6.25, F.col("y1") + 6.25, BIN).withColumnRenamed("bx", "kx").withColumnRenamed("by", "ky")
-    pairs = near.join(boxes, (F.col("floor_id") == F.col("f")) & (F.col("bx") == F.col("kx")) & (F.col("by") == F.col("ky")))
-    over = F.when(F.col("sx"), F.col("x").between(F.col("x0"), F.col("x1"))).otherwise(F.col("y").between(F.col("y0"), F.col("y1")))
-    v, lo, hi = F.when(F.col("sx"), F.col("y")).otherwise(F.col("x")), F.when(F.col("sx"), F.col("y0")).otherwise(F.col("x0")), F.when(F.col("sx"), F.col("y1")).otherwise(F.col("x1"))
-    pairs = pairs.where(over).withColumn("up", F.when(lo >= v, lo - v).when(hi >= v, F.lit(0.0))).withColumn("down", F.when(hi <= v, v - hi).when(lo <= v, F.lit(0.0)))
-    reach = pairs.groupBy("edge_id", "t").agg(F.min("up").alias("up"), F.min("down").alias("down"))
-    w = e.select("edge_id", "t").join(reach, ["edge_id", "t"], "left")
-    cap = lambda k: F.least(F.coalesce(F.col(k), F.lit(6.25)), F.lit(6.25))
-    w = w.withColumn("width", F.round(cap("up") + cap("down"), 6)).groupBy("edge_id").agg(F.array_sort(F.collect_list("width")).alias("ws"))
-    width = F.element_at("ws", 2)
-    kind = F.when(width <= 3, "Narrow").when(width <= 6, "Medium").when(width < 12, "Wide").otherwise("Atrium")
-    return w.select("edge_id", width.alias("width"), kind.alias("kind"))
-
-
 def spacing_samples(spark, d) -> DataFrame:
     """Beacons projected on their nearest edge, put in the order of its offset: the gap to the one before, and whether it is too small or too large."""
     near = beacon_nearest_edge(spark, d).where("dist <= 6")
@@ -198,15 +167,6 @@ def strategy_histogram(spark, d) -> DataFrame:
     return derived(spark, d, "beacon").groupBy("floor_id", "strategy").agg(F.count(F.lit(1)).alias("n"))
 
 
-def beacon_csv_row(spark, d) -> DataFrame:
-    """Quoted fields, quotes doubled, formula starts guarded."""
-    b = base(spark, d, "customer")
-    guard = lambda c: F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
-    cell = lambda c: F.concat(F.lit('"'), F.replace(guard(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    fields = [F.concat(F.lit("-B"), F.col("c_custkey").cast("string")), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")]
-    return b.select("c_custkey", F.concat_ws(",", *[cell(c) for c in fields]).alias("csv_line"))
-
-
 def version_latest(spark, d) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
     return base(spark, d, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("score"))
@@ -268,16 +228,6 @@ QUERIES = {
     "station_positions": Query(station_positions, f"""WITH c AS ({CHAIN_SQL}), k AS (SELECT *, floor(length / 5.5::double + 0.5) AS n0, ceil(length / 6.0::double) AS lo, floor(length / 5.0::double) AS hi FROM c),
         m AS (SELECT label, length, CAST(greatest(1, CASE WHEN lo <= hi THEN greatest(lo, least(hi, n0)) ELSE n0 END) AS int) AS n FROM k)
         SELECT label AS chain, CAST(i AS int) AS i, round(length * i / n, 4) AS "offset" FROM m, unnest(range(1, n)) u(i)"""),
-    "perimeter_candidates": Query(perimeter_candidates, with_sql("""+side AS (SELECT *, 0 AS s, x1 - x0 AS len FROM restricted UNION ALL SELECT *, 1, y1 - y0 FROM restricted),
-        p AS (SELECT *, k / ceil(len / 5.5) AS t FROM side, unnest(range(0, CAST(ceil(len / 5.5) AS int) + 1)) u(k))
-        SELECT DISTINCT floor_id, rect_id, round(CASE WHEN s = 0 THEN x0 + t * len ELSE x0 - 0.4 END, 3) AS x, round(CASE WHEN s = 0 THEN y0 - 0.4 ELSE y0 + t * len END, 3) AS y FROM p""", "restricted")),
-    "corridor_width_class": Query(corridor_width_class, with_sql(f"""+{network.ENDS_SQL},
-        s AS (SELECT edge_id, floor_id, t, ax + t * (bx - ax) AS x, ay + t * (by_ - ay) AS y, abs(bx - ax) > 1e-8 AS sx FROM ends, (VALUES (0.1::double), (0.5::double), (0.9::double)) v(t)),
-        v AS (SELECT s.edge_id, s.t, CASE WHEN sx THEN s.y ELSE s.x END AS v, CASE WHEN sx THEN y0 ELSE x0 END AS lo, CASE WHEN sx THEN y1 ELSE x1 END AS hi
-              FROM s JOIN restricted q ON q.floor_id = s.floor_id AND CASE WHEN sx THEN s.x BETWEEN x0 AND x1 ELSE s.y BETWEEN y0 AND y1 END),
-        r AS (SELECT edge_id, t, min(CASE WHEN lo >= v THEN lo - v WHEN hi >= v THEN 0 END) AS up, min(CASE WHEN hi <= v THEN v - hi WHEN lo <= v THEN 0 END) AS down FROM v GROUP BY edge_id, t),
-        w AS (SELECT s.edge_id, list_sort(list(round(least(coalesce(up, 6.25), 6.25) + least(coalesce(down, 6.25), 6.25), 6)))[2] AS width FROM s LEFT JOIN r ON r.edge_id = s.edge_id AND r.t = s.t GROUP BY s.edge_id)
-        SELECT edge_id, width, CASE WHEN width <= 3 THEN 'Narrow' WHEN width <= 6 THEN 'Medium' WHEN width < 12 THEN 'Wide' ELSE 'Atrium' END AS kind FROM w""", "edge", "restricted")),
     "quality_scores": Query(quality_scores, f"""WITH cov AS ({coverage.QUERIES['floor_coverage_summary'].sql}), need AS ({with_sql('+' + ANCHOR_SQL + ' SELECT node_id FROM needed', 'edge', 'beacon', 'vertex', 'capsule')}),
         miss AS ({with_sql('+' + ANCHOR_SQL + ' SELECT node_id FROM missed', 'edge', 'beacon', 'vertex', 'capsule')}), ratio AS ({network.QUERIES['component_ratio'].sql}), pairs AS ({network.QUERIES['duplicate_beacons'].sql}), blocked AS ({network.QUERIES['blocked_edges'].sql}),
         edges AS ({network.QUERIES['edge_with_endpoints'].sql}), sp AS ({with_sql('+' + GAP_SQL + ' SELECT * FROM spacing', 'edge', 'beacon')}), bad AS ({with_sql('+' + CONFLICT_SQL + ' SELECT pid FROM cf WHERE conflict IS NOT NULL AND pid IN (SELECT beacon_id FROM beacon WHERE enabled)', 'beacon', 'vertex', 'capsule')}),
@@ -290,7 +240,6 @@ QUERIES = {
         SELECT *, round(CASE WHEN failures > 0 THEN 0 ELSE (spacing + coverage + connectivity + anchors) / 4 END, 3) AS score, round((spacing + coverage + connectivity + anchors) / 4, 3) AS uncapped FROM p"""),
     "deployment_statistics": Query(deployment_statistics, with_sql("SELECT floor_id, count(*) AS beacons, count(*) FILTER (enabled) AS active, round(avg(radius), 6) AS mean_radius, count(*) FILTER (enabled) * 25.0::double AS cost FROM beacon GROUP BY floor_id", "beacon")),
     "strategy_histogram": Query(strategy_histogram, with_sql("SELECT floor_id, strategy, count(*) AS n FROM beacon GROUP BY floor_id, strategy", "beacon")),
-    "beacon_csv_row": Query(beacon_csv_row, """SELECT c_custkey, concat_ws(',', '"''-B' || c_custkey || '"', '"' || replace(c_name, '"', '""') || '"', '"' || replace(c_mktsegment, '"', '""') || '"', '"' || c_nationkey || '"') AS csv_line FROM customer"""),
     "version_latest": Query(version_latest, "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
     "version_compare": Query(version_compare, """WITH v AS (SELECT *, lag(o_totalprice) OVER w AS pa, lag(o_orderpriority) OVER w AS pp, lead(o_orderkey) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
         l AS (SELECT * FROM v WHERE n IS NULL AND pa IS NOT NULL)
