@@ -24,7 +24,7 @@ SEEN = 1 - 1e-7
 
 @dataclass(frozen=True)
 class Geometry:
-    """``polygons``: floor_id, polygon_id, role, edges array<struct<ring,ax,ay,bx,by>>, x0..y1; ``sides``: one row per ring
+    """``polygons``: floor_id, polygon_id, role, edges array<struct<ring,ax,ay,bx,by>>, holes, x0..y1; ``sides``: one row per ring
     edge (floor_id, ring_edge, cx, cy, dx, dy); ``capsules``: floor_id, path_id, seg, kind, width, cx, cy, dx, dy."""
 
     polygons: DataFrame
@@ -43,19 +43,20 @@ def of_rings(vertices: DataFrame, capsules: DataFrame) -> Geometry:
     sides = vertices.select("floor_id", "polygon_id", "role", "ring", "i", F.col("x").alias("cx"), F.col("y").alias("cy"), nxt("x").alias("dx"), nxt("y").alias("dy"))
     edge = F.struct("ring", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
     sides = step(sides, "sides")
-    polygons = sides.groupBy("floor_id", "polygon_id", "role").agg(F.collect_list(edge).alias("edges"), F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.max("cx").alias("x1"), F.max("cy").alias("y1"))
+    polygons = sides.groupBy("floor_id", "polygon_id", "role").agg(F.collect_list(edge).alias("edges"), F.max("ring").alias("holes"), F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.max("cx").alias("x1"), F.max("cy").alias("y1"))
     caps = capsules.select("floor_id", "path_id", "seg", "kind", "width", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by_").alias("dy"))
     return Geometry(step(polygons, "polygons"), sides, step(caps, "capsules"))
 
 
-def in_polygon(px: Column, py: Column, edges: Column) -> Column:
-    """Is a point in a polygon given by its ring edges? Its outline and its holes' rings count as inside."""
+def in_polygon(px: Column, py: Column, edges: Column, holes: Column) -> Column:
+    """Is a point in a polygon given by its ring edges and its number of holes? Its outline and its holes' rings count as inside."""
     crosses = lambda e: (e["ay"] > py) != (e["by"] > py)
     left = lambda e: px < (e["bx"] - e["ax"]) * (py - e["ay"]) / F.when(e["by"] == e["ay"], 1.0).otherwise(e["by"] - e["ay"]) + e["ax"]
     odd = lambda ring: F.size(F.filter(edges, lambda e: (e["ring"] == ring) & crosses(e) & left(e))) % 2 == 1
     on = lambda ring: F.exists(edges, lambda e: (e["ring"] == ring) & (G.segment_distance(px, py, e["ax"], e["ay"], e["bx"], e["by"]) < G.EPS))
-    holes = F.sequence(F.lit(0), F.array_max(F.transform(edges, lambda e: e["ring"])))
-    return on(0) | (odd(0) & ~F.exists(holes, lambda r: (r > 0) & odd(r) & ~on(r)))
+    in_hole = F.exists(F.sequence(F.lit(1), F.greatest(holes, F.lit(1))), lambda r: odd(r) & ~on(r))
+    # In this order most points need one pass over the edges.
+    return (odd(0) & ((holes == 0) | ~in_hole)) | on(0)
 
 
 def _near(points: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def conflicts(points: DataFrame, key: list[str], geometry: Geometry) -> DataFram
     """
     c = F.col
     polygons = spatial.spread(geometry.polygons.drop("polygon_id"), c("x0") - G.EPS, c("y0") - G.EPS, c("x1") + G.EPS, c("y1") + G.EPS, BIN)
-    areas = _near(points, polygons).where(G.in_box(c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1"))).where(in_polygon(c("x"), c("y"), c("edges"))).select(*key, c("role").alias("met"))
+    areas = _near(points, polygons).where(G.in_box(c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1"))).where(in_polygon(c("x"), c("y"), c("edges"), c("holes"))).select(*key, c("role").alias("met"))
     half = c("width") / 2 + G.EPS
     caps = spatial.spread(geometry.capsules, F.least("cx", "dx") - half, F.least("cy", "dy") - half, F.greatest("cx", "dx") + half, F.greatest("cy", "dy") + half, BIN)
     paths = _near(points, caps).where(G.segment_distance(*[c(k) for k in ("x", "y", "cx", "cy", "dx", "dy")]) <= half).select(*key, c("kind").alias("met"))
@@ -160,20 +161,25 @@ def valid_intervals(segments: DataFrame, key: list[str], geometry: Geometry, wal
     return spatial.interval_union(free, key)
 
 
-def visible(pairs: DataFrame, key: list[str], geometry: Geometry) -> DataFrame:
+def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bool = False) -> DataFrame:
     """The pairs (key, floor_id, ax, ay, bx, by) with a free line of sight, in their own columns.
 
-    Only lines that cross a ring or a capsule are cut into parts; for all others
-    one point tells for the whole line.
+    Only lines that meet a ring or a capsule are cut into parts; any other line is
+    free if its start is. ``open_start`` tells that all starts are known to be.
     """
     found = step(cuts(pairs, key, geometry), "cuts")
-    crossing = found.where("t > 1e-8 and t < 1 - 1e-8").select(*key).distinct()
-    cut = pairs.join(crossing, key, "left_semi")
-    clear = pairs.join(crossing, key, "left_anti")
-    mid = clear.select(*key, "floor_id", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    whole = conflicts(mid, key, geometry).where("conflict_off_path is null").select(*key)
-    parts = valid_intervals(cut, key, geometry, False, found.join(crossing, key, "left_semi")).groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("seen")).where(F.col("seen") >= SEEN).select(*key)
-    return pairs.join(whole.unionByName(parts), key, "left_semi")
+    meeting = found.select(*key).distinct()
+    parts = valid_intervals(pairs.join(meeting, key, "left_semi"), key, geometry, False, found)
+    free = parts.groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("seen")).where(F.col("seen") >= SEEN).select(*key)
+    clear = pairs.join(meeting, key, "left_anti")
+    if not open_start:
+        starts = clear.select("floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+        ok = conflicts(starts, ["floor_id", "x", "y"], geometry).where("conflict_off_path is null").select("floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"))
+        clear = clear.join(ok, ["floor_id", "ax", "ay"], "left_semi")
+    # A pair whose two ends are one point has no length to measure.
+    point = pairs.where("ax = bx and ay = by").select(*key, "floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).join(meeting, key, "left_semi")
+    free = free.unionByName(conflicts(point, key, geometry).where("conflict_off_path is null").select(*key))
+    return pairs.join(free.unionByName(clear.select(*key)), key, "left_semi")
 
 
 # The same, as SQL over the tables vertex and capsule; nothing is binned there.

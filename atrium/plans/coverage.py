@@ -46,7 +46,7 @@ def hits(spark, d, cells: DataFrame, shapes: floor.Geometry) -> DataFrame:
     discs = derived(spark, d, "beacon").where("enabled").select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius", "marginal")
     near = step(spatial.disc_join(cells, discs, F.col("marginal"), BIN), "near")
     lines = near.select(*CELL_KEY, "beacon_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    seen = floor.visible(lines, [*CELL_KEY, "beacon_id"], shapes).select(*CELL_KEY, "beacon_id")
+    seen = floor.visible(lines, [*CELL_KEY, "beacon_id"], shapes, True).select(*CELL_KEY, "beacon_id")
     return step(near.join(seen, [*CELL_KEY, "beacon_id"], "left_semi"), "hits")
 
 
@@ -95,7 +95,7 @@ def marginal_vs_reliable_coverage(spark, d) -> DataFrame:
 def dead_zones(spark, d) -> DataFrame:
     """Neighbouring uncovered cells that see each other, as one zone each."""
     cells = step(counted(spark, d).where("n = 0").select("floor_id", F.col("col").cast("long").alias("col"), F.col("row_no").cast("long").alias("row_no"), "x", "y"), "dead")
-    zones = graph.grid_components(cells, lambda pairs: floor.visible(pairs, [*CELL_KEY, "to_col", "to_row"], geometry(spark, d)))
+    zones = graph.grid_components(cells, lambda pairs: floor.visible(pairs, [*CELL_KEY, "to_col", "to_row"], geometry(spark, d), True))
     return zones.groupBy("floor_id", "zone_col", "zone_row").agg(F.count(F.lit(1)).alias("samples"), (F.count(F.lit(1)) * CELL * CELL).alias("area"), F.min("col").alias("col_from"), F.max("col").alias("col_to"), F.min("row_no").alias("row_from"), F.max("row_no").alias("row_to"))
 
 

@@ -79,7 +79,7 @@ def area_cover(spark, d, additions: int = 3) -> DataFrame:
     c = step(perimeter_candidates(spark, d).select("floor_id", F.col("x").alias("cx"), F.col("y").alias("cy")), "candidates")
     pairs = spatial.disc_join(dead, c, F.lit(RADIUS), coverage.BIN)
     lines = step(pairs.select(*coverage.CELL_KEY, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.struct("cx", "cy").alias("place")), "lines")
-    prints = step(floor.visible(lines, [*coverage.CELL_KEY, "place"], shapes).select(*coverage.CELL_KEY, "place.cx", "place.cy"), "prints")
+    prints = step(floor.visible(lines, [*coverage.CELL_KEY, "place"], shapes, True).select(*coverage.CELL_KEY, "place.cx", "place.cy"), "prints")
     picks = []
     for n in range(additions):
         gain = prints.groupBy("floor_id", "cx", "cy").agg(F.count(F.lit(1)).alias("gain"))

@@ -75,7 +75,7 @@ def connected(points: DataFrame, spark, d) -> DataFrame:
     open_points = floor.conflicts(points, key, shapes).where("conflict is null").select("floor_id", "at", "x", "y")
     near = step(spatial.disc_join(open_points, discs, F.col("marginal"), BIN), "near")
     lines = near.select(*key, "beacon_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    seen = near.join(floor.visible(lines, [*key, "beacon_id"], shapes).select(*key, "beacon_id"), [*key, "beacon_id"], "left_semi")
+    seen = near.join(floor.visible(lines, [*key, "beacon_id"], shapes, True).select(*key, "beacon_id"), [*key, "beacon_id"], "left_semi")
     seen = seen.withColumn("signal", F.round(100 * (1 - F.col("dist") / F.col("marginal")), 8))
     best = seen.groupBy(*key).agg(F.max(F.struct("signal", (-F.col("beacon_id")).alias("neg"), (F.col("dist") <= F.col("radius") + G.EPS).alias("ok"))).alias("b"))
     state = F.when(F.col("b").isNull(), "dead").when(F.col("b.ok"), "reliable").otherwise("weak")
