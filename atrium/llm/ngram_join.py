@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, forget, keep_slots, materialize, row_key, salted_left_join
+from .common import components, forget, keep_slots, materialize, row_key, salted_left_join, small_batches
 
 FRAGMENTS = 8
 #: Shingles are counted in 2^22 buckets, a table of 4 MB; more (up to 2^28) keep the order sharp on very large corpora.
@@ -175,7 +175,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("key"), F.col(text_col).alias("text"))
-    members, labels = _classes(rows, n, percent, fragments, order_bits)
+    with small_batches(docs.sparkSession):
+        members, labels = _classes(rows, n, percent, fragments, order_bits)
     named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = _labelled(named, "node", labels, "label")
     names = named.groupBy("label").agg(F.min("least").alias("component"), F.sum("copies").alias("documents")).where("documents > 1")
@@ -304,7 +305,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = docs.withColumn("__key", F.concat_ws(":", *[row_key(id_col, text_col)[k] for k in ("k1", "k2")]))
     rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
-    members, labels = _classes(rows, n, percent, FRAGMENTS, ORDER_BITS)
+    with small_batches(docs.sparkSession):
+        members, labels = _classes(rows, n, percent, FRAGMENTS, ORDER_BITS)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     nodes = members.where("node <> 0").groupBy("node").agg(first.alias("first"))
     kept = _labelled(nodes, "node", labels, "label").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
