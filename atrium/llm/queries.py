@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secrets, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, language_id, merkle, mixing, ngram_join, quality, secrets, toxicity, url_filter, vector_dedup, whitening
 from .common import table
 
 PREDICT_AT = 0.7
@@ -72,9 +72,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"text": merkle.lower_ascii(F.col("text"))}, tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_mix_sources, op3_ngram_jaccard, op4_quality, op5_decontaminate, op6_url_filter, op7_language_id, op8_toxicity, op9_chat_format, op10_secret_scan)
+    for f in (op1_exact_dedup, op2_mix_sources, op3_ngram_jaccard, op4_quality, op5_decontaminate, op6_url_filter, op7_language_id, op8_toxicity, op9_chat_format, op10_secret_scan, op11_whitening, op12_vector_dedup, op13_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +116,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN g IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
                CASE WHEN r IS NULL THEN g END AS pattern FROM judged""",
     "op9_chat_format": chat.chat_sql(),
+    "op13_merkle_manifest": merkle.MANIFEST_SQL,
 }
