@@ -161,25 +161,65 @@ def valid_intervals(segments: DataFrame, key: list[str], geometry: Geometry, wal
     return spatial.interval_union(free, key)
 
 
-def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bool = False) -> DataFrame:
-    """The pairs (key, floor_id, ax, ay, bx, by) with a free line of sight, in their own columns.
+def blocking(geometry: Geometry) -> Geometry:
+    """The shapes that can take sight: walkable areas and paths never do."""
+    return Geometry(geometry.polygons.where("role <> 'walkable'"), geometry.sides.where("role <> 'walkable'"), geometry.capsules.where("kind <> 'path'"))
+
+
+def _comes_near(shape: Column) -> Column:
+    """May line a-b touch a shape (cx, cy, dx, dy, m), m its half width and a margin? Never false where it does."""
+    c, m = F.col, shape["m"]
+    box = (F.least("ax", "bx") <= F.greatest(shape["cx"], shape["dx"]) + m) & (F.greatest("ax", "bx") >= F.least(shape["cx"], shape["dx"]) - m)
+    box &= (F.least("ay", "by") <= F.greatest(shape["cy"], shape["dy"]) + m) & (F.greatest("ay", "by") >= F.least(shape["cy"], shape["dy"]) - m)
+    side = lambda px, py: (c("bx") - c("ax")) * (py - c("ay")) - (c("by") - c("ay")) * (px - c("ax"))
+    p, q, reach = side(shape["cx"], shape["cy"]), side(shape["dx"], shape["dy"]), m * G.distance(c("ax"), c("ay"), c("bx"), c("by"))
+    return box & (F.greatest(p, q) >= -reach) & (F.least(p, q) <= reach)
+
+
+def _near_hubs(pairs: DataFrame, hub: list[str], geometry: Geometry) -> DataFrame:
+    """(hub, shapes): for each hub the straight shapes in the square that its lines stay in."""
+    c = F.col
+    hubs = pairs.groupBy("floor_id", *hub).agg(F.first("bx").alias("hx"), F.first("by").alias("hy"), F.max(G.distance(c("ax"), c("ay"), c("bx"), c("by"))).alias("reach"))
+    boxed = hubs.withColumns({"sx0": c("hx") - c("reach"), "sy0": c("hy") - c("reach"), "sx1": c("hx") + c("reach"), "sy1": c("hy") + c("reach")})
+    boxed = spatial.spread(boxed, c("sx0"), c("sy0"), c("sx1"), c("sy1"), BIN)
+    lines = ["cx", "cy", "dx", "dy"]
+    shapes = geometry.sides.select("floor_id", *lines, F.lit(1e-6).alias("m")).unionByName(geometry.capsules.select("floor_id", *lines, (c("width") / 2 + 1e-6).alias("m")))
+    shapes = shapes.withColumns({"tx0": F.least("cx", "dx") - c("m"), "ty0": F.least("cy", "dy") - c("m"), "tx1": F.greatest("cx", "dx") + c("m"), "ty1": F.greatest("cy", "dy") + c("m")})
+    shapes = spatial.spread(shapes, c("tx0"), c("ty0"), c("tx1"), c("ty1"), BIN).withColumnsRenamed({"floor_id": "__f", "bx": "__bx", "by": "__by"})
+    met = (c("sx0") <= c("tx1")) & (c("tx0") <= c("sx1")) & (c("sy0") <= c("ty1")) & (c("ty0") <= c("sy1"))
+    first = (c("bx") == F.floor(F.greatest("sx0", "tx0") / BIN)) & (c("by") == F.floor(F.greatest("sy0", "ty0") / BIN))
+    near = boxed.join(shapes, (c("floor_id") == c("__f")) & (c("bx") == c("__bx")) & (c("by") == c("__by")) & met & first)
+    return near.groupBy(*hub).agg(F.collect_list(F.struct(*lines, "m")).alias("__shapes"))
+
+
+def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bool = False, hub: list[str] | None = None) -> DataFrame:
+    """The pairs (key, floor_id, ax, ay, bx, by) with a free line of sight, in their own columns, others too.
 
     Only lines that meet a ring or a capsule are cut into parts; any other line is
     free if its start is. ``open_start`` tells that all starts are known to be.
+    ``hub`` names the key of the lines' ends (bx, by) where many lines share one (a beacon and the points around it): the
+    shapes around a hub are gathered once, and lines that none of them comes near are settled there.
     """
+    geometry = blocking(geometry)
+    if hub:
+        pairs = pairs.join(_near_hubs(pairs, hub, geometry), hub, "left")
+        near = F.coalesce(F.exists("__shapes", _comes_near), F.lit(False)) | (F.col("ax").eqNullSafe(F.col("bx")) & F.col("ay").eqNullSafe(F.col("by")))
+        pairs = step(pairs.withColumn("__near", near).drop("__shapes"), "lines")
+        free, pairs = pairs.where("not __near").drop("__near"), pairs.where("__near").drop("__near")
     found = step(cuts(pairs, key, geometry), "cuts")
     meeting = found.select(*key).distinct()
-    parts = valid_intervals(pairs.join(meeting, key, "left_semi"), key, geometry, False, found)
-    free = parts.groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("seen")).where(F.col("seen") >= SEEN).select(*key)
     clear = pairs.join(meeting, key, "left_anti")
+    clear = clear.unionByName(free) if hub else clear
+    parts = valid_intervals(pairs.select(*key, "floor_id", "ax", "ay", "bx", "by").join(meeting, key, "left_semi"), key, geometry, False, found)
+    seen = parts.groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("seen")).where(F.col("seen") >= SEEN).select(*key)
     if not open_start:
         starts = clear.select("floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
         ok = conflicts(starts, ["floor_id", "x", "y"], geometry).where("conflict_off_path is null").select("floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"))
         clear = clear.join(ok, ["floor_id", "ax", "ay"], "left_semi")
     # A pair whose two ends are one point has no length to measure.
     point = pairs.where("ax = bx and ay = by").select(*key, "floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).join(meeting, key, "left_semi")
-    free = free.unionByName(conflicts(point, key, geometry).where("conflict_off_path is null").select(*key))
-    return pairs.join(free.unionByName(clear.select(*key)), key, "left_semi")
+    seen = seen.unionByName(conflicts(point, key, geometry).where("conflict_off_path is null").select(*key))
+    return pairs.join(seen, key, "left_semi").select(*clear.columns).unionByName(clear)
 
 
 # The same, as SQL over the tables vertex and capsule; nothing is binned there.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atrium.sources.shared import step
+from atrium.sources.shared import forget, step
 
 
 def both_ways(edges: DataFrame, *carry: str) -> DataFrame:
@@ -53,25 +55,82 @@ def _cheapest(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(F.struct("cost", "path", "distance")).alias("r")).select(*key, "r.cost", "r.distance", "r.path")
 
 
+#: Written rounds that are read again before they are merged into one.
+MERGED = 8
+
+
+def _settled(rounds: list[DataFrame], key: list[str], best) -> list[DataFrame]:
+    """The rounds so far, merged into one table when there are many; the last stays apart as the front."""
+    if len(rounds) <= MERGED:
+        return rounds
+    merged = step(best(reduce(DataFrame.unionByName, rounds)), "merged")
+    forget(*rounds[:-1])
+    return [merged, rounds[-1]]
+
+
+def _search(first: DataFrame, extended, key: list[str], best, improved: str) -> DataFrame:
+    """Rounds of a search: what the front reaches is held against all that is known, and what is better is the next front.
+
+    A round writes the rows that got better and nothing else; it reads what is known once.
+    """
+    rounds = [first]
+    while True:
+        reached = extended(rounds[-1])
+        values = [c for c in reached.columns if c not in key]
+        new = reached.select(*key, F.struct(*values).alias("new"), F.lit(None).cast(reached.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("old"))
+        known = reduce(DataFrame.unionByName, rounds).select(*key, F.lit(None).cast(new.schema["new"].dataType).alias("new"), F.struct(*values).alias("old"))
+        both = new.unionByName(known).groupBy(*key).agg(F.min("new").alias("new"), F.min("old").alias("old"))
+        front = step(both.where(improved).select(*key, "new.*"), "front")
+        if front.isEmpty():
+            forget(front)
+            return best(reduce(DataFrame.unionByName, rounds))
+        rounds = _settled([*rounds, front], key, best)
+
+
 def routes(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> DataFrame:
     """(source, node_id, cost, distance, path): the cheapest route from each source to every node it reaches, ties to the least path.
 
     ``sources``: source, node_id, and cost if a search starts with one; ``arcs``: a, b, cost, distance, edge_id, directed.
     Rounds of one join and one aggregation: only nodes whose cost fell in a round go on, by arcs of up to four edges, so
-    rounds are a quarter of the longest route's edges. Costs are rounded to 6 decimals. ``within`` bounds the cost.
+    rounds are a quarter of the longest route's edges. A round writes only what got better. Costs are rounded to
+    6 decimals. ``within`` bounds the cost. Where paths are not asked for, ``costs`` is lighter.
     """
     arcs = wide_arcs(step(_cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost"), "distance", F.array("edge_id").alias("path")), ["a", "b"]), "arcs"))
     cost = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
-    best = front = step(_cheapest(sources.select("source", "node_id", cost.alias("cost"), F.lit(0.0).alias("distance"), F.array().cast("array<bigint>").alias("path")), ["source", "node_id"]), "routes")
+    key = ["source", "node_id"]
+    first = step(_cheapest(sources.select(*key, cost.alias("cost"), F.lit(0.0).alias("distance"), F.array().cast("array<bigint>").alias("path")), key).select(*key, "cost", "path", "distance"), "front")
     over = arcs.select("a", "b", F.col("cost").alias("more"), F.col("distance").alias("length"), F.col("path").alias("rest"))
+
+    def extended(front: DataFrame) -> DataFrame:
+        on = front.join(over, front["node_id"] == over["a"]).select("source", F.col("b").alias("node_id"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"), F.concat("path", "rest").alias("path"), F.round(F.col("distance") + F.col("length"), 6).alias("distance"))
+        return on if within is None else on.where(F.col("cost") <= within)
+
+    better = "new is not null and (old is null or struct(new.cost, new.path) < struct(old.cost, old.path))"
+    return _search(first, extended, key, lambda rows: _cheapest(rows, key), better).select(*key, "cost", "distance", "path")
+
+
+def costs(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> DataFrame:
+    """(source, node_id, cost): what ``routes`` costs, without the routes. Rows are three numbers."""
+    cheapest = lambda rows, key: rows.groupBy(*key).agg(F.min("cost").alias("cost"))
+    arcs = step(cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost")), ["a", "b"]), "arcs")
+    for _ in range(2):
+        longer = arcs.join(arcs.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more")), F.col("b") == F.col("m")).where("a <> c")
+        arcs = step(cheapest(arcs.unionByName(longer.select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"))), ["a", "b"]), "arcs")
+    start = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
+    key = ["source", "node_id"]
+    over = arcs.select("a", "b", F.col("cost").alias("more"))
+    rounds = [step(cheapest(sources.select(*key, start.alias("cost")), key), "front")]
     while True:
-        on = front.join(over, front["node_id"] == over["a"]).select("source", F.col("b").alias("node_id"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"), F.round(F.col("distance") + F.col("length"), 6).alias("distance"), F.concat("path", "rest").alias("path"))
-        on = _cheapest(on if within is None else on.where(F.col("cost") <= within), ["source", "node_id"])
-        known = best.select("source", "node_id", F.struct("cost", "path").alias("known"))
-        front = step(on.join(known, ["source", "node_id"], "left").where(F.col("known").isNull() | (F.struct("cost", "path") < F.col("known"))).drop("known"), "front")
+        front = rounds[-1]
+        on = front.join(over, front["node_id"] == over["a"]).select("source", F.col("b").alias("node_id"), F.round(F.col("cost") + F.col("more"), 6).alias("new"), F.lit(None).cast("double").alias("old"))
+        on = on if within is None else on.where(F.col("new") <= within)
+        known = reduce(DataFrame.unionByName, rounds).select(*key, F.lit(None).cast("double").alias("new"), F.col("cost").alias("old"))
+        both = on.unionByName(known).groupBy(*key).agg(F.min("new").alias("new"), F.min("old").alias("old"))
+        front = step(both.where("new is not null and (old is null or new < old)").select(*key, F.col("new").alias("cost")), "front")
         if front.isEmpty():
-            return best
-        best = step(best.join(front.select("source", "node_id"), ["source", "node_id"], "left_anti").unionByName(front), "routes")
+            forget(front)
+            return cheapest(reduce(DataFrame.unionByName, rounds), key)
+        rounds = _settled([*rounds, front], key, lambda rows: cheapest(rows, key))
 
 
 def mergeable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -36,27 +36,40 @@ def disc_join(points: DataFrame, discs: DataFrame, radius: Column, size: float,
     return out.drop(binned["floor_id"]).drop(binned["bx"]).drop(binned["by"]).drop("__r", "bx", "by")
 
 
+def placed(df: DataFrame, *coordinates: Column) -> Column:
+    """Are all coordinates there and finite?"""
+    return reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in coordinates])
+
+
 def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, measure, box, start: float = 8.0) -> DataFrame:
     """The nearest target on the same floor for each point: (key, target, dist), ties to the least target.
 
     ``box`` gives a target's bounding box, ``measure`` the distance. Search starts
     with bins of ``start`` metres; points that found nothing within that distance
     try again with four times as much, until each point on a floor with targets
-    has one.
+    has one, which is at the latest when the reach is the floor's extent. Targets
+    without a place (a null or non-finite coordinate) are left out; a point
+    without one gets a null target.
     """
-    floors = targets.select("floor_id").distinct()
-    todo, parts, reach = step(points.join(floors, "floor_id", "left_semi"), "todo"), [], start
+    targets = targets.where(placed(targets, *box))
+    here = points.join(targets.select("floor_id").distinct(), "floor_id", "left_semi")
+    fine = placed(points, F.col("x"), F.col("y"))
+    nowhere = here.where(~fine)
+    todo, tried, reach, asked = here.where(fine), [], start, points.columns
     while True:
         x0, y0, x1, y1 = box
         bins = spread(targets, x0 - reach, y0 - reach, x1 + reach, y1 + reach, reach).withColumnsRenamed({"floor_id": "__f", "bx": "__bx", "by": "__by"})
-        here = todo.withColumn("bx", _bin(F.col("x"), reach)).withColumn("by", _bin(F.col("y"), reach))
-        pairs = here.join(bins, (F.col("floor_id") == F.col("__f")) & (F.col("bx") == F.col("__bx")) & (F.col("by") == F.col("__by"))).withColumn("dist", measure)
+        at = todo.withColumn("bx", _bin(F.col("x"), reach)).withColumn("by", _bin(F.col("y"), reach))
+        pairs = at.join(bins, (F.col("floor_id") == F.col("__f")) & (F.col("bx") == F.col("__bx")) & (F.col("by") == F.col("__by"))).withColumn("dist", measure)
         best = pairs.where(F.col("dist") <= reach).groupBy(key).agg(F.min(F.struct(F.round("dist", 9).alias("d"), F.col(target).alias("t"))).alias("b"))
-        parts.append(step(best.select(key, F.col("b.t").alias(target), F.col("b.d").alias("dist")), "nearest"))
-        todo = step(todo.join(parts[-1].select(key), key, "left_anti"), "todo")
+        tried.append(step(todo.join(best, key, "left"), "nearest"))
+        todo = tried[-1].where("b is null").select(*asked)
         if todo.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+            break
         reach *= 4
+    found = [x.where("b is not null").select(key, F.col("b.t").alias(target), F.col("b.d").alias("dist")) for x in tried]
+    none = found[0].schema
+    return reduce(DataFrame.unionByName, [*found, nowhere.select(key, F.lit(None).cast(none[target].dataType).alias(target), F.lit(None).cast("double").alias("dist"))])
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

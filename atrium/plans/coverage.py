@@ -11,13 +11,15 @@ from atrium.plans.query import Query
 from atrium.sources.derive import derived, with_sql
 from atrium.sources.shared import step
 
+#: Metres along a cell where nothing else is asked for.
 CELL = 2.0
-SIDE = 54  # cells along a floor of 0..108 m
 BIN = 10.0
 
+GRID_SQL = """extent AS (SELECT floor_id, min(x) AS x0, min(y) AS y0, CAST(ceil((max(x) - min(x)) / 2) AS bigint) AS cols, CAST(ceil((max(y) - min(y)) / 2) AS bigint) AS rows_no FROM vertex WHERE role = 'boundary' GROUP BY floor_id),
+cell AS (SELECT floor_id, c AS col, r AS row_no, x0 + (c + 0.5::double) * 2 AS x, y0 + (r + 0.5::double) * 2 AS y
+         FROM extent, unnest(range(cols)) a(c), unnest(range(rows_no)) b(r))"""
 CELLS_SQL = floor.SHAPES_SQL + """,
-cell AS (SELECT floor_id, CAST(c AS bigint) AS col, CAST(r AS bigint) AS row_no, c * 2.0::double + 1.0::double AS x, r * 2.0::double + 1.0::double AS y
-         FROM floor, range(54) a(c), range(54) b(r)),
+""" + GRID_SQL + """,
 pt AS (SELECT floor_id * 1000000 + row_no * 1000 + col AS pid, floor_id, x, y FROM cell),""" + floor.conflict_sql("pt", "cf") + """,
 open_cell AS (SELECT c.* FROM cell c JOIN cf ON cf.pid = c.floor_id * 1000000 + c.row_no * 1000 + c.col AND cf.conflict IS NULL),
 close AS (SELECT c.floor_id, c.col, c.row_no, b.beacon_id, sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y)) AS dist, b.radius, b.marginal, c.x AS ax, c.y AS ay, b.x AS bx, b.y AS by_,
@@ -34,20 +36,36 @@ def geometry(spark, d) -> floor.Geometry:
     return floor.of_rings(derived(spark, d, "vertex"), derived(spark, d, "capsule"))
 
 
-def open_cells(spark, d, shapes: floor.Geometry) -> DataFrame:
+def grid(vertices: DataFrame, cell: float = CELL, cells: DataFrame | None = None) -> DataFrame:
+    """Cell centres (floor_id, col, row_no, x, y, cell) over the box of each floor's boundary, counted from its corner.
+
+    ``cells`` (floor_id, cell) may give each floor a cell size of its own. A floor without a boundary has no cells.
+    """
+    box = vertices.where("role = 'boundary'").groupBy("floor_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    box = box.join(cells.select("floor_id", "cell"), "floor_id") if cells is not None else box.withColumn("cell", F.lit(cell))
+    count = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.col("cell"))
+    out = box.withColumn("cols", count("x0", "x1")).withColumn("rows", count("y0", "y1")).where("cols > 0 and rows > 0")
+    # Columns are dealt out before rows are made, so no task holds a floor's whole grid.
+    out = out.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("row_no", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    return out.select("floor_id", "col", "row_no", (F.col("x0") + (F.col("col") + 0.5) * F.col("cell")).alias("x"), (F.col("y0") + (F.col("row_no") + 0.5) * F.col("cell")).alias("y"), "cell")
+
+
+def open_cells(spark, d, shapes: floor.Geometry, cell: float = CELL, cells: DataFrame | None = None) -> DataFrame:
     """Cell centres of each floor without a conflict."""
-    cells = derived(spark, d, "floor").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))).withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
-    cells = cells.withColumn("x", F.col("col") * CELL + CELL / 2).withColumn("y", F.col("row_no") * CELL + CELL / 2)
-    return floor.conflicts(cells, CELL_KEY, shapes).where("conflict is null").drop("conflict", "conflict_off_path")
+    return floor.conflicts(grid(derived(spark, d, "vertex"), cell, cells), CELL_KEY, shapes).where("conflict is null").drop("conflict", "conflict_off_path")
+
+
+def seen_from(cells: DataFrame, discs: DataFrame, shapes: floor.Geometry) -> DataFrame:
+    """Discs (floor_id, beacon_id, cx, cy, radius, marginal) within the marginal radius of a cell and in sight of it."""
+    near = spatial.disc_join(cells, discs, F.col("marginal"), BIN).withColumnsRenamed({"x": "ax", "y": "ay", "cx": "bx", "cy": "by"})
+    seen = floor.visible(near, [*CELL_KEY, "beacon_id"], shapes, True, ["beacon_id"])
+    return seen.withColumnsRenamed({"ax": "x", "ay": "y", "bx": "cx", "by": "cy"})
 
 
 def hits(spark, d, cells: DataFrame, shapes: floor.Geometry) -> DataFrame:
     """Enabled beacons within the marginal radius of a cell and in sight of it."""
     discs = derived(spark, d, "beacon").where("enabled").select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius", "marginal")
-    near = step(spatial.disc_join(cells, discs, F.col("marginal"), BIN), "near")
-    lines = near.select(*CELL_KEY, "beacon_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    seen = floor.visible(lines, [*CELL_KEY, "beacon_id"], shapes, True).select(*CELL_KEY, "beacon_id")
-    return step(near.join(seen, [*CELL_KEY, "beacon_id"], "left_semi"), "hits")
+    return step(seen_from(cells, discs, shapes), "hits")
 
 
 def cells_and_hits(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -43,8 +43,8 @@ def near_and_seen(points: DataFrame, apart: float, shapes: floor.Geometry) -> Da
     """Pairs (id, earlier) of points (id, floor_id, x, y) closer than ``apart`` and in sight of each other, earlier < id."""
     discs = points.select("floor_id", F.col("id").alias("earlier"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     near = spatial.disc_join(points, discs, F.lit(apart), 10.0).where(f"earlier < id and dist < {apart} - 1e-6")
-    near = step(near.select("id", "earlier", "floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by")), "close")
-    return floor.visible(near, ["id", "earlier"], shapes).select("id", "earlier")
+    near = near.select("id", "earlier", "floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    return floor.visible(near, ["id", "earlier"], shapes, hub=["earlier"]).select("id", "earlier")
 
 
 def merged_beacons(spark, d) -> DataFrame:
@@ -78,8 +78,8 @@ def area_cover(spark, d, additions: int = 3) -> DataFrame:
     dead = step(coverage.count_of(cells, near).where("n = 0").select(*coverage.CELL_KEY, "x", "y"), "dead")
     c = step(perimeter_candidates(spark, d).select("floor_id", F.col("x").alias("cx"), F.col("y").alias("cy")), "candidates")
     pairs = spatial.disc_join(dead, c, F.lit(RADIUS), coverage.BIN)
-    lines = step(pairs.select(*coverage.CELL_KEY, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.struct("cx", "cy").alias("place")), "lines")
-    prints = step(floor.visible(lines, [*coverage.CELL_KEY, "place"], shapes, True).select(*coverage.CELL_KEY, "place.cx", "place.cy"), "prints")
+    lines = pairs.select(*coverage.CELL_KEY, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.struct("floor_id", "cx", "cy").alias("place"))
+    prints = step(floor.visible(lines, [*coverage.CELL_KEY, "place"], shapes, True, ["place"]).select(*coverage.CELL_KEY, "place.cx", "place.cy"), "prints")
     picks = []
     for n in range(additions):
         gain = prints.groupBy("floor_id", "cx", "cy").agg(F.count(F.lit(1)).alias("gain"))

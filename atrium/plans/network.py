@@ -84,18 +84,28 @@ def arcs(spark, d, accessible: bool = False, stairs: bool = True, lift_factor: f
     return one("source", "target", "direction <> 'reverse'").unionByName(one("target", "source", "direction <> 'forward'"))
 
 
-def floor_routes(spark, d, **options) -> DataFrame:
-    """From the node at the lift of each floor, by edges that stay on the floor."""
-    nodes = derived(spark, d, "node").where("node_id % 400 = 45").select(F.col("node_id").alias("source"), "node_id")
-    return graph.routes(nodes, arcs(spark, d, **options).where("edge_type <> 'Lift Connection'"))
+def lift_nodes(spark, d) -> DataFrame:
+    """Where a search on a floor starts if nothing else is asked for: (source, node_id)."""
+    return derived(spark, d, "node").where("node_id % 400 = 45").select(F.col("node_id").alias("source"), "node_id")
 
 
-def shortest_distance(spark, d) -> DataFrame:
-    return floor_routes(spark, d).select(F.floor(F.col("source") / 400).alias("floor_id"), "node_id", F.col("distance"))
+def on_floor(spark, d, **options) -> DataFrame:
+    return arcs(spark, d, **options).where("edge_type <> 'Lift Connection'")
+
+
+def floor_routes(spark, d, starts: DataFrame | None = None, **options) -> DataFrame:
+    """From each start (source, node_id), by default the node at the lift of each floor, by edges that stay on the floor."""
+    return graph.routes(lift_nodes(spark, d) if starts is None else starts, on_floor(spark, d, **options))
+
+
+def shortest_distance(spark, d, starts: DataFrame | None = None, **options) -> DataFrame:
+    """Lengths of the shortest routes on a floor: an edge costs its length, so the costs are the lengths."""
+    out = graph.costs(lift_nodes(spark, d) if starts is None else starts, on_floor(spark, d, **options))
+    return out.select(F.floor(F.col("source") / 400).alias("floor_id"), "node_id", F.col("cost").alias("distance"))
 
 
 def shortest_distance_accessible(spark, d) -> DataFrame:
-    return floor_routes(spark, d, accessible=True, stairs=False).select(F.floor(F.col("source") / 400).alias("floor_id"), "node_id", F.col("distance"))
+    return shortest_distance(spark, d, accessible=True, stairs=False)
 
 
 def shortest_route(spark, d) -> DataFrame:
@@ -114,7 +124,7 @@ def nodes_within_reach(spark, d) -> DataFrame:
     """Nodes within 30 m of the nearest enabled beacon that stands on a node, over edges without geometry conflicts."""
     starts = derived(spark, d, "beacon").where("enabled").select(F.lit(0).alias("source"), (F.col("floor_id") * 400 + F.col("beacon_id") * 7 % 400).alias("node_id"))
     blocked = blocked_edges(spark, d).select("edge_id")
-    return graph.routes(starts, arcs(spark, d).join(blocked, "edge_id", "left_anti"), within=30.0).select("node_id", F.col("cost").alias("distance"))
+    return graph.costs(starts, arcs(spark, d).join(blocked, "edge_id", "left_anti"), within=30.0).select("node_id", F.col("cost").alias("distance"))
 
 
 def linked_components(spark, d) -> DataFrame:

@@ -96,7 +96,7 @@ def missing_anchors(spark, d) -> DataFrame:
     need = step(required_anchors(spark, d).join(derived(spark, d, "node").select("node_id", "x", "y"), "node_id"), "need")
     discs = derived(spark, d, "beacon").where("enabled").select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
     near = spatial.disc_join(need, discs, F.col("radius"), BIN).select("node_id", "beacon_id", "floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    met = floor.visible(step(near, "near"), ["node_id", "beacon_id"], coverage.geometry(spark, d)).select("node_id").distinct()
+    met = floor.visible(near, ["node_id", "beacon_id"], coverage.geometry(spark, d), hub=["beacon_id"]).select("node_id").distinct()
     return need.join(met, "node_id", "left_anti").select("node_id", "floor_id", "reason")
 
 
@@ -106,7 +106,7 @@ def crowded_beacons(spark, d) -> DataFrame:
     discs = b.select("floor_id", F.col("beacon_id").alias("other_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     near = spatial.disc_join(b, discs, F.lit(3.0), BIN).where("other_id < beacon_id and dist < 3 - 1e-6")
     near = near.select("beacon_id", "other_id", "floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    seen = floor.visible(step(near, "near"), ["beacon_id", "other_id"], coverage.geometry(spark, d))
+    seen = floor.visible(near, ["beacon_id", "other_id"], coverage.geometry(spark, d), hub=["other_id"])
     return seen.groupBy("beacon_id").agg(F.min("other_id").alias("first"), F.count(F.lit(1)).alias("others"))
 
 

@@ -184,7 +184,7 @@ QUERIES = {
     "deployment_after_commands": Query(deployment_after_commands, _q(" SELECT * FROM edited")),
     "invalid_after_commands": Query(invalid_after_commands, _q(", " + floor.SHAPES_SQL.lstrip() + ", pt AS (SELECT beacon_id AS pid, floor_id, x, y FROM edited)," + floor.conflict_sql("pt", "cf") + " SELECT pid AS beacon_id, conflict_off_path AS conflict, origin = 'automatic' AND NOT locked AS dropped FROM cf JOIN edited e ON e.beacon_id = pid WHERE conflict_off_path IS NOT NULL", "vertex", "capsule")),
     "affected_cells": Query(affected_cells, _q(", " + floor.SHAPES_SQL.lstrip() + """,
-        cell AS (SELECT floor_id, c AS col, r AS row_no, c * 2.0::double + 1 AS x, r * 2.0::double + 1 AS y FROM floor, range(54) a(c), range(54) b(r)), pt AS (SELECT floor_id * 1000000 + row_no * 1000 + col AS pid, floor_id, x, y FROM cell),""" + floor.conflict_sql("pt", "cf") + """,
+        """ + coverage.GRID_SQL + """, pt AS (SELECT floor_id * 1000000 + row_no * 1000 + col AS pid, floor_id, x, y FROM cell),""" + floor.conflict_sql("pt", "cf") + """,
         o AS (SELECT floor_id, beacon_id, x, y, enabled FROM beacon), n AS (SELECT floor_id, beacon_id, x, y, enabled FROM edited), ch AS ((FROM o EXCEPT ALL FROM n) UNION ALL (FROM n EXCEPT ALL FROM o)),
         disc AS (SELECT c.floor_id, c.x, c.y, coalesce(b.marginal, 9) AS r FROM ch c LEFT JOIN beacon b ON b.beacon_id = c.beacon_id WHERE c.enabled)
         SELECT p.floor_id, count(DISTINCT pid) AS cells FROM cf p JOIN disc d ON d.floor_id = p.floor_id AND sqrt(power(p.x-d.x, 2)+power(p.y-d.y, 2)) <= d.r + 1e-8 WHERE conflict IS NULL GROUP BY p.floor_id""", "vertex", "capsule", "floor")),

@@ -73,9 +73,8 @@ def connected(points: DataFrame, spark, d) -> DataFrame:
     discs = b.select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius", "marginal")
     points = step(points.select("floor_id", "at", "x", "y"), "points")
     open_points = floor.conflicts(points, key, shapes).where("conflict is null").select("floor_id", "at", "x", "y")
-    near = step(spatial.disc_join(open_points, discs, F.col("marginal"), BIN), "near")
-    lines = near.select(*key, "beacon_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    seen = near.join(floor.visible(lines, [*key, "beacon_id"], shapes, True).select(*key, "beacon_id"), [*key, "beacon_id"], "left_semi")
+    near = spatial.disc_join(open_points, discs, F.col("marginal"), BIN).withColumnsRenamed({"x": "ax", "y": "ay", "cx": "bx", "cy": "by"})
+    seen = floor.visible(near, [*key, "beacon_id"], shapes, True, ["beacon_id"])
     seen = seen.withColumn("signal", F.round(100 * (1 - F.col("dist") / F.col("marginal")), 8))
     best = seen.groupBy(*key).agg(F.max(F.struct("signal", (-F.col("beacon_id")).alias("neg"), (F.col("dist") <= F.col("radius") + G.EPS).alias("ok"))).alias("b"))
     state = F.when(F.col("b").isNull(), "dead").when(F.col("b.ok"), "reliable").otherwise("weak")
@@ -86,8 +85,9 @@ def route_position_at(spark, d) -> DataFrame:
     return samples(route_segments(spark, d)).select("floor_id", "at", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-def active_beacon_per_sample(spark, d) -> DataFrame:
-    return connected(samples(step(route_segments(spark, d), "walk")), spark, d)
+def active_beacon_per_sample(spark, d, walk: DataFrame | None = None) -> DataFrame:
+    """``walk``: the segments, where they are there already."""
+    return connected(samples(step(route_segments(spark, d), "walk") if walk is None else walk), spark, d)
 
 
 def nearest_beacon_per_sample(spark, d) -> DataFrame:
@@ -99,9 +99,9 @@ def nearest_beacon_per_sample(spark, d) -> DataFrame:
     return out.select("k.floor_id", "k.at", "beacon_id", F.round("dist", 6).alias("dist"))
 
 
-def handover_events(spark, d) -> DataFrame:
+def handover_events(spark, d, walk: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("floor_id").orderBy("at")
-    a = active_beacon_per_sample(spark, d).withColumn("was", F.lag("active").over(w)).where(~F.col("active").eqNullSafe(F.col("was")))
+    a = active_beacon_per_sample(spark, d, walk).withColumn("was", F.lag("active").over(w)).where(~F.col("active").eqNullSafe(F.col("was")))
     kind = F.when(F.col("was").isNull(), "connect").when(F.col("active").isNull(), "lost").otherwise("handover")
     return a.select("floor_id", "at", F.col("was").alias("from_beacon"), F.col("active").alias("to_beacon"), kind.alias("kind"))
 
@@ -114,7 +114,7 @@ def walk_events(spark, d) -> DataFrame:
     start = ends.select("floor_id", F.lit(0.0).alias("at"), F.lit("start").alias("kind"), F.lit(None).cast("long").alias("ref"), rank(0))
     passed = s.join(ends, "floor_id").where("end_at < total").select("floor_id", F.col("end_at").alias("at"), F.lit("landmark").alias("kind"), F.col("to_node").alias("ref"), rank(2))
     arrival = ends.select("floor_id", F.col("total").alias("at"), F.lit("arrival").alias("kind"), F.lit(None).cast("long").alias("ref"), rank(3))
-    links = handover_events(spark, d).select("floor_id", "at", "kind", F.col("to_beacon").alias("ref"), rank(1))
+    links = handover_events(spark, d, s).select("floor_id", "at", "kind", F.col("to_beacon").alias("ref"), rank(1))
     events = start.unionByName(links).unionByName(passed).unionByName(arrival)
     number = F.row_number().over(Window.partitionBy("floor_id").orderBy("at", "rank"))
     return events.select("floor_id", number.cast("long").alias("n"), F.round(F.col("at") / SPEED, 6).alias("seconds"), "kind", "ref")

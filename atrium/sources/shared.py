@@ -26,3 +26,14 @@ def step(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*steps: DataFrame) -> None:
+    """Deletes the files of steps that nothing reads any more."""
+    for df in steps:
+        spark = df.sparkSession
+        base = shared_dir(spark).rstrip("/").removeprefix("file:")
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if base.lstrip("/") in path:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
