@@ -97,6 +97,37 @@ def _cut(c: Column, base: Column, window: int) -> Column:
     return F.aggregate(base, start, step, lambda acc: add(acc, c["end"]))
 
 
+def _begun(spans: Column, points: Column) -> Column:
+    """For each of the points, which ascend, how many of the spans begin before it: both in one sorted array."""
+    ends = F.concat(F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(0).alias("span"))), F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("span"))))
+    numbered = F.transform(F.array_sort(ends), lambda x, i: F.struct(x["span"].alias("span"), i.alias("i")))
+    return F.transform(F.filter(numbered, lambda x: x["span"] == 0), lambda x, j: x["i"] - j)
+
+
+def _left_over(candidates: Column, bases: list[Column], window: int) -> Column:
+    """What the base spans leave of all candidates.
+
+    Spans of one kind do not overlap, so of each kind only those meet a candidate that begin within it, and the last
+    one before. They are found by their numbers: the work grows with spans and candidates, not with their product.
+    """
+
+    def of(lists: Column) -> Column:
+        def meeting(c: Column, j: Column) -> Column:
+            own = []
+            for k in range(len(bases)):
+                low, high = F.greatest(F.get(lists[f"low{k}"], j) - 1, F.lit(0)), F.get(lists[f"high{k}"], j)
+                own.append(F.slice(lists[f"base{k}"], low + 1, high - low))
+            return _cut(c, F.array_sort(F.concat(*own)), window)
+
+        return F.flatten(F.transform(lists["candidates"], meeting))
+
+    starts, ends = F.transform(candidates, lambda c: c["start"]), F.transform(candidates, lambda c: c["end"])
+    parts = [candidates.alias("candidates")]
+    for k, b in enumerate(bases):
+        parts += [b.alias(f"base{k}"), _begun(b, starts).alias(f"low{k}"), _begun(b, ends).alias(f"high{k}")]
+    return _let(F.struct(*parts), of)
+
+
 def _hot_windows(codes: Column, least: Column, window: int) -> Column:
     """(first, last) character of the windows that reach the entropy, or -1.
 
@@ -146,7 +177,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.withColumn(f"__{kind}", F.when(F.col("__t").rlike(pattern), _spans(_parts(F.col("__t"), pattern), kind, keep)).otherwise(_none()))
     base = F.concat(*[F.col(f"__{k}") for k in KINDS])
     rows = rows.drop("__t").withColumn("__base", F.array_sort(base))
-    left = F.filter(F.flatten(F.transform("__entropy", lambda c: _cut(c, F.col("__base"), window))), lambda c: ~c["match"].rlike(ALLOWED))
+    left = F.filter(_left_over(F.col("__entropy"), [F.col(f"__{k}") for k in KINDS], window), lambda c: ~c["match"].rlike(ALLOWED))
     rows = rows.withColumn("__entropy", F.when((F.size("__entropy") > 0) & (F.size("__base") > 0), left).otherwise(F.col("__entropy")))
     once = F.transform("__entropy", lambda c: F.struct(c.alias("c"), F.transform(F.split(c["match"], ""), lambda x: F.instr(F.lit(ALPHABET), x)).alias("codes"), _least(c["match"]).alias("least")))
     hot = F.transform(once, lambda x: F.struct(x["c"].alias("c"), _hot_windows(x["codes"], x["least"], window).alias("w")))
