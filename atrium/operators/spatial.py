@@ -36,7 +36,7 @@ def disc_join(points: DataFrame, discs: DataFrame, radius: Column, size: float,
     return out.drop(binned["floor_id"]).drop(binned["bx"]).drop(binned["by"]).drop("__r", "bx", "by")
 
 
-def placed(df: DataFrame, *coordinates: Column) -> Column:
+def placed(*coordinates: Column) -> Column:
     """Are all coordinates there and finite?"""
     return reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in coordinates])
 
@@ -51,9 +51,9 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, measur
     without a place (a null or non-finite coordinate) are left out; a point
     without one gets a null target.
     """
-    targets = targets.where(placed(targets, *box))
+    targets = targets.where(placed(*box))
     here = points.join(targets.select("floor_id").distinct(), "floor_id", "left_semi")
-    fine = placed(points, F.col("x"), F.col("y"))
+    fine = placed(F.col("x"), F.col("y"))
     nowhere = here.where(~fine)
     todo, tried, reach, asked = here.where(fine), [], start, points.columns
     while True:

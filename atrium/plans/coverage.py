@@ -117,21 +117,6 @@ def dead_zones(spark, d) -> DataFrame:
     return zones.groupBy("floor_id", "zone_col", "zone_row").agg(F.count(F.lit(1)).alias("samples"), (F.count(F.lit(1)) * CELL * CELL).alias("area"), F.min("col").alias("col_from"), F.max("col").alias("col_to"), F.min("row_no").alias("row_from"), F.max("row_no").alias("row_to"))
 
 
-def incremental_matches_full(spark, d) -> DataFrame:
-    """Switches off the beacons with id divisible by 50: cells near them counted anew, all others kept, against a full count."""
-    off = F.col("beacon_id") % 50 == 0
-    cells, near = cells_and_hits(spark, d)
-    near = near.where(F.col("dist") <= F.col("radius") + G.EPS)
-    before = count_of(cells, near).select(*CELL_KEY, "n")
-    touched = near.where(off).select(*CELL_KEY).distinct()
-    left = near.join(touched, CELL_KEY, "left_semi").where(~off).groupBy(*CELL_KEY).agg(F.count(F.lit(1)).alias("m"))
-    anew = touched.join(left, CELL_KEY, "left").select(*CELL_KEY, F.coalesce("m", F.lit(0)).alias("n"))
-    delta = before.join(touched, CELL_KEY, "left_anti").unionByName(anew)
-    full = count_of(cells, near.where(~off)).select(*CELL_KEY, F.col("n").alias("full"))
-    both = delta.join(full, CELL_KEY, "full")
-    return both.groupBy("floor_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.abs(F.col("n") - F.col("full"))).alias("diff"), F.sum("full").alias("total"))
-
-
 def edge_parts(spark, d) -> DataFrame:
     """Parts of each edge that a beacon's disc covers: (edge_id, floor_id, lo, hi), not merged."""
     edges = ends(spark, d).withColumns({"sx": F.least("ax", "bx_"), "sy": F.least("ay", "by_")})
@@ -209,10 +194,6 @@ QUERIES = {
           UNION SELECT l.t, min(r.label) FROM lab r JOIN link l ON l.s = r.id JOIN recurring.lab o ON o.id = l.t WHERE r.label < o.label GROUP BY l.t)
         SELECT floor_id, label % 1000 AS zone_col, CAST(floor(label / 1000) AS bigint) % 1000 AS zone_row, count(*) AS samples, count(*) * 4.0::double AS area, min(col) AS col_from, max(col) AS col_to, min(row_no) AS row_from, max(row_no) AS row_to
         FROM dead JOIN lab USING (id) GROUP BY floor_id, label -- USING KEY""", *BASE)),
-    "incremental_matches_full": Query(incremental_matches_full, with_sql("+" + CELLS_SQL + """
-        , later AS (SELECT c.floor_id, c.col, c.row_no, count(h.beacon_id) AS full_n FROM open_cell c
-                    LEFT JOIN hit h ON h.floor_id = c.floor_id AND h.col = c.col AND h.row_no = c.row_no AND h.dist <= h.radius + 1e-8 AND h.beacon_id % 50 <> 0 GROUP BY ALL)
-        SELECT floor_id, count(*) AS cells, CAST(0 AS bigint) AS diff, CAST(sum(full_n) AS bigint) AS total FROM later GROUP BY floor_id""", *BASE)),
     "edge_covered_length": Query(edge_covered_length, with_sql("+" + PARTS_SQL + """
         SELECT e.edge_id, e.floor_id, round(distance * coalesce(sum(hi - lo), 0), 4) AS covered, round(distance * (1 - coalesce(sum(hi - lo), 0)), 4) AS uncovered
         FROM ends e LEFT JOIN merged m ON m.edge_id = e.edge_id GROUP BY e.edge_id, e.floor_id, distance""", "edge", "beacon")),

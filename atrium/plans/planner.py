@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from atrium.operators import floor, spatial
 from atrium.plans import coverage, placement
 from atrium.plans.query import Query
 from atrium.sources.derive import base, derived, with_sql
-from atrium.sources.shared import step
+from atrium.sources.shared import shared_dir, step
 from atrium.streaming import changes
 
 # The fields of a beacon's export row, in their order.
@@ -151,7 +153,7 @@ def stream_state_changes(spark, d) -> DataFrame:
 
 def stream_last_event(spark, d) -> DataFrame:
     e = changes.source(spark, d, "events").select("user_id", "event_id", "event_type")
-    return changes.kept_current(e, ["user_id"], "event_id", "current")
+    return changes.kept_current(e, ["user_id"], "event_id", f"{shared_dir(spark).rstrip('/')}/current-{uuid.uuid4().hex}")
 
 
 OUTCOME_SQL = """

@@ -122,6 +122,11 @@ RULES: dict[str, str] = {
         SELECT e.event_id AS seq, e.ts, e.event_id * 7 % c.n AS beacon_id, CASE e.event_id % 8 WHEN 0 THEN 'lock' WHEN 1 THEN 'move' WHEN 2 THEN 'unlock' WHEN 3 THEN 'delete' WHEN 4 THEN 'disable' WHEN 5 THEN 'enable' WHEN 6 THEN 'duplicate' ELSE 'move' END AS action,
                CAST(e.event_id % 1040 AS double) / CAST(10 AS double) AS x, CAST(e.event_id * 3 % 1040 AS double) / CAST(10 AS double) AS y
         FROM {events} e CROSS JOIN (SELECT max(c_custkey) + 1 AS n FROM {customer}) c""",
+    # What users of the plan change of the beacons: moved, switched off, or moved and switched on.
+    "edit": """
+        SELECT e.event_id AS seq, e.user_id % c.n AS beacon_id, CASE WHEN e.event_id % 3 <> 1 THEN CAST(e.event_id % 1040 AS double) / CAST(10 AS double) END AS x,
+               CASE WHEN e.event_id % 3 <> 1 THEN CAST(e.event_id * 3 % 1040 AS double) / CAST(10 AS double) END AS y, CASE e.event_id % 3 WHEN 1 THEN false WHEN 2 THEN true END AS enabled
+        FROM {events} e CROSS JOIN (SELECT max(c_custkey) + 1 AS n FROM {customer}) c""",
     "floor": "SELECT DISTINCT CAST(floor(p_partkey / 400) AS bigint) AS floor_id FROM {part}",
 }
 TABLES = ("part", "customer", "supplier", "orders", "events", "documents", "embeddings", "labels", "nation", "conversations")

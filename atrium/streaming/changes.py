@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from atrium.sources.shared import shared_dir
+from atrium.sources.shared import forget, shared_dir, step
 
 OUT = "user_id long, event_id long, ts timestamp, was string, now string, kind string"
 
@@ -54,21 +54,33 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def kept_current(stream: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
-    """The last row of each key of a stream: each micro-batch replaces what it changes of the table (foreachBatch)."""
+#: Partitions of a table kept current; a batch rewrites those that its keys fall in.
+BUCKETS = 64
+
+
+def kept_current(stream: DataFrame, key: list[str], order: str, at: str, buckets: int = BUCKETS) -> DataFrame:
+    """The last row of each key of a stream, as a table in the folder ``at`` (foreachBatch).
+
+    A micro-batch reads and rewrites only the buckets its keys fall in. Called again on the same folder, it goes on
+    after the last batch that was done; a batch that was cut short is done again, which changes nothing twice. ``order`` tells
+    the last row of a key; of rows with the same order either may stay.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    versions = [None]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, __bucket int"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("__bucket").parquet(f"{at}/rows")
+    table = lambda: spark.read.schema(schema).option("basePath", f"{at}/rows").parquet(f"{at}/rows")
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.schema(stream.schema).parquet(versions[0]) if versions[0] else batch.limit(0)
-        latest = before.unionByName(batch).groupBy(*key).agg(F.max_by(F.struct(*stream.columns), order).alias("r")).select("r.*")
-        versions[0] = f"{base}/v{number}"
-        latest.write.mode("overwrite").parquet(versions[0])
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        fresh = step(batch.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "batch")
+        before = table().join(fresh.select("__bucket").distinct(), "__bucket", "left_semi")
+        last = before.unionByName(fresh).groupBy(*key).agg(F.max_by(F.struct(*stream.columns, "__bucket"), order).alias("r")).select("r.*")
+        last = step(last, "merged")
+        last.repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(f"{at}/rows")
+        forget(fresh, last)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[0]) if versions[0] else spark.createDataFrame([], stream.schema)
+    return table().drop("__bucket")
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:

@@ -21,7 +21,7 @@ def test_changes_of_state_over_batches(spark, tmp_path):
 
 
 def test_last_row_of_each_key_is_kept_current(spark, tmp_path):
-    out = changes.kept_current(events(spark, str(tmp_path), BATCHES), ["user_id"], "event_id", "current")
+    out = changes.kept_current(events(spark, str(tmp_path), BATCHES), ["user_id"], "event_id", str(tmp_path / "current"))
     assert sorted((r.user_id, r.event_id) for r in out.collect()) == [(1, 6), (2, 7), (3, 8)]
 
 
