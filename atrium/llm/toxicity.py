@@ -15,6 +15,8 @@ LEXICON_SIZE = 5_000
 PREFIX = range(4, 9)
 LEAST_SIGHTINGS = 5
 LEAST_PRECISION = 0.95
+#: Chance that any entry of the lexicon is there by luck, all candidates that were tried taken together.
+LUCK = 0.01
 THRESHOLD = 0.7
 
 # Characters that are read as another one. l and 1 fold to i.
@@ -56,9 +58,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     For each folded word and word beginning of 4 to 8 letters the sample tells in
     how many different toxic and other texts it occurs; near copies count once,
     by the least hash of three words in a row. Entries are those seen at least 5 times in
-    toxic texts with a precision of 0.95; a beginning replaces the longer entries
-    it covers. The weight is the smoothed log odds. Two numbers turn weight per
-    word into a probability: a logistic fit on the sample's scores.
+    toxic texts with a precision of 0.95, if so many toxic ones would come by luck, at the
+    toxic texts' share of the sample, with a chance below 0.01 divided by the number of all
+    words and beginnings tried (a bound on the binomial tail). A beginning replaces the
+    longer entries it covers. The weight is the smoothed log odds. Two numbers turn weight
+    per word into a probability: a logistic fit on the sample's scores.
 
     The sample has at most ``rows`` rows (20,000) and the lexicon ``size`` entries
     (5,000). Without toxic rows the lexicon is empty and each score is 0.
@@ -72,8 +76,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     words = once.select("y", F.explode("w").alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.sum(F.lit(1) - F.col("y")).alias("good"))
     starts = F.array(F.concat(F.lit(" "), "w", F.lit(" ")), *[F.when(F.char_length("w") > n, F.concat(F.lit(" "), F.substring("w", 1, n))) for n in PREFIX])
     terms = words.where(F.char_length("w") > 1).select(F.explode(F.array_compact(starts)).alias("term"), "bad", "good").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    share = once.agg(F.avg("y")).first()[0] or 0.0
+    tried = terms.count()
     terms = terms.where((F.col("bad") >= LEAST_SIGHTINGS) & (F.col("bad") >= LEAST_PRECISION * (F.col("bad") + F.col("good"))))
     found = [(r["term"], r["bad"], r["good"]) for r in terms.orderBy(F.col("bad").desc(), "term").limit(size).collect()]
+    found = [x for x in found if luck(x[1], x[1] + x[2], share) * tried < LUCK]
     lexicon: dict[str, float] = {}
     for term, bad, good in sorted(found, key=lambda x: (len(x[0].rstrip()), x[0])):
         if not any(term[:n] in lexicon for n in range(1, len(term))):
@@ -85,6 +92,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return model
 
 
+def luck(hits: int, n: int, share: float) -> float:
+    """An upper bound of the chance of at least so many hits in n tries at this share (Chernoff)."""
+    if hits <= n * share or not n:
+        return 1.0
+    if share <= 0:
+        return 0.0
+    rate = hits / n
+    apart = rate * np.log(rate / share) + ((1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0.0)
+    return float(np.exp(-n * apart))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> dict:
     """slope and middle of p = 1/(1+exp(-slope*(x-middle))), with the two classes weighted alike."""
     if len(x) == 0 or y.min() == y.max():
