@@ -18,6 +18,8 @@ from .exact_dedup import ranked
 BLOCK = 64
 #: Slots that are scheduled at a time.
 FRAME = 1024
+#: Slots of an open period that are looked at together.
+PIECE = 1 << 16
 #: Frames that a worker keeps.
 KEPT_FRAMES = 512
 FINE_ROWS = 1000
@@ -70,12 +72,7 @@ class Phase:
         if not left:
             return placed
         releases = sorted({self.release(i, placed[i]) for i in is_open})
-        # Room of each x after the blocks that are due by t; Python's integers where products may not fit.
-        x = np.arange(releases[0], t, dtype=np.int64 if t * self.total < 1 << 62 else object)
-        room = t - x
-        for n, p in zip(placed, self.weights, strict=True):
-            room = room - np.maximum(0, n + (-x * p) // self.total)
-        room = [int(room[max(0, y - releases[0] + 1) : z - releases[0] + 1].min()) for y, z in zip([releases[0] - 1, *releases], releases)]
+        room = [min(self.least_room(placed, t, at, min(z + 1, at + PIECE)) for at in range(y + 1, z + 1, PIECE)) for y, z in zip([releases[0] - 1, *releases], releases)]
         for _, i in sorted((self.due(i, placed[i]), i) for i in is_open):
             upto = [j for j, x in enumerate(releases) if x <= self.release(i, placed[i])]
             if left and all(room[j] > 0 for j in upto):
@@ -85,6 +82,14 @@ class Phase:
                 left -= 1
         return placed
 
+    def least_room(self, placed: list[int], t: int, start: int, end: int) -> int:
+        """The least room of an x from start up to end, after the blocks that are due by t; Python's integers where products may not fit."""
+        x = np.arange(start, end, dtype=np.int64 if t * self.total < 1 << 62 else object)
+        room = t - x
+        for n, p in zip(placed, self.weights, strict=True):
+            room = room - np.maximum(0, n + (-x * p) // self.total)
+        return int(room.min())
+
     def frame(self, number: int, size: int = FRAME) -> dict[tuple[int, int], int]:
         """{(source of this phase, block): slot} of one frame: each slot goes to the released block that is due first."""
         t = number * size
