@@ -147,9 +147,11 @@ def _segments(n: int, cuts: np.ndarray, classes):
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, fragments: int = FRAGMENTS, order_bits: int = ORDER_BITS) -> DataFrame:
     """Components of documents whose n-word shingle sets have Jaccard similarity >= percent/100.
 
-    Returns one row per input row: (id, n_shingles, component_id), the component
-    named by its least id. This is a component join: pairs already in one component
-    are not tested, so a document's number of links is not known.
+    Returns one row per input row: (id, n_shingles, component_id, linked_to), the component
+    named by its least id. ``linked_to`` is the least id of a document whose link to this
+    one was verified or whose set is the same: every member of a component has one, null
+    tells that there is none. It is a component join: pairs already in one component are
+    not tested, so a document's number of links is not known.
 
     Equal sets are one node. All shingles are counted (in 2^order_bits hash buckets,
     a bounded table), which fixes one global order from rare to frequent. A link
@@ -176,17 +178,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("key"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        members, labels = _classes(rows, n, percent, fragments, order_bits)
-    named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        members, labels, links = _classes(rows, n, percent, fragments, order_bits)
+    named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
     named = _labelled(named, "node", labels, "label")
     names = named.groupBy("label").agg(F.min("least").alias("component"), F.sum("copies").alias("documents")).where("documents > 1")
-    named = salted_left_join(named, names, ["label"], F.col("node"), 4).where("component is not null").select("node", "component")
+    least = named.select(F.col("node").alias("b"), F.col("least").alias("partner"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = both.join(least, "b").groupBy(F.col("a").alias("node")).agg(F.min("partner").alias("partner"))
+    named = salted_left_join(named, names, ["label"], F.col("node"), 4).where("component is not null").join(partners, "node", "left")
+    # Of equal sets the first member has its partner elsewhere, if there is one; all others have the first.
+    named = named.select("node", "component", F.coalesce("partner", F.when(F.col("copies") > 1, F.col("last"))).alias("partner"), F.col("least").alias("first"), "copies")
     out = salted_left_join(members, named, ["node"], F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    again = (F.col("copies") > 1) & ~F.col("doc_id").eqNullSafe(F.col("first"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(again, F.col("first")).otherwise(F.col("partner")).alias("linked_to"))
 
 
-def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (doc_id, key, text): their profiles (doc_id, key, size, node, sketch), and (node, label) of every node with a link."""
+def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, key, text): their profiles (doc_id, key, size, node, sketch), (node, label) of every node with a link, and the verified links (a, b)."""
     spark = rows.sparkSession
     profile = materialize(rows.mapInArrow(_profile(n, bits), "doc_id long, key string, size long, node long, sketch array<long>, slice int, counts binary"), "profile")
     cut = min(bits, SLICE_BITS)
@@ -205,6 +213,7 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
     known = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
     wanted = materialize(known.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
     cut_sets: list[DataFrame] = []
+    all_links: list[DataFrame] = []
 
     def judged(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Adds the links among the pairs to the components so far; sets are cut when a pair first needs them."""
@@ -225,7 +234,7 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
         elif not found.isEmpty():
             before, labels = labels, components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
             forget(before)
-        forget(found)
+        all_links.append(found)
         return labels
 
     fits = "x_size <= size and x_size <= most and size <= x_most or size <= x_size and size <= x_most and x_size <= most"
@@ -258,7 +267,7 @@ def _classes(rows: DataFrame, n: int, percent: int, fragments: int, bits: int) -
     for x in (left, wanted, *cut_sets):
         forget(x)
     shared.unpersist()
-    return members, labels
+    return members, labels, reduce(DataFrame.unionByName, all_links)
 
 
 def _pairs(rows: DataFrame, other: str, other_size: str) -> DataFrame:
@@ -306,7 +315,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("__key", F.concat_ws(":", *[row_key(id_col, text_col)[k] for k in ("k1", "k2")]))
     rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        members, labels = _classes(rows, n, percent, FRAGMENTS, ORDER_BITS)
+        members, labels, _ = _classes(rows, n, percent, FRAGMENTS, ORDER_BITS)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     nodes = members.where("node <> 0").groupBy("node").agg(first.alias("first"))
     kept = _labelled(nodes, "node", labels, "label").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))

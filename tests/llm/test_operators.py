@@ -85,8 +85,17 @@ def near_texts():
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (3, 60)])
 def test_ngram_join_equals_all_pairs(spark, n, percent):
     texts = near_texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(docs(spark, texts).repartition(3), n=n, percent=percent).collect()}
-    assert got == linked(texts, n, percent)
+    rows = ngram_join.jaccard_join(docs(spark, texts).repartition(3), n=n, percent=percent).collect()
+    want = linked(texts, n, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    # The partners that are told are real links, and every document of a component has one.
+    sets, sizes = [shingles(t, n) for t in texts], collections.Counter(c for _, c in want.values())
+    for r in rows:
+        if r.linked_to is None:
+            assert sizes[want[r.doc_id][1]] == 1
+        else:
+            a, b = sets[r.doc_id], sets[r.linked_to]
+            assert r.linked_to != r.doc_id and 100 * len(a & b) >= percent * len(a | b)
 
 
 def test_ngram_join_needs_more_rounds_for_chains_of_near_copies(spark):
@@ -150,6 +159,23 @@ def test_mix_stays_within_a_block_of_the_target_for_any_number_of_slots():
         mixing.whole_weights({"a": 0.0})
 
 
+def test_tiny_weights_take_little_memory():
+    import tracemalloc
+
+    phase = mixing.Phase(0, 1 << 40, 10**9 + 7, (0, 1, 2), (10**9 + 2, 2, 3), (0, 0, 0))
+    tracemalloc.start()
+    done = phase.done(3_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(done) == 3_000_000 and peak < 100 << 20
+
+
+def test_entries_by_luck_are_left_out():
+    assert toxicity.luck(5, 5, 0.1) * 100_000 > toxicity.LUCK > toxicity.luck(20, 20, 0.1) * 100_000
+    exact = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    assert all(toxicity.luck(k, n, p) >= exact(k, n, p) * (1 - 1e-9) for n in (1, 7, 40) for k in range(n + 1) for p in (0.05, 0.3))
+
+
 def test_mix_keeps_all_rows_in_order(spark):
     df = spark.createDataFrame([(i if i % 50 else None, "t", "en", None if i % 10 == 9 else f"s{min(i % 10, 3)}", 0) for i in range(1000)], DOC).withColumn("slot", F.lit("old")).withColumn("rank", F.col("doc_id") + 7)
     weights = {"s0": 1, "s1": 2, "s2": 1, "s3": 3, None: 1}
