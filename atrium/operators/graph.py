@@ -41,7 +41,11 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     raise RuntimeError("components did not settle")
 
 
-def wide_arcs(arcs: DataFrame, doublings: int = 2) -> DataFrame:
+#: Doublings of the arcs that a round of a search takes: up to 2^3 edges.
+DOUBLINGS = 3
+
+
+def wide_arcs(arcs: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
     """Arcs (a, b, cost, distance, path) of up to 2^doublings edges: for each pair of nodes the cheapest, ties to the least path."""
     now = arcs
     for _ in range(doublings):
@@ -91,8 +95,8 @@ def routes(sources: DataFrame, arcs: DataFrame, within: float | None = None) ->
     """(source, node_id, cost, distance, path): the cheapest route from each source to every node it reaches, ties to the least path.
 
     ``sources``: source, node_id, and cost if a search starts with one; ``arcs``: a, b, cost, distance, edge_id, directed.
-    Rounds of one join and one aggregation: only nodes whose cost fell in a round go on, by arcs of up to four edges, so
-    rounds are a quarter of the longest route's edges. A round writes only what got better. Costs are rounded to
+    Rounds of one join and one aggregation: only nodes whose cost fell in a round go on, by arcs of up to eight edges, so
+    rounds are an eighth of the longest route's edges. A round writes only what got better. Costs are rounded to
     6 decimals. ``within`` bounds the cost. Where paths are not asked for, ``costs`` is lighter.
     """
     arcs = wide_arcs(step(_cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost"), "distance", F.array("edge_id").alias("path")), ["a", "b"]), "arcs"))
@@ -113,7 +117,7 @@ def costs(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> D
     """(source, node_id, cost): what ``routes`` costs, without the routes. Rows are three numbers."""
     cheapest = lambda rows, key: rows.groupBy(*key).agg(F.min("cost").alias("cost"))
     arcs = step(cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost")), ["a", "b"]), "arcs")
-    for _ in range(2):
+    for _ in range(DOUBLINGS):
         longer = arcs.join(arcs.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more")), F.col("b") == F.col("m")).where("a <> c")
         arcs = step(cheapest(arcs.unionByName(longer.select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"))), ["a", "b"]), "arcs")
     start = F.col("cost") if "cost" in sources.columns else F.lit(0.0)

@@ -57,6 +57,16 @@ def link(edges: DataFrame) -> DataFrame:
     return edges.join(cycles, "edge").select("floor_id", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"))
 
 
+def mask_sides(cells: DataFrame) -> DataFrame:
+    """Directed sides (floor_id, ax, ay, bx, by) of a mask of cells (floor_id, col, row_no), the mask on their left: sides that only one cell has."""
+    c, r = F.col("col"), F.col("row_no")
+    side = lambda ax, ay, bx, by: F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    around = F.array(side(c, r, c + 1, r), side(c + 1, r, c + 1, r + 1), side(c + 1, r + 1, c, r + 1), side(c, r + 1, c, r))
+    sides = cells.select("floor_id", "col", "row_no").distinct().select("floor_id", F.explode(around).alias("s"))
+    ends = [F.least("s.ax", "s.bx").alias("x0"), F.least("s.ay", "s.by").alias("y0"), (F.col("s.ax") != F.col("s.bx")).alias("level")]
+    return sides.groupBy("floor_id", *ends).agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s")).where("n = 1").select("floor_id", *[F.col(f"s.{k}").cast("double").alias(k) for k in ("ax", "ay", "bx", "by")])
+
+
 def turning_only(corners: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Corners (floor_id, ring, seq, x, y) at which a ring turns, numbered anew."""
     w = Window.partitionBy("floor_id", "ring").orderBy("seq")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atrium.functions import geometry as G
 from atrium.operators import floor, spatial
+from atrium.operators.order import first_kept
 from atrium.plans import coverage, network
 from atrium.plans.query import Query
 from atrium.sources.derive import derived, with_sql
@@ -19,26 +20,6 @@ APART, SPACING, INSET, REACH = 3.0, 5.5, 0.4, 100.0
 RADIUS = 8.0
 
 
-def first_kept(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """Of rows (id) those that stay when, in order of id, each is dropped that is near one that stayed before: (id, kept).
-
-    ``near``: pairs (id, earlier) with earlier < id. A row is decided once all its
-    earlier neighbours are: dropped if one of them stays, kept if all are dropped.
-    As many rounds as the longest chain of dependence; the result is that of the
-    walk in order.
-    """
-    todo, links, done = step(rows.select("id"), "todo"), step(near.select("id", "earlier"), "near"), []
-    while not todo.isEmpty():
-        waits = links.join(todo.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct()
-        kept = step(todo.join(waits, "id", "left_anti"), "kept")
-        drop = step(links.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct().join(todo, "id", "left_semi"), "drop")
-        done += [kept.withColumn("kept", F.lit(True)), drop.withColumn("kept", F.lit(False))]
-        gone = kept.unionByName(drop)
-        todo = step(todo.join(gone, "id", "left_anti"), "todo")
-        links = step(links.join(gone, "id", "left_anti").join(drop.select(F.col("id").alias("earlier")), "earlier", "left_anti"), "near")
-    return reduce(DataFrame.unionByName, done) if done else rows.select("id", F.lit(True).alias("kept")).limit(0)
-
-
 def near_and_seen(points: DataFrame, apart: float, shapes: floor.Geometry) -> DataFrame:
     """Pairs (id, earlier) of points (id, floor_id, x, y) closer than ``apart`` and in sight of each other, earlier < id."""
     discs = points.select("floor_id", F.col("id").alias("earlier"), F.col("x").alias("cx"), F.col("y").alias("cy"))

@@ -122,6 +122,12 @@ RULES: dict[str, str] = {
         SELECT e.event_id AS seq, e.ts, e.event_id * 7 % c.n AS beacon_id, CASE e.event_id % 8 WHEN 0 THEN 'lock' WHEN 1 THEN 'move' WHEN 2 THEN 'unlock' WHEN 3 THEN 'delete' WHEN 4 THEN 'disable' WHEN 5 THEN 'enable' WHEN 6 THEN 'duplicate' ELSE 'move' END AS action,
                CAST(e.event_id % 1040 AS double) / CAST(10 AS double) AS x, CAST(e.event_id * 3 % 1040 AS double) / CAST(10 AS double) AS y
         FROM {events} e CROSS JOIN (SELECT max(c_custkey) + 1 AS n FROM {customer}) c""",
+    # Drawn paths of four points: along, across and aslant, some of them turned as a whole.
+    "walk_path": """
+        SELECT s.s_suppkey % f.n AS floor_id, s.s_suppkey AS path_id, k.i, CASE WHEN s.s_suppkey % 5 = 0 THEN CAST(30 AS double) ELSE CAST(0 AS double) END AS rotation,
+               CASE k.i WHEN 0 THEN CAST(s.s_suppkey * 7 % 20 AS double) * CAST(5.5 AS double) WHEN 3 THEN CAST(s.s_suppkey * 17 % 1000 AS double) / CAST(10 AS double) ELSE CAST((s.s_suppkey * 11 + 3) % 20 AS double) * CAST(5.5 AS double) END AS x,
+               CASE k.i WHEN 2 THEN CAST((s.s_suppkey * 13 + 5) % 20 AS double) * CAST(5.5 AS double) WHEN 3 THEN CAST(s.s_suppkey * 29 % 1000 AS double) / CAST(10 AS double) ELSE CAST(s.s_suppkey * 3 % 20 AS double) * CAST(5.5 AS double) END AS y
+        FROM {supplier} s CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 400) AS bigint) + 1 AS n FROM {part}) f CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k""",
     # What users of the plan change of the beacons: moved, switched off, or moved and switched on.
     "edit": """
         SELECT e.event_id AS seq, e.user_id % c.n AS beacon_id, CASE WHEN e.event_id % 3 <> 1 THEN CAST(e.event_id % 1040 AS double) / CAST(10 AS double) END AS x,
