@@ -143,6 +143,33 @@ def mergeable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("first"), F.max("edge_id").alias("second"), F.sum("distance").alias("length")).where("n = 2").drop("n")
 
 
+def spanning_forest(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, rank) those that, taken in order of rank, each join two parts of the graph that are apart until then: (a, b, rank).
+
+    ``rank`` is any sortable value, different for each pair. Each round takes, for every part, its first pair to
+    another part; these are all among the pairs that the walk in order takes, and the parts they join become one. At least
+    half of the parts with a pair go in a round, so rounds are as many as the logarithm of the number of parts.
+    """
+    labels = components(nodes, edges)
+    end = lambda k: labels.select(F.col("node_id").alias(k), F.col("label").alias(f"l{k}"))
+    left = step(pairs.join(end("a"), "a").join(end("b"), "b").where("la <> lb"), "pairs")
+    taken = []
+    while not left.isEmpty():
+        sides = left.select(F.explode(F.array("la", "lb")).alias("part"), F.struct("rank", "a", "b", "la", "lb").alias("p"))
+        first = step(sides.groupBy("part").agg(F.min("p").alias("p")).select("p.*").distinct(), "taken")
+        taken.append(first)
+        joined = first.select(F.col("la").alias("source"), F.col("lb").alias("target"))
+        parts = left.select(F.explode(F.array("la", "lb")).alias("node_id")).distinct()
+        now = components(parts, joined)
+        to = lambda k: now.select(F.col("node_id").alias(k), F.col("label").alias(f"n{k}"))  # noqa: B023, E731
+        then = left.join(to("la"), "la").join(to("lb"), "lb").where("nla <> nlb").select("a", "b", "rank", F.col("nla").alias("la"), F.col("nlb").alias("lb"))
+        # Pairs between the same two parts: only the first can be taken.
+        best = then.groupBy(F.least("la", "lb").alias("p"), F.greatest("la", "lb").alias("q")).agg(F.min(F.struct("rank", "a", "b", "la", "lb")).alias("r"))
+        before, left = left, step(best.select("r.*"), "pairs")
+        forget(before)
+    return reduce(DataFrame.unionByName, taken).select("a", "b", "rank") if taken else left.select("a", "b", "rank")
+
+
 def grid_components(cells: DataFrame, joined=None) -> DataFrame:
     """Groups of neighbouring cells (floor_id, col, row_no, x, y): adds zone_col and zone_row, the group's first cell by row, then column.
 

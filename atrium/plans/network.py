@@ -12,6 +12,7 @@ from atrium.operators import floor, graph, spatial
 from atrium.plans.coverage import ends, geometry
 from atrium.plans.query import Query
 from atrium.sources.derive import derived, with_sql
+from atrium.sources.shared import step
 
 
 #: Beacons closer than this are duplicates.
@@ -184,6 +185,26 @@ def merge_coincident_nodes(spark, d) -> DataFrame:
     return derived(spark, d, "beacon").select("beacon_id", F.min("beacon_id").over(w).alias("merged_id"))
 
 
+#: Metres across which parts of a graph that lie apart are joined.
+JOIN_REACH = 6.0
+
+
+def fragment_links(spark, d, reach: float = JOIN_REACH) -> DataFrame:
+    """Links that join parts of the graph over free ground: node by node in order, each near one of another part that is in reach, bin by bin."""
+    c = F.col
+    nodes = derived(spark, d, "node").select("node_id", "floor_id", "x", "y")
+    discs = nodes.select("floor_id", c("node_id").alias("b"), c("x").alias("cx"), c("y").alias("cy"))
+    near = spatial.disc_join(nodes.withColumnRenamed("node_id", "a"), discs, F.lit(reach), 10.0).where(f"b < a and dist <= {reach}")
+    labels = step(components(spark, d), "labels")
+    end = lambda k: labels.select(c("node_id").alias(k), c("label").alias(f"l{k}"))
+    near = near.join(end("a"), "a").join(end("b"), "b").where("la <> lb")
+    near = step(near.select("a", "b", "floor_id", c("x").alias("ax"), c("y").alias("ay"), c("cx").alias("bx"), c("cy").alias("by")), "near")
+    free = floor.valid_intervals(near, ["a", "b"], geometry(spark, d)).groupBy("a", "b").agg(F.sum(c("hi") - c("lo")).alias("share")).where(c("share") >= floor.SEEN)
+    bins = lambda p, q: (F.floor(c(q) / reach) - F.floor(c(p) / reach)).alias(f"d{p}")
+    ranked = near.join(free.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.struct("a", bins("ax", "bx"), bins("ay", "by"), "b").alias("rank"))
+    return graph.spanning_forest(nodes, derived(spark, d, "edge"), ranked).select(c("a").alias("node_id"), c("b").alias("other_id"))
+
+
 ROUTE_SQL = """
 arc AS (SELECT source AS a, target AS b, edge_id, round(distance * {factor}, 6) AS cost, distance FROM {edges} WHERE direction <> 'reverse'
         UNION ALL SELECT target, source, edge_id, round(distance * {factor}, 6), distance FROM {edges} WHERE direction <> 'forward'),
@@ -255,5 +276,14 @@ QUERIES = {
         lab(n, label) USING KEY (n) AS (SELECT edge_id, edge_id FROM edge
           UNION SELECT l.t, min(r.label) FROM lab r JOIN link l ON l.s = r.n JOIN recurring.lab o ON o.n = l.t WHERE r.label < o.label GROUP BY l.t)
         SELECT label, count(*) AS edges, round(sum(distance), 4) AS length FROM lab JOIN edge ON edge_id = n GROUP BY label""", "edge")),
+    "fragment_links": Query(fragment_links, with_sql(LABEL_SQL.lstrip() + ", " + floor.SHAPES_SQL.lstrip() + """,
+        pair AS (SELECT a.node_id * 1000000 + b.node_id AS sid, a.node_id AS n, b.node_id AS o, a.floor_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, la.label AS la, lb.label AS lb FROM node a JOIN node b ON b.floor_id = a.floor_id AND b.node_id < a.node_id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 6
+          JOIN lab la ON la.n = a.node_id JOIN lab lb ON lb.n = b.node_id WHERE la.label <> lb.label),""" + floor.intervals_sql("pair", "pv", True) + """,
+        ok AS (SELECT n, o, la, lb, row_number() OVER (ORDER BY n, floor(bx / 6) - floor(ax / 6), floor(by_ / 6) - floor(ay / 6), o) AS k FROM pair WHERE sid IN (SELECT sid FROM pv GROUP BY sid HAVING sum(hi - lo) >= 1 - 1e-7)),
+        way AS (SELECT s, t, min(k) AS k FROM (SELECT la AS s, lb AS t, k FROM ok UNION ALL SELECT lb, la, k FROM ok) GROUP BY s, t),
+        neck(s, t, k) USING KEY (s, t) AS (
+          SELECT s, t, k FROM way
+          UNION SELECT b.s, a.t, min(greatest(b.k, a.k)) FROM neck b JOIN way a ON a.s = b.t LEFT JOIN recurring.neck o ON o.s = b.s AND o.t = a.t WHERE b.s <> a.t AND (o.k IS NULL OR greatest(b.k, a.k) < o.k) GROUP BY b.s, a.t)
+        SELECT n AS node_id, o AS other_id FROM ok JOIN neck ON s = la AND t = lb AND neck.k = ok.k -- USING KEY""", "edge", "vertex", "capsule")),
     "merge_coincident_nodes": Query(merge_coincident_nodes, with_sql("SELECT beacon_id, min(beacon_id) OVER (PARTITION BY floor_id, x, y) AS merged_id FROM beacon", "beacon")),
 }
