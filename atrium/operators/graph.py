@@ -35,8 +35,10 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         jump = hooked.select(F.col("node_id").alias("l"), F.col("label").alias("next"))
         then = hooked.join(jump, hooked["label"] == jump["l"], "left").select("node_id", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
         then = step(then, "labels")
+        forget(now)
         now = then.select("node_id", "label")
         if then.where("label <> old").isEmpty():
+            forget(links)
             return now
     raise RuntimeError("components did not settle")
 
@@ -46,12 +48,14 @@ DOUBLINGS = 3
 
 
 def wide_arcs(arcs: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
-    """Arcs (a, b, cost, distance, path) of up to 2^doublings edges: for each pair of nodes the cheapest, ties to the least path."""
+    """Arcs (a, b, cost, distance, path) of up to 2^doublings edges: for each pair of nodes the cheapest, ties to the least path. ``arcs`` is a step that nothing else reads."""
     now = arcs
     for _ in range(doublings):
         on = now.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("cost2"), F.col("distance").alias("distance2"), F.col("path").alias("path2"))
         longer = now.join(on, F.col("b") == F.col("m")).where("a <> c").select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("cost2"), 6).alias("cost"), F.round(F.col("distance") + F.col("distance2"), 6).alias("distance"), F.concat("path", "path2").alias("path"))
-        now = step(_cheapest(now.unionByName(longer), ["a", "b"]), "arcs")
+        wider = step(_cheapest(now.unionByName(longer), ["a", "b"]), "arcs")
+        forget(now)
+        now = wider
     return now
 
 
@@ -119,7 +123,9 @@ def costs(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> D
     arcs = step(cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost")), ["a", "b"]), "arcs")
     for _ in range(DOUBLINGS):
         longer = arcs.join(arcs.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more")), F.col("b") == F.col("m")).where("a <> c")
-        arcs = step(cheapest(arcs.unionByName(longer.select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"))), ["a", "b"]), "arcs")
+        wider = step(cheapest(arcs.unionByName(longer.select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"))), ["a", "b"]), "arcs")
+        forget(arcs)
+        arcs = wider
     start = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
     key = ["source", "node_id"]
     over = arcs.select("a", "b", F.col("cost").alias("more"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.sources.shared import step
+from atrium.sources.shared import forget, step
 
 
 def first_kept(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def first_kept(rows: DataFrame, near: DataFrame) -> DataFrame:
         drop = step(links.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct().join(todo, "id", "left_semi"), "drop")
         done += [kept.withColumn("kept", F.lit(True)), drop.withColumn("kept", F.lit(False))]
         gone = kept.unionByName(drop)
-        todo = step(todo.join(gone, "id", "left_anti"), "todo")
-        links = step(links.join(gone, "id", "left_anti").join(drop.select(F.col("id").alias("earlier")), "earlier", "left_anti"), "near")
+        rest = step(todo.join(gone, "id", "left_anti"), "todo")
+        open_links = step(links.join(gone, "id", "left_anti").join(drop.select(F.col("id").alias("earlier")), "earlier", "left_anti"), "near")
+        forget(todo, links)
+        todo, links = rest, open_links
     return reduce(DataFrame.unionByName, done) if done else rows.select("id", F.lit(True).alias("kept")).limit(0)
