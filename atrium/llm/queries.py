@@ -24,6 +24,11 @@ def _fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def _held_out(folds: int, rest: int):
+    """Is a row kept from learning? A row without an id is not, though no label names it."""
+    return F.coalesce(_fold(folds) == rest, F.lit(False))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return exact_dedup.exact_dedup(docs, carry=["text_sha256"])
@@ -41,7 +46,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels.where(_fold(4) != 2))
     scored = quality.score_quality(docs, model)
-    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.where(_fold(3) != 1))
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -170,6 +171,14 @@ def test_tiny_weights_take_little_memory():
     assert sum(done) == 3_000_000 and peak < 100 << 20
 
 
+def test_rows_without_an_id_are_not_held_out(spark):
+    from atrium.llm import queries
+
+    df = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long")
+    got = {r.doc_id: r.h for r in df.select("doc_id", queries._held_out(4, 2).alias("h")).collect()}
+    assert got == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in (None, 1, 5)}
+
+
 def test_entries_by_luck_are_left_out():
     assert toxicity.luck(5, 5, 0.1) * 100_000 > toxicity.LUCK > toxicity.luck(20, 20, 0.1) * 100_000
     exact = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
