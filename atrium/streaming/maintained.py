@@ -72,6 +72,7 @@ class Maintained:
     def apply(self, edits: DataFrame, number: int) -> None:
         """One batch of edits (seq, beacon_id, and floor_id, x, y, radius, enabled, where null keeps what is); the last of each field counts.
 
+        Batches must come in the order of ``seq``: an edit counts as later than all those of batches before.
         A beacon that is not known yet is added if its floor and place are given; without a radius or a state it gets 5 m
         and is switched on. Batches that are done already are left out.
         """
