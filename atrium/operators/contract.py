@@ -17,8 +17,8 @@ BLOCK = 4096
 def _whole(edges: DataFrame) -> DataFrame:
     """Edges with an id and both ends, once each (of repeated ids the least row); a missing length counts as 0."""
     length = F.coalesce(F.when(~F.isnan("length"), F.col("length")), F.lit(0.0)).cast("double")
-    rows = edges.where("edge_id is not null and source is not null and target is not null").groupBy("edge_id").agg(F.min(F.struct("source", "target", length.alias("length"))).alias("e"))
-    return rows.select("edge_id", "e.*")
+    rows = edges.where("edge_id is not null and source is not null and target is not null").groupBy("edge_id").agg(F.min(F.struct("source", "target", length.alias("length"))).alias("__row"))
+    return rows.select("edge_id", "__row.*")
 
 
 def _darts(edges: DataFrame) -> DataFrame:
