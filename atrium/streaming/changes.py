@@ -18,7 +18,8 @@ OUT = "user_id long, event_id long, ts timestamp, was string, now string, kind s
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One row for each event whose type differs from the user's last one. The state is the last type alone."""
     was = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    # Rows of a key may come in several frames whose numbers repeat.
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
     before = rows["event_type"].shift(1)
     before.iloc[0] = was
     changed = rows[rows["event_type"].ne(before) | before.isna()]

@@ -20,6 +20,21 @@ def test_changes_of_state_over_batches(spark, tmp_path):
     assert sorted((r.event_id, r.was, r.now, r.kind) for r in out.collect()) == [(1, None, "a", "connect"), (3, None, "b", "connect"), (4, "a", "b", "handover"), (7, "b", "a", "handover"), (8, None, "a", "connect")]
 
 
+def test_a_key_whose_rows_come_in_several_frames(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [(n, n, n % 2, "ab"[n // 3 % 2], 1.0) for n in range(40)]
+        out = changes.drained(changes.state_changes(events(spark, str(tmp_path), [rows])), "changes").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, want = {}, []
+    for n, _, user, kind, _ in rows:
+        if last.get(user) != kind:
+            want.append((n, last.get(user), kind))
+        last[user] = kind
+    assert sorted((r.event_id, r.was, r.now) for r in out) == want
+
+
 def test_last_row_of_each_key_is_kept_current(spark, tmp_path):
     out = changes.kept_current(events(spark, str(tmp_path), BATCHES), ["user_id"], "event_id", str(tmp_path / "current"))
     assert sorted((r.user_id, r.event_id) for r in out.collect()) == [(1, 6), (2, 7), (3, 8)]
