@@ -16,9 +16,13 @@ def _bin(v: Column, size: float) -> Column:
 
 
 def spread(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    """One row for each bin that a box touches (columns bx, by)."""
+    """One row for each bin that a box touches (columns bx, by).
+
+    The planner takes the rows for as many as came in and would send them all to the driver as a broadcast, so joins
+    with them are told to sort and merge.
+    """
     df = df.withColumn("bx", F.explode(F.sequence(_bin(x0, size), _bin(x1, size))))
-    return df.withColumn("by", F.explode(F.sequence(_bin(y0, size), _bin(y1, size))))
+    return df.withColumn("by", F.explode(F.sequence(_bin(y0, size), _bin(y1, size)))).hint("merge")
 
 
 def disc_join(points: DataFrame, discs: DataFrame, radius: Column, size: float, how: str = "inner") -> DataFrame:
