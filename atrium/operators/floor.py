@@ -202,7 +202,7 @@ def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bo
     """
     geometry = blocking(geometry)
     if hub:
-        pairs = pairs.join(_near_hubs(pairs, hub, geometry), hub, "left")
+        pairs = pairs.join(_near_hubs(pairs, hub, geometry).hint("merge"), hub, "left")
         near = F.coalesce(F.exists("__shapes", _comes_near), F.lit(False)) | (F.col("ax").eqNullSafe(F.col("bx")) & F.col("ay").eqNullSafe(F.col("by")))
         pairs = step(pairs.withColumn("__near", near).drop("__shapes"), "lines")
         free, pairs = pairs.where("not __near").drop("__near"), pairs.where("__near").drop("__near")

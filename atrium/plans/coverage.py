@@ -133,7 +133,7 @@ def edge_parts(spark, d) -> DataFrame:
 
 def ends(spark, d) -> DataFrame:
     """Edges within a floor, with the positions of both ends."""
-    node = derived(spark, d, "node").select("node_id", "x", "y", F.col("floor_id").alias("f"))
+    node = derived(spark, d, "node").select("node_id", "x", "y", F.col("floor_id").alias("f")).hint("merge")
     e = derived(spark, d, "raw_edge").where("source <> target and distance > 0")
     e = e.join(node.select(F.col("node_id").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("f").alias("fa")), "source")
     return e.join(node.select(F.col("node_id").alias("target"), F.col("x").alias("bx_"), F.col("y").alias("by_"), F.col("f").alias("fb")), "target").where("fa = fb").drop("fa", "fb")

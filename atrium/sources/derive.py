@@ -145,7 +145,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table; ``edge`` is ``raw_edge`` of positive length whose two different ends exist."""
     if name == "edge":
-        edges, nodes = derived(spark, sf_dir, "raw_edge").where("source <> target and distance > 0"), derived(spark, sf_dir, "node").select("node_id")
+        edges, nodes = derived(spark, sf_dir, "raw_edge").where("source <> target and distance > 0"), derived(spark, sf_dir, "node").select("node_id").hint("merge")
         for end in ("source", "target"):
             edges = edges.join(nodes.withColumnRenamed("node_id", end), end, "left_semi")
         return edges.select("edge_id", "source", "target", "floor_id", "distance", "accessible", "direction", "edge_type")
