@@ -25,7 +25,7 @@ def route_segments(spark, d) -> DataFrame:
     walk = r.withColumn("n", F.row_number().over(w)).where("n = 1 and size(path) > 0").select("source", F.posexplode("path").alias("i", "edge_id"))
     e = coverage.ends(spark, d).select("edge_id", "floor_id", "source", "target", "distance", "ax", "ay", F.col("bx_").alias("bx"), F.col("by_").alias("by"))
     s = walk.withColumnRenamed("source", "start").join(e, "edge_id")
-    order = Window.partitionBy("floor_id").orderBy("i")
+    order = Window.partitionBy("start").orderBy("i")
     # An edge is entered at the end that it shares with the edge before it.
     forth = F.when(F.col("i") == 0, F.col("source") == F.col("start")).otherwise((F.col("source") == F.lag("source").over(order)) | (F.col("source") == F.lag("target").over(order)))
     s = s.withColumn("forth", forth).withColumn("end_at", F.round(F.sum("distance").over(order.rowsBetween(Window.unboundedPreceding, 0)), 6))
@@ -37,14 +37,23 @@ def route_cumulative(spark, d) -> DataFrame:
     return route_segments(spark, d).select("floor_id", "seq", "edge_id", "start_at", "end_at")
 
 
+#: Metres of a walk that marks and segments meet in.
+BLOCK = 8.0
+
+
 def samples(segments: DataFrame) -> DataFrame:
-    """Positions every STEP metres, at the segments' ends and at the walk's end: (floor_id, at, seq, x, y)."""
-    last = Window.partitionBy("floor_id")
-    s = segments.withColumn("last", F.max("end_at").over(last) == F.col("end_at"))
-    first, final = F.ceil(F.col("start_at") / STEP).cast("int"), F.ceil(F.col("end_at") / STEP).cast("int") - 1
-    steps = F.when(first <= final, F.transform(F.sequence(first, F.greatest(first, final)), lambda i: i * STEP)).otherwise(F.array().cast("array<double>"))
-    at = F.array_distinct(F.concat(F.array("start_at"), steps, F.when(F.col("last"), F.array("end_at")).otherwise(F.array().cast("array<double>"))))
-    return _place(s.withColumn("at", F.explode(at)))
+    """Positions every STEP metres, at the segments' ends and at the end of the floor's longest walk: (floor_id, at, seq, x, y).
+
+    A floor may be walked more than once, as walks go on to other floors where an edge leads there; its marks are those of
+    all its walks, and a mark gives one position for each segment it lies on.
+    """
+    total = segments.groupBy("floor_id").agg(F.max("end_at").alias("total"))
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.col("total") / STEP).cast("int") - 1), lambda i: i * STEP)
+    marks = total.select("floor_id", F.explode(steps).alias("at")).unionByName(segments.select("floor_id", F.col("end_at").alias("at"))).distinct()
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    s = segments.join(total, "floor_id").withColumn("block", F.explode(F.sequence(block("start_at"), block("end_at"))))
+    on = (F.col("start_at") <= F.col("at")) & ((F.col("at") < F.col("end_at")) | ((F.col("at") == F.col("total")) & (F.col("end_at") == F.col("total"))))
+    return _place(marks.withColumn("block", block("at")).join(s, ["floor_id", "block"]).where(on))
 
 
 def _place(rows: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def connected(points: DataFrame, spark, d) -> DataFrame:
 
 
 def route_position_at(spark, d) -> DataFrame:
-    return samples(route_segments(spark, d)).select("floor_id", "at", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return samples(step(route_segments(spark, d), "walk")).select("floor_id", "at", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def active_beacon_per_sample(spark, d, walk: DataFrame | None = None) -> DataFrame:
@@ -93,10 +102,11 @@ def active_beacon_per_sample(spark, d, walk: DataFrame | None = None) -> DataFra
 def nearest_beacon_per_sample(spark, d) -> DataFrame:
     """The nearest enabled beacon of each sample, in sight or not."""
     c = F.col
-    points = samples(route_segments(spark, d)).select(F.struct("floor_id", "at").alias("k"), "floor_id", "x", "y")
+    points = samples(step(route_segments(spark, d), "walk")).select(F.struct("floor_id", "at").alias("k"), "floor_id", "x", "y")
     b = derived(spark, d, "beacon").where("enabled").select("floor_id", "beacon_id", c("x").alias("nx"), c("y").alias("ny"))
     out = spatial.nearest(points, "k", b, "beacon_id", G.distance(c("x"), c("y"), c("nx"), c("ny")), (c("nx"), c("ny"), c("nx"), c("ny")))
-    return out.select("k.floor_id", "k.at", "beacon_id", F.round("dist", 6).alias("dist"))
+    # A mark with several positions has the nearest beacon of them all.
+    return out.select("k.floor_id", "k.at", "beacon_id", F.round("dist", 6).alias("dist")).distinct()
 
 
 def handover_events(spark, d, walk: DataFrame | None = None) -> DataFrame:
