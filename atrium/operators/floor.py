@@ -66,26 +66,38 @@ def _near(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return placed.join(shapes, (F.col("floor_id") == F.col("__f")) & (F.col("bx") == F.col("__bx")) & (F.col("by") == F.col("__by")))
 
 
+def _by_bin(geometry: Geometry) -> DataFrame:
+    """(__f, __bx, __by, areas, paths): the polygons and the capsules of each bin."""
+    c = F.col
+    at = lambda df: df.withColumnsRenamed({"floor_id": "__f", "bx": "__bx", "by": "__by"})
+    polygons = at(spatial.spread(geometry.polygons, c("x0") - G.EPS, c("y0") - G.EPS, c("x1") + G.EPS, c("y1") + G.EPS, BIN))
+    half = c("width") / 2 + G.EPS
+    caps = at(spatial.spread(geometry.capsules.withColumn("half", half), F.least("cx", "dx") - half, F.least("cy", "dy") - half, F.greatest("cx", "dx") + half, F.greatest("cy", "dy") + half, BIN))
+    area, path = F.struct("role", "edges", "holes", "x0", "y0", "x1", "y1").alias("area"), F.struct("kind", "half", "cx", "cy", "dx", "dy").alias("path")
+    bins = polygons.select("__f", "__bx", "__by", area).unionByName(caps.select("__f", "__bx", "__by", path), allowMissingColumns=True)
+    return bins.groupBy("__f", "__bx", "__by").agg(F.collect_list("area").alias("areas"), F.collect_list("path").alias("paths"))
+
+
 def conflicts(points: DataFrame, key: list[str], geometry: Geometry) -> DataFrame:
     """Adds ``conflict`` and ``conflict_off_path`` (walkability not asked for) to points (key, floor_id, x, y); null where there is none.
 
     The first that holds of: missing-building-boundary, outside-building, inside-wall, restricted-area,
     non-walkable-area, and, where walkability is asked for, missing-walkable-geometry, non-walkable-area.
+    A point goes once to the shapes of its bin and finds all that it is in there.
     """
     c = F.col
-    polygons = spatial.spread(geometry.polygons.drop("polygon_id"), c("x0") - G.EPS, c("y0") - G.EPS, c("x1") + G.EPS, c("y1") + G.EPS, BIN)
-    areas = _near(points, polygons).where(G.in_box(c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1"))).where(in_polygon(c("x"), c("y"), c("edges"), c("holes"))).select(*key, c("role").alias("met"))
-    half = c("width") / 2 + G.EPS
-    caps = spatial.spread(geometry.capsules, F.least("cx", "dx") - half, F.least("cy", "dy") - half, F.greatest("cx", "dx") + half, F.greatest("cy", "dy") + half, BIN)
-    paths = _near(points, caps).where(G.segment_distance(*[c(k) for k in ("x", "y", "cx", "cy", "dx", "dy")]) <= half).select(*key, c("kind").alias("met"))
-    met = areas.unionByName(paths).groupBy(*key).agg(*[F.max(F.col("met") == k).alias(f"in_{k}") for k in ("boundary", "walkable", "restricted", "nonWalkable", "wall", "path")])
     has = geometry.polygons.select("floor_id", "role").unionByName(geometry.capsules.select("floor_id", F.col("kind").alias("role")))
     has = has.groupBy("floor_id").agg(F.max(F.col("role") == "boundary").alias("has_boundary"), F.max(F.col("role").isin("walkable", "path")).alias("has_walkable"))
-    out = points.join(met, key, "left").join(has, "floor_id", "left")
+    placed = points.withColumn("__px", F.floor(c("x") / BIN).cast("int")).withColumn("__py", F.floor(c("y") / BIN).cast("int"))
+    out = placed.join(_by_bin(geometry).hint("merge"), (c("floor_id") == c("__f")) & (c("__px") == c("__bx")) & (c("__py") == c("__by")), "left").join(has, "floor_id", "left")
+    inside = lambda a: G.in_box(c("x"), c("y"), a["x0"], a["y0"], a["x1"], a["y1"]) & in_polygon(c("x"), c("y"), a["edges"], a["holes"])
+    area = lambda k: F.coalesce(F.exists("areas", lambda a: (a["role"] == k) & inside(a)), F.lit(False))
+    path = lambda k: F.coalesce(F.exists("paths", lambda p: (p["kind"] == k) & (G.segment_distance(c("x"), c("y"), p["cx"], p["cy"], p["dx"], p["dy"]) <= p["half"])), F.lit(False))
     yes = lambda k: F.coalesce(F.col(k), F.lit(False))
-    first = F.when(~yes("has_boundary"), "missing-building-boundary").when(~yes("in_boundary"), "outside-building").when(yes("in_wall"), "inside-wall").when(yes("in_restricted"), "restricted-area").when(yes("in_nonWalkable"), "non-walkable-area")
-    full = F.coalesce(first, F.when(~yes("has_walkable"), "missing-walkable-geometry").when(~(yes("in_walkable") | yes("in_path")), "non-walkable-area"))
-    return out.select(*points.columns, full.alias("conflict"), first.alias("conflict_off_path"))
+    first = F.when(~yes("has_boundary"), "missing-building-boundary").when(~area("boundary"), "outside-building").when(path("wall"), "inside-wall").when(area("restricted"), "restricted-area").when(area("nonWalkable"), "non-walkable-area")
+    out = out.withColumn("conflict_off_path", first)
+    full = F.coalesce("conflict_off_path", F.when(~yes("has_walkable"), "missing-walkable-geometry").when(~(area("walkable") | path("path")), "non-walkable-area"))
+    return out.select(*points.columns, full.alias("conflict"), "conflict_off_path")
 
 
 def line_cuts(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
@@ -176,11 +188,11 @@ def _comes_near(shape: Column) -> Column:
     return box & (F.greatest(p, q) >= -reach) & (F.least(p, q) <= reach)
 
 
-def _near_hubs(pairs: DataFrame, hub: list[str], geometry: Geometry) -> DataFrame:
-    """(hub, shapes): for each hub the straight shapes in the square that its lines stay in."""
-    c = F.col
-    hubs = pairs.groupBy("floor_id", *hub).agg(F.first("bx").alias("hx"), F.first("by").alias("hy"), F.max(G.distance(c("ax"), c("ay"), c("bx"), c("by"))).alias("reach"))
-    boxed = hubs.withColumns({"sx0": c("hx") - c("reach"), "sy0": c("hy") - c("reach"), "sx1": c("hx") + c("reach"), "sy1": c("hy") + c("reach")})
+def around(hubs: DataFrame, x: str, y: str, reach: Column, geometry: Geometry) -> DataFrame:
+    """Adds ``__shapes`` to hubs (floor_id, x, y): the straight shapes that may take sight in the square of ``reach`` around each."""
+    c, geometry, place = F.col, blocking(geometry), ["floor_id", x, y, "reach"]
+    hubs = hubs.withColumn("reach", reach)
+    boxed = hubs.select("floor_id", c(x).alias("hx"), c(y).alias("hy"), "reach").distinct().withColumns({"sx0": c("hx") - c("reach"), "sy0": c("hy") - c("reach"), "sx1": c("hx") + c("reach"), "sy1": c("hy") + c("reach")})
     boxed = spatial.spread(boxed, c("sx0"), c("sy0"), c("sx1"), c("sy1"), BIN)
     lines = ["cx", "cy", "dx", "dy"]
     shapes = geometry.sides.select("floor_id", *lines, F.lit(1e-6).alias("m")).unionByName(geometry.capsules.select("floor_id", *lines, (c("width") / 2 + 1e-6).alias("m")))
@@ -189,7 +201,8 @@ def _near_hubs(pairs: DataFrame, hub: list[str], geometry: Geometry) -> DataFram
     met = (c("sx0") <= c("tx1")) & (c("tx0") <= c("sx1")) & (c("sy0") <= c("ty1")) & (c("ty0") <= c("sy1"))
     first = (c("bx") == F.floor(F.greatest("sx0", "tx0") / BIN)) & (c("by") == F.floor(F.greatest("sy0", "ty0") / BIN))
     near = boxed.join(shapes, (c("floor_id") == c("__f")) & (c("bx") == c("__bx")) & (c("by") == c("__by")) & met & first)
-    return near.groupBy(*hub).agg(F.collect_list(F.struct(*lines, "m")).alias("__shapes"))
+    near = near.groupBy("floor_id", "hx", "hy", "reach").agg(F.collect_list(F.struct(*lines, "m")).alias("__shapes")).withColumnsRenamed({"hx": x, "hy": y})
+    return hubs.join(near.hint("merge"), place, "left").drop("reach")
 
 
 def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bool = False, hub: list[str] | None = None) -> DataFrame:
@@ -197,19 +210,24 @@ def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bo
 
     Only lines that meet a ring or a capsule are cut into parts; any other line is
     free if its start is. ``open_start`` tells that all starts are known to be.
-    ``hub`` names the key of the lines' ends (bx, by) where many lines share one (a beacon and the points around it): the
-    shapes around a hub are gathered once, and lines that none of them comes near are settled there.
+    Where many lines share their end (bx, by), as the points around a beacon do, pairs may bring the shapes ``around`` it,
+    gathered before points and beacons meet: lines that none of them comes near are settled there. ``hub`` names the key of
+    the ends, to have them gathered here.
     """
     geometry = blocking(geometry)
     if hub:
-        pairs = pairs.join(_near_hubs(pairs, hub, geometry).hint("merge"), hub, "left")
+        c = F.col
+        ends = pairs.groupBy("floor_id", *hub).agg(F.first("bx").alias("hx"), F.first("by").alias("hy"), F.max(G.distance(c("ax"), c("ay"), c("bx"), c("by"))).alias("far"))
+        pairs = pairs.join(around(ends, "hx", "hy", c("far"), geometry).select(*hub, "__shapes").hint("merge"), hub, "left")
+    settled = "__shapes" in pairs.columns
+    if settled:
         near = F.coalesce(F.exists("__shapes", _comes_near), F.lit(False)) | (F.col("ax").eqNullSafe(F.col("bx")) & F.col("ay").eqNullSafe(F.col("by")))
         pairs = step(pairs.withColumn("__near", near).drop("__shapes"), "lines")
         free, pairs = pairs.where("not __near").drop("__near"), pairs.where("__near").drop("__near")
     found = step(cuts(pairs, key, geometry), "cuts")
     meeting = found.select(*key).distinct()
     clear = pairs.join(meeting, key, "left_anti")
-    clear = clear.unionByName(free) if hub else clear
+    clear = clear.unionByName(free) if settled else clear
     parts = valid_intervals(pairs.select(*key, "floor_id", "ax", "ay", "bx", "by").join(meeting, key, "left_semi"), key, geometry, False, found)
     seen = parts.groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("seen")).where(F.col("seen") >= SEEN).select(*key)
     if not open_start:

@@ -9,7 +9,7 @@ from atrium.functions import geometry as G
 from atrium.operators import floor, graph, spatial
 from atrium.plans.query import Query
 from atrium.sources.derive import derived, with_sql
-from atrium.sources.shared import step
+from atrium.sources.shared import dealt, step
 
 #: Metres along a cell where nothing else is asked for.
 CELL = 2.0
@@ -45,8 +45,8 @@ def grid(vertices: DataFrame, cell: float = CELL, cells: DataFrame | None = None
     box = box.join(cells.select("floor_id", "cell"), "floor_id") if cells is not None else box.withColumn("cell", F.lit(cell))
     count = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.col("cell"))
     out = box.withColumn("cols", count("x0", "x1")).withColumn("rows", count("y0", "y1")).where("cols > 0 and rows > 0")
-    # Columns are dealt out before rows are made, so no task holds a floor's whole grid.
-    out = out.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("row_no", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    # Columns are dealt out before rows are made, so no task holds a floor's whole grid, nor the grids of all floors.
+    out = dealt(out.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))), "floor_id", "col").withColumn("row_no", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     return out.select("floor_id", "col", "row_no", (F.col("x0") + (F.col("col") + 0.5) * F.col("cell")).alias("x"), (F.col("y0") + (F.col("row_no") + 0.5) * F.col("cell")).alias("y"), "cell")
 
 
@@ -57,8 +57,9 @@ def open_cells(spark, d, shapes: floor.Geometry, cell: float = CELL, cells: Data
 
 def seen_from(cells: DataFrame, discs: DataFrame, shapes: floor.Geometry) -> DataFrame:
     """Discs (floor_id, beacon_id, cx, cy, radius, marginal) within the marginal radius of a cell and in sight of it."""
+    discs = floor.around(discs, "cx", "cy", F.col("marginal") + 1e-6, shapes)
     near = spatial.disc_join(cells, discs, F.col("marginal"), BIN).withColumnsRenamed({"x": "ax", "y": "ay", "cx": "bx", "cy": "by"})
-    seen = floor.visible(near, [*CELL_KEY, "beacon_id"], shapes, True, ["beacon_id"])
+    seen = floor.visible(near, [*CELL_KEY, "beacon_id"], shapes, True)
     return seen.withColumnsRenamed({"ax": "x", "ay": "y", "bx": "cx", "by": "cy"})
 
 

@@ -79,11 +79,11 @@ def connected(points: DataFrame, spark, d) -> DataFrame:
     shapes = coverage.geometry(spark, d)
     b = derived(spark, d, "beacon").where("enabled").select("floor_id", "beacon_id", "x", "y", "radius", "marginal")
     b = floor.conflicts(b, ["beacon_id"], shapes).where("conflict is null")
-    discs = b.select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius", "marginal")
+    discs = floor.around(b.select("floor_id", "beacon_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius", "marginal"), "cx", "cy", F.col("marginal") + 1e-6, shapes)
     points = step(points.select("floor_id", "at", "x", "y"), "points")
     open_points = floor.conflicts(points, key, shapes).where("conflict is null").select("floor_id", "at", "x", "y")
     near = spatial.disc_join(open_points, discs, F.col("marginal"), BIN).withColumnsRenamed({"x": "ax", "y": "ay", "cx": "bx", "cy": "by"})
-    seen = floor.visible(near, [*key, "beacon_id"], shapes, True, ["beacon_id"])
+    seen = floor.visible(near, [*key, "beacon_id"], shapes, True)
     seen = seen.withColumn("signal", F.round(100 * (1 - F.col("dist") / F.col("marginal")), 8))
     best = seen.groupBy(*key).agg(F.max(F.struct("signal", (-F.col("beacon_id")).alias("neg"), (F.col("dist") <= F.col("radius") + G.EPS).alias("ok"))).alias("b"))
     state = F.when(F.col("b").isNull(), "dead").when(F.col("b.ok"), "reliable").otherwise("weak")

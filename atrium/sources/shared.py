@@ -28,6 +28,14 @@ def step(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session shuffles to, before they become many more.
+
+    With the number given, adaptive execution does not put the tasks together, however few bytes the rows are until then.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def forget(*steps: DataFrame) -> None:
     """Deletes the files of steps that nothing reads any more."""
     for df in steps:
