@@ -15,6 +15,8 @@ from atrium.sources.shared import forget, step
 BEACON = "floor_id long, beacon_id long, x double, y double, radius double, enabled boolean"
 BEACON_COLUMNS = [c.split()[0] for c in BEACON.split(", ")]
 COUNT = "col long, row_no long, x double, y double, n long, floor_id long, region string"
+#: Folders of a batch, however many regions there are: the driver lists them all.
+BUCKETS = 64
 VERSION = "changed long, regions long, cells long, batch long"
 FIELDS = ["floor_id", "x", "y", "radius", "enabled"]
 PLACE = ["floor_id", "region"]
@@ -24,10 +26,11 @@ PLACE = ["floor_id", "region"]
 class Maintained:
     """Counts of a deployment in a folder that all executors share.
 
-    ``counts``: one row per open cell, in partitions by floor and region (squares of ``region`` metres); ``beacons``: the
+    ``counts``: one row per open cell, whole regions (squares of ``region`` metres of a floor), at the start all of them and, for
+    each batch, those that it counted anew; the newest of a region counts, what it replaced stays in its files. ``beacons``: the
     beacons at the start and, for each batch, those that it changed; ``versions``: one row per batch that is done, written last.
     A batch that was cut short is done again from the version before it and writes the same files, so a stream that is started
-    again on the folder goes on where it stopped. Between a batch's counts and its version, readers see the new counts.
+    again on the folder goes on where it stopped. Readers see a batch's counts once its version is written.
     """
 
     spark: SparkSession
@@ -45,8 +48,8 @@ class Maintained:
         """Counts all cells (floor_id, col, row_no, x, y) for the beacons (BEACON) they begin with."""
         self._log(beacons.select(*BEACON_COLUMNS), -1)
         cells = cells.select(*[F.col(c).cast("long").alias(c) for c in coverage.CELL_KEY], "x", "y").withColumn("region", self._region())
-        self._write(self._counted(cells, beacons))
-        self._done(-1, self.spark.createDataFrame([], "beacon_id long"), self.counts())
+        self._write(self._counted(cells, beacons), -1)
+        self._done(-1, self.spark.createDataFrame([], "beacon_id long"), self._rows().where("batch = -1"))
 
     def version(self) -> int | None:
         """The number of the last batch that is done; None before ``start``."""
@@ -57,8 +60,14 @@ class Maintained:
                 return None
             raise
 
+    def _rows(self) -> DataFrame:
+        return self._read("counts", COUNT + ", batch long, bucket int")
+
     def counts(self) -> DataFrame:
-        return self._read("counts", COUNT)
+        """The counts as of the last version."""
+        rows = self._rows().where(F.col("batch") <= F.lit(self.version()))
+        newest = rows.groupBy(*PLACE).agg(F.max("batch").alias("batch"))
+        return rows.join(newest.hint("merge"), [*PLACE, "batch"], "left_semi").drop("batch", "bucket")
 
     def versions(self) -> DataFrame:
         """(batch, changed beacons, regions and cells counted anew)."""
@@ -95,7 +104,7 @@ class Maintained:
         cells = self.counts().join(touched, PLACE, "left_semi").drop("n")
         now = known.join(changed.select("beacon_id"), "beacon_id", "left_anti").unionByName(changed.select("beacon_id", "after.*"))
         anew = step(self._counted(cells, now), "anew")
-        self._write(anew)
+        self._write(anew, number)
         self._done(number, changed, anew)
         forget(changed, touched, anew)
 
@@ -112,9 +121,11 @@ class Maintained:
     def _log(self, rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.at}/beacons/batch={number}")
 
-    def _write(self, counts: DataFrame) -> None:
-        """Puts whole regions in place of what they were; all others stay untouched."""
-        counts.repartition(*PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{self.at}/counts")
+    def _write(self, counts: DataFrame, number: int) -> None:
+        """Whole regions, newer than what they were; all other files stay untouched."""
+        bucket = F.pmod(F.hash(*PLACE), F.lit(BUCKETS)).alias("bucket")
+        rows = counts.select("*", bucket).repartition(BUCKETS, "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.at}/counts/batch={number}")
 
     def _done(self, number: int, changed: DataFrame, anew: DataFrame) -> None:
         row = anew.agg(F.count_distinct(*PLACE).alias("regions"), F.count(F.lit(1)).alias("cells")).withColumn("changed", F.lit(changed.count()).cast("long"))

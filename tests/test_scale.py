@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from atrium.operators import floor
 from atrium.plans import coverage
+from atrium.streaming.maintained import BEACON, BUCKETS, Maintained
 
 VERTEX = "floor_id long, polygon_id long, role string, ring int, i int, x double, y double"
+CAPSULE = "floor_id long, path_id long, seg int, kind string, width double, ax double, ay double, bx double, by_ double"
 
 
 def plan(spark, floors, side):
@@ -12,6 +15,19 @@ def plan(spark, floors, side):
     return spark.createDataFrame(rows, VERTEX)
 
 
+def test_folders_of_counts_do_not_grow_with_the_regions(spark, tmp_path):
+    vertices = plan(spark, 6, 40.0)
+    shapes = floor.of_rings(vertices, spark.createDataFrame([], CAPSULE))
+    kept = Maintained(spark, str(tmp_path / "d"), shapes, 8.0)
+    kept.start(coverage.grid(vertices, 4.0).select(*coverage.CELL_KEY, "x", "y"), spark.createDataFrame([(0, 1, 10.0, 10.0, 6.0, True)], BEACON))
+    before = {r[:3]: r.n for r in kept.counts().select("floor_id", "col", "row_no", "n").collect()}
+    assert kept.counts().select("floor_id", "region").distinct().count() == 150 > BUCKETS
+    assert len([p for p in (tmp_path / "d" / "counts").rglob("*") if p.is_dir()]) <= BUCKETS + 1
+    kept.apply(spark.createDataFrame([(1, 1, None, None, None, None, False)], "seq long, beacon_id long, floor_id long, x double, y double, radius double, enabled boolean"), 0)
+    after = {r[:3]: r.n for r in kept.counts().select("floor_id", "col", "row_no", "n").collect()}
+    assert sum(before.values()) > 0 and after == dict.fromkeys(before, 0)
+
+
 def test_cells_of_many_floors_are_made_in_many_tasks(spark):
     cells = coverage.grid(plan(spark, 40, 20.0))
     tasks = cells.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
