@@ -133,9 +133,10 @@ def spacing_samples(spark, d) -> DataFrame:
 
 def quality_scores(spark, d) -> DataFrame:
     """Spacing, coverage, connectivity and anchor scores of the whole deployment, each 0 to 100, and their mean; 0 if an enabled beacon has a conflict."""
-    one = lambda df, value, name: df.agg(value.cast("double").alias("v")).select(F.lit(name).alias("k"), "v")
+    # Each fact is worked out and written by itself: the driver holds the plan and the broadcasts of one, not of all.
+    one = lambda df, value, name: step(df.agg(value.cast("double").alias("v")).select(F.lit(name).alias("k"), "v"), "fact")
     count = F.count(F.lit(1))
-    gaps, active = spacing_samples(spark, d), derived(spark, d, "beacon").where("enabled")
+    gaps, active = step(spacing_samples(spark, d), "gaps"), derived(spark, d, "beacon").where("enabled")
     dup = network.duplicate_beacons(spark, d).join(active.select("beacon_id"), "beacon_id", "left_semi").join(active.select(F.col("beacon_id").alias("other_id")), "other_id", "left_semi")
     facts = reduce(DataFrame.unionByName, [
         one(coverage.floor_coverage_summary(spark, d), 100 * F.sum("covered") / (F.sum("covered") + F.sum("dead")), "coverage"),

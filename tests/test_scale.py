@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from atrium.operators import floor
-from atrium.plans import coverage
+from atrium.plans import coverage, placement
 from atrium.streaming.maintained import BEACON, BUCKETS, Maintained
 
 VERTEX = "floor_id long, polygon_id long, role string, ring int, i int, x double, y double"
@@ -32,3 +32,8 @@ def test_cells_of_many_floors_are_made_in_many_tasks(spark):
     cells = coverage.grid(plan(spark, 40, 20.0))
     tasks = cells.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in tasks) == 4000 and len(tasks) > 1 and max(r.n for r in tasks) < 3000
+
+
+def test_quality_facts_are_worked_out_one_by_one(spark):
+    plan = placement.quality_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
