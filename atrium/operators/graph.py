@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrium.sources.shared import forget, step
@@ -43,26 +43,20 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     raise RuntimeError("components did not settle")
 
 
-#: Doublings of the arcs that a round of a search takes: up to 2^3 edges.
+#: Doublings of the arcs that a round of ``costs`` takes: up to 2^3 edges.
 DOUBLINGS = 3
 
 
-def wide_arcs(arcs: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
-    """Arcs (a, b, cost, distance, path) of up to 2^doublings edges: for each pair of nodes the cheapest, ties to the least path. ``arcs`` is a step that nothing else reads."""
-    now = arcs
-    for _ in range(doublings):
-        on = now.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("cost2"), F.col("distance").alias("distance2"), F.col("path").alias("path2"))
-        longer = now.join(on, F.col("b") == F.col("m")).where("a <> c").select("a", F.col("c").alias("b"), F.round(F.col("cost") + F.col("cost2"), 6).alias("cost"), F.round(F.col("distance") + F.col("distance2"), 6).alias("distance"), F.concat("path", "path2").alias("path"))
-        wider = step(_cheapest(now.unionByName(longer), ["a", "b"]), "arcs")
-        forget(now)
-        now = wider
-    return now
-
-
 def _cheapest(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(F.struct("cost", "path", "distance")).alias("r")).select(*key, "r.cost", "r.distance", "r.path")
 
 
+def _spans(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The least cost, and the least and the greatest length of what has it."""
+    out = rows.groupBy(*key).agg(F.min(F.struct("cost", "least")).alias("r"), F.min(F.struct("cost", (-F.col("most")).alias("m"))).alias("s"))
+    return out.select(*key, "r.cost", "r.least", (-F.col("s.m")).alias("most"))
+
+
 #: Written rounds that are read again before they are merged into one.
 MERGED = 8
 
@@ -76,45 +70,101 @@ def _settled(rounds: list[DataFrame], key: list[str], best) -> list[DataFrame]:
     return [merged, rounds[-1]]
 
 
-def _search(first: DataFrame, extended, key: list[str], best, improved: str) -> DataFrame:
-    """Rounds of a search: what the front reaches is held against all that is known, and what is better is the next front.
+def _going(arcs: DataFrame) -> DataFrame:
+    """Nodes that are taken out in a round: those with fewer neighbours than all of their neighbours, ties by a hash, so no two of them are neighbours."""
+    ends = arcs.select(F.col("b").alias("node_id"), F.col("a").alias("other")).unionByName(arcs.where("a is not null").select(F.col("a").alias("node_id"), F.col("b").alias("other")))
+    near = ends.groupBy("node_id").agg(F.collect_set("other").alias("others"))
+    near = near.select("node_id", "others", F.struct(F.size("others").alias("n"), F.xxhash64("node_id").alias("h"), F.col("node_id").alias("i")).alias("rank"))
+    none = F.lit(None).cast(near.schema["rank"].dataType)
+    told = near.select("node_id", F.col("rank").alias("own"), none.alias("least")).unionByName(near.select(F.explode("others").alias("node_id"), none.alias("own"), F.col("rank").alias("least")))
+    return told.groupBy("node_id").agg(F.max("own").alias("own"), F.min("least").alias("least")).where("least is null or own < least").select("node_id")
 
-    A round writes the rows that got better and nothing else; it reads what is known once.
-    """
-    rounds = [first]
-    while True:
-        reached = extended(rounds[-1])
-        values = [c for c in reached.columns if c not in key]
-        new = reached.select(*key, F.struct(*values).alias("new"), F.lit(None).cast(reached.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("old"))
-        known = reduce(DataFrame.unionByName, rounds).select(*key, F.lit(None).cast(new.schema["new"].dataType).alias("new"), F.struct(*values).alias("old"))
-        both = new.unionByName(known).groupBy(*key).agg(F.min("new").alias("new"), F.min("old").alias("old"))
-        front = step(both.where(improved).select(*key, "new.*"), "front")
-        if front.isEmpty():
-            forget(front)
-            return best(reduce(DataFrame.unionByName, rounds))
-        rounds = _settled([*rounds, front], key, best)
 
+def _searched(first: DataFrame, arcs: DataFrame, best, followed: dict[str, Column], within: float | None, only: DataFrame | None = None) -> DataFrame:
+    """(source, node_id, values): the best route from each source to each node, in rounds that follow the logarithm of the graph's size.
 
-def routes(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> DataFrame:
+    Up: a round takes out nodes that are not neighbours, those with few neighbours first, and puts an arc over each for every
+    pair of arcs through it, so what is left is smaller and its routes are as good. Down: a node's best route comes by an arc
+    from a node taken out after it, or straight from a source. Work grows with the nodes where rounds leave few arcs a node, as on
+    plans of floors; on a graph that is linked everywhere with everything they grow with the square.
+    ``first``: source, node_id, values; ``arcs``: a, b, values; ``followed``: the values of an arc and another (with a 2) after it;
+    ``only`` (node_id) may name the nodes that are asked for.
+    """
+    values, key = list(followed), ["source", "a", "b"]
+    near = (lambda df: df) if within is None else (lambda df: df.where(F.col("cost") <= within))
+    sources = first.select("source", F.lit(None).cast(arcs.schema["a"].dataType).alias("a"), F.col("node_id").alias("b"), *values)
+    left = step(best(near(sources.unionByName(arcs.select(F.lit(None).cast(first.schema["source"].dataType).alias("source"), "a", "b", *values))), key), "arcs")
+    rounds = []
+    while True:
+        going = step(_going(left), "going")
+        if going.isEmpty():
+            forget(going, left)
+            break
+        rounds.append((left, going))
+        at = lambda k: going.select(F.col("node_id").alias(k))  # noqa: B023, E731
+        onward = left.where("a is not null").join(at("a"), "a", "left_semi").select(F.col("a").alias("m"), F.col("b").alias("c"), *[F.col(v).alias(f"{v}2") for v in values])
+        over = left.join(at("b"), "b", "left_semi").join(onward, F.col("b") == F.col("m")).where("a is null or a <> c").select("source", "a", F.col("c").alias("b"), *[c.alias(v) for v, c in followed.items()])
+        rest = left.join(at("b"), "b", "left_anti").join(at("a"), "a", "left_anti").select(*key, *values)
+        left = step(best(rest.unionByName(near(over)), key), "arcs")
+    asked = []
+    for arcs_then, going in rounds:
+        if only is None:
+            asked.append(going)
+            continue
+        mine = step(going.join(only, "node_id", "left_semi"), "asked")
+        asked.append(mine)
+        via = arcs_then.where("a is not null").join(mine.select(F.col("node_id").alias("b")), "b", "left_semi").select(F.col("a").alias("node_id"))
+        only = step(only.join(mine, "node_id", "left_anti").unionByName(via).distinct(), "only")
+    parts: list[DataFrame] = []
+    for (arcs_then, _), mine in zip(reversed(rounds), reversed(asked), strict=True):
+        into = arcs_then.join(mine.select(F.col("node_id").alias("b")), "b", "left_semi")
+        found = into.where("a is null").select("source", F.col("b").alias("node_id"), *values)
+        if parts:
+            known = reduce(DataFrame.unionByName, parts)
+            arc = into.where("a is not null").select("a", "b", *[F.col(v).alias(f"{v}2") for v in values])
+            found = found.unionByName(near(known.join(arc, F.col("node_id") == F.col("a")).select("source", F.col("b").alias("node_id"), *[c.alias(v) for v, c in followed.items()])))
+        parts.append(step(best(found, ["source", "node_id"]), "found"))
+        if len(parts) > MERGED:
+            whole = step(reduce(DataFrame.unionByName, parts), "found")
+            forget(*parts)
+            parts = [whole]
+    forget(*[x for pair in rounds for x in pair])
+    return reduce(DataFrame.unionByName, parts) if parts else first.select("source", "node_id", *values)
+
+
+def _plus(name: str) -> Column:
+    return F.round(F.col(name) + F.col(f"{name}2"), 6)
+
+
+def routes(sources: DataFrame, arcs: DataFrame, within: float | None = None, only: DataFrame | None = None) -> DataFrame:
     """(source, node_id, cost, distance, path): the cheapest route from each source to every node it reaches, ties to the least path.
 
     ``sources``: source, node_id, and cost if a search starts with one; ``arcs``: a, b, cost, distance, edge_id, directed.
-    Rounds of one join and one aggregation: only nodes whose cost fell in a round go on, by arcs of up to eight edges, so
-    rounds are an eighth of the longest route's edges. A round writes only what got better. Costs are rounded to
-    6 decimals. ``within`` bounds the cost. Where paths are not asked for, ``costs`` is lighter.
+    Costs are rounded to 6 decimals. ``within`` bounds the cost. ``only`` (node_id) may name the nodes that are asked for;
+    others may come too. Where paths are not asked for, ``costs`` and ``lengths`` are lighter.
     """
-    arcs = wide_arcs(step(_cheapest(arcs.select("a", "b", F.round("cost", 6).alias("cost"), "distance", F.array("edge_id").alias("path")), ["a", "b"]), "arcs"))
     cost = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
-    key = ["source", "node_id"]
-    first = step(_cheapest(sources.select(*key, cost.alias("cost"), F.lit(0.0).alias("distance"), F.array().cast("array<bigint>").alias("path")), key).select(*key, "cost", "path", "distance"), "front")
-    over = arcs.select("a", "b", F.col("cost").alias("more"), F.col("distance").alias("length"), F.col("path").alias("rest"))
+    first = sources.select("source", "node_id", cost.alias("cost"), F.lit(0.0).alias("distance"), F.array().cast("array<bigint>").alias("path"))
+    arcs = arcs.select("a", "b", F.round("cost", 6).alias("cost"), F.col("distance").cast("double").alias("distance"), F.array(F.col("edge_id").cast("bigint")).alias("path"))
+    followed = {"cost": _plus("cost"), "distance": _plus("distance"), "path": F.concat("path", "path2")}
+    return _searched(first, arcs, _cheapest, followed, within, only).select("source", "node_id", "cost", "distance", "path")
 
-    def extended(front: DataFrame) -> DataFrame:
-        on = front.join(over, front["node_id"] == over["a"]).select("source", F.col("b").alias("node_id"), F.round(F.col("cost") + F.col("more"), 6).alias("cost"), F.concat("path", "rest").alias("path"), F.round(F.col("distance") + F.col("length"), 6).alias("distance"))
-        return on if within is None else on.where(F.col("cost") <= within)
 
-    better = "new is not null and (old is null or struct(new.cost, new.path) < struct(old.cost, old.path))"
-    return _search(first, extended, key, lambda rows: _cheapest(rows, key), better).select(*key, "cost", "distance", "path")
+def lengths(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(source, node_id, cost, distance): what ``routes`` tells, without the paths.
+
+    The cheapest routes to a node are mostly of one length, whichever of them is the least path. Only for nodes with
+    cheapest routes of several lengths are paths looked at.
+    """
+    cost = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
+    first = sources.select("source", "node_id", cost.alias("cost"), F.lit(0.0).alias("least"), F.lit(0.0).alias("most"))
+    length = F.col("distance").cast("double")
+    spans = _searched(first, arcs.select("a", "b", F.round("cost", 6).alias("cost"), length.alias("least"), length.alias("most")), _spans, {v: _plus(v) for v in ("cost", "least", "most")}, None)
+    out, tied = spans.where("least = most").select("source", "node_id", "cost", F.col("least").alias("distance")), spans.where("least < most")
+    if tied.isEmpty():
+        return out
+    told = routes(sources, arcs, only=tied.select("node_id").distinct()).join(tied.select("source", "node_id"), ["source", "node_id"], "left_semi")
+    return out.unionByName(told.select("source", "node_id", "cost", "distance"))
 
 
 def costs(sources: DataFrame, arcs: DataFrame, within: float | None = None) -> DataFrame:

@@ -118,7 +118,7 @@ def shortest_route(spark, d) -> DataFrame:
 def route_across_floors(spark, d) -> DataFrame:
     """From the first lift node to every node of the building; lifts count 0.85 of their length, the distance told is the real one."""
     first = derived(spark, d, "node").where("node_id = 45").select(F.col("node_id").alias("source"), "node_id")
-    return graph.routes(first, arcs(spark, d, lift_factor=LIFT_FACTOR)).select("node_id", F.col("cost"), F.col("distance"))
+    return graph.lengths(first, arcs(spark, d, lift_factor=LIFT_FACTOR)).select("node_id", "cost", "distance")
 
 
 def nodes_within_reach(spark, d) -> DataFrame:
