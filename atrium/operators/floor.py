@@ -124,15 +124,6 @@ def circle_cuts(ax, ay, bx, by, cx, cy, r) -> Column:
     return F.when((a > 0) & (root >= 0), both).otherwise(F.array().cast("array<double>"))
 
 
-def _capsule_cuts(ax, ay, bx, by, cx, cy, dx, dy, width) -> Column:
-    length, r = G.distance(cx, cy, dx, dy), width / 2
-    safe = F.when(length > 0, length).otherwise(1.0)
-    nx, ny = -(dy - cy) * r / safe, (dx - cx) * r / safe
-    sides = [line_cuts(ax, ay, bx, by, cx + k * nx, cy + k * ny, dx + k * nx, dy + k * ny) for k in (-1, 1)]
-    straight = F.when(length > 0, F.concat(*sides)).otherwise(F.array().cast("array<double>"))
-    return F.concat(circle_cuts(ax, ay, bx, by, cx, cy, r), circle_cuts(ax, ay, bx, by, dx, dy, r), straight)
-
-
 def _meeting(segments: DataFrame, shapes: DataFrame, margin) -> DataFrame:
     """Segments with the straight shapes (cx, cy, dx, dy) whose boxes meet theirs; a pair comes from one bin only."""
     c = F.col
@@ -147,12 +138,31 @@ def _meeting(segments: DataFrame, shapes: DataFrame, margin) -> DataFrame:
     return lines.join(shapes, same & met & first)
 
 
+def _outlines(geometry: Geometry) -> tuple[DataFrame, DataFrame]:
+    """What bounds the shapes: straight lines (floor_id, cx, cy, dx, dy), of rings and of both sides of capsules, and circles (floor_id, cx, cy, dx, dy, r), a point each."""
+    c, caps = F.col, geometry.capsules
+    r, length = c("width") / 2, G.distance(c("cx"), c("cy"), c("dx"), c("dy"))
+    nx, ny = -(c("dy") - c("cy")) * r / c("length"), (c("dx") - c("cx")) * r / c("length")
+    long = caps.withColumn("length", length).where("length > 0").select("floor_id", "cx", "cy", "dx", "dy", nx.alias("nx"), ny.alias("ny"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("k"))
+    off = lambda at, n: (c(at) + c("k") * c(n)).alias(at)
+    sides = long.select("floor_id", off("cx", "nx"), off("cy", "ny"), off("dx", "nx"), off("dy", "ny"))
+    straight = geometry.sides.select("floor_id", "cx", "cy", "dx", "dy").unionByName(sides)
+    end = F.explode(F.array(F.struct(c("cx").alias("x"), c("cy").alias("y")), F.struct(c("dx").alias("x"), c("dy").alias("y"))))
+    ends = caps.select("floor_id", r.alias("r"), end.alias("e")).distinct()
+    return straight, ends.select("floor_id", c("e.x").alias("cx"), c("e.y").alias("cy"), c("e.x").alias("dx"), c("e.y").alias("dy"), "r")
+
+
 def cuts(segments: DataFrame, key: list[str], geometry: Geometry) -> DataFrame:
-    """(key, t): where a segment's line crosses a ring or the edge of a capsule."""
-    ends = [F.col(k) for k in ("ax", "ay", "ex", "ey", "cx", "cy", "dx", "dy")]
-    rings = _meeting(segments, geometry.sides.select("floor_id", "cx", "cy", "dx", "dy"), F.lit(0.0)).select(*key, F.explode(line_cuts(*ends)).alias("t"))
-    caps = _meeting(segments, geometry.capsules.select("floor_id", "cx", "cy", "dx", "dy", "width"), F.col("width") / 2).select(*key, F.explode(_capsule_cuts(*ends, F.col("width"))).alias("t"))
-    return rings.unionByName(caps)
+    """(key, t): where a segment's line crosses a ring or the edge of a capsule.
+
+    Capsules are taken apart into lines and circles before they meet segments, so a pair is one short formula.
+    """
+    a, b, c, d = (("ax", "ay"), ("ex", "ey"), ("cx", "cy"), ("dx", "dy"))
+    at = [F.col(k) for p in (a, b, c, d) for k in p]
+    straight, circles = _outlines(geometry)
+    lines = _meeting(segments, straight, F.lit(0.0)).select(*key, F.explode(line_cuts(*at)).alias("t"))
+    rounds = _meeting(segments, circles, F.col("r")).select(*key, F.explode(circle_cuts(*at[:6], F.col("r"))).alias("t"))
+    return lines.unionByName(rounds)
 
 
 def valid_intervals(segments: DataFrame, key: list[str], geometry: Geometry, walkable: bool = True, found: DataFrame | None = None) -> DataFrame:

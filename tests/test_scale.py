@@ -37,3 +37,13 @@ def test_cells_of_many_floors_are_made_in_many_tasks(spark):
 def test_quality_facts_are_worked_out_one_by_one(spark):
     plan = placement.quality_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_capsules_are_cut_piece_by_piece(spark):
+    # A path with a bend at (10, 10): its two parts share the circle there, which cuts a line once. Side lines and the ring are cut too.
+    caps = spark.createDataFrame([(0, 5, 0, "path", 2.0, 0.0, 10.0, 10.0, 10.0), (0, 5, 1, "path", 2.0, 10.0, 10.0, 20.0, 10.0), (0, 6, 0, "wall", 2.0, 3.0, 30.0, 3.0, 30.0)], CAPSULE)
+    lines = spark.createDataFrame([(1, 0, 10.0, 0.0, 10.0, 40.0), (2, 0, 0.0, 30.0, 40.0, 30.0)], "k long, floor_id long, ax double, ay double, bx double, by double")
+    got = sorted((r.k, round(r.t * 40, 6)) for r in floor.cuts(lines, ["k"], floor.of_rings(plan(spark, 1, 36.0), caps)).where("t > 0 and t < 1").distinct().collect())
+    assert got == [(1, 9.0), (1, 11.0), (1, 36.0), (2, 2.0), (2, 4.0), (2, 36.0)]
+    circles = floor._outlines(floor.of_rings(plan(spark, 1, 36.0), caps))[1]
+    assert circles.count() == 4
