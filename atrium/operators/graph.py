@@ -70,6 +70,19 @@ def _settled(rounds: list[DataFrame], key: list[str], best) -> list[DataFrame]:
     return [merged, rounds[-1]]
 
 
+#: Nodes of a round, with their arcs and routes, that joins may send to all tasks.
+SENT = 20_000
+
+
+def _side(df: DataFrame, nodes: int) -> DataFrame:
+    """One side of a join, to be sorted and merged where it tells of many nodes.
+
+    Files of paths and ids are many times smaller than their rows: by the files' size the planner would send millions of
+    rows through the driver.
+    """
+    return df.hint("merge") if nodes > SENT else df
+
+
 def _going(arcs: DataFrame) -> DataFrame:
     """Nodes that are taken out in a round: those with fewer neighbours than all of their neighbours, ties by a hash, so no two of them are neighbours."""
     ends = arcs.select(F.col("b").alias("node_id"), F.col("a").alias("other")).unionByName(arcs.where("a is not null").select(F.col("a").alias("node_id"), F.col("b").alias("other")))
@@ -97,38 +110,42 @@ def _searched(first: DataFrame, arcs: DataFrame, best, followed: dict[str, Colum
     rounds = []
     while True:
         going = step(_going(left), "going")
-        if going.isEmpty():
+        n = going.count()
+        if not n:
             forget(going, left)
             break
-        rounds.append((left, going))
-        at = lambda k: going.select(F.col("node_id").alias(k))  # noqa: B023, E731
+        rounds.append((left, going, n))
+        at = lambda k: _side(going.select(F.col("node_id").alias(k)), n)  # noqa: B023, E731
         onward = left.where("a is not null").join(at("a"), "a", "left_semi").select(F.col("a").alias("m"), F.col("b").alias("c"), *[F.col(v).alias(f"{v}2") for v in values])
-        over = left.join(at("b"), "b", "left_semi").join(onward, F.col("b") == F.col("m")).where("a is null or a <> c").select("source", "a", F.col("c").alias("b"), *[c.alias(v) for v, c in followed.items()])
-        rest = left.join(at("b"), "b", "left_anti").join(at("a"), "a", "left_anti").select(*key, *values)
+        over = left.join(at("b"), "b", "left_semi").join(_side(onward, n), F.col("b") == F.col("m")).where("a is null or a <> c").select("source", "a", F.col("c").alias("b"), *[c.alias(v) for v, c in followed.items()])
+        # Arcs from a source have no a; they are dealt by b, not all to one task.
+        rest = left.join(at("b"), "b", "left_anti").withColumn("k", F.coalesce("a", "b")).join(at("k"), "k", "left_anti").select(*key, *values)
         left = step(best(rest.unionByName(near(over)), key), "arcs")
     asked = []
-    for arcs_then, going in rounds:
+    for arcs_then, going, n in rounds:
         if only is None:
             asked.append(going)
             continue
-        mine = step(going.join(only, "node_id", "left_semi"), "asked")
+        mine = step(going.join(only.hint("merge"), "node_id", "left_semi"), "asked")
         asked.append(mine)
-        via = arcs_then.where("a is not null").join(mine.select(F.col("node_id").alias("b")), "b", "left_semi").select(F.col("a").alias("node_id"))
-        only = step(only.join(mine, "node_id", "left_anti").unionByName(via).distinct(), "only")
+        via = arcs_then.where("a is not null").join(_side(mine.select(F.col("node_id").alias("b")), n), "b", "left_semi").select(F.col("a").alias("node_id"))
+        only = step(only.join(_side(mine, n), "node_id", "left_anti").unionByName(via).distinct(), "only")
     parts: list[DataFrame] = []
-    for (arcs_then, _), mine in zip(reversed(rounds), reversed(asked), strict=True):
-        into = arcs_then.join(mine.select(F.col("node_id").alias("b")), "b", "left_semi")
+    settled = 0
+    for (arcs_then, _, n), mine in zip(reversed(rounds), reversed(asked), strict=True):
+        settled += n
+        into = arcs_then.join(_side(mine.select(F.col("node_id").alias("b")), n), "b", "left_semi")
         found = into.where("a is null").select("source", F.col("b").alias("node_id"), *values)
         if parts:
             known = reduce(DataFrame.unionByName, parts)
             arc = into.where("a is not null").select("a", "b", *[F.col(v).alias(f"{v}2") for v in values])
-            found = found.unionByName(near(known.join(arc, F.col("node_id") == F.col("a")).select("source", F.col("b").alias("node_id"), *[c.alias(v) for v, c in followed.items()])))
+            found = found.unionByName(near(known.join(_side(arc, settled), F.col("node_id") == F.col("a")).select("source", F.col("b").alias("node_id"), *[c.alias(v) for v, c in followed.items()])))
         parts.append(step(best(found, ["source", "node_id"]), "found"))
         if len(parts) > MERGED:
             whole = step(reduce(DataFrame.unionByName, parts), "found")
             forget(*parts)
             parts = [whole]
-    forget(*[x for pair in rounds for x in pair])
+    forget(*[x for arcs_then, going, _ in rounds for x in (arcs_then, going)])
     return reduce(DataFrame.unionByName, parts) if parts else first.select("source", "node_id", *values)
 
 
@@ -163,7 +180,7 @@ def lengths(sources: DataFrame, arcs: DataFrame) -> DataFrame:
     out, tied = spans.where("least = most").select("source", "node_id", "cost", F.col("least").alias("distance")), spans.where("least < most")
     if tied.isEmpty():
         return out
-    told = routes(sources, arcs, only=tied.select("node_id").distinct()).join(tied.select("source", "node_id"), ["source", "node_id"], "left_semi")
+    told = routes(sources, arcs, only=tied.select("node_id").distinct()).join(tied.select("source", "node_id").hint("merge"), ["source", "node_id"], "left_semi")
     return out.unionByName(told.select("source", "node_id", "cost", "distance"))
 
 

@@ -24,7 +24,7 @@ def route_segments(spark, d) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.col("distance").desc(), "node_id")
     walk = r.withColumn("n", F.row_number().over(w)).where("n = 1 and size(path) > 0").select("source", F.posexplode("path").alias("i", "edge_id"))
     e = coverage.ends(spark, d).select("edge_id", "floor_id", "source", "target", "distance", "ax", "ay", F.col("bx_").alias("bx"), F.col("by_").alias("by"))
-    s = walk.withColumnRenamed("source", "start").join(e, "edge_id")
+    s = walk.withColumnRenamed("source", "start").join(e.hint("merge"), "edge_id")
     order = Window.partitionBy("start").orderBy("i")
     # An edge is entered at the end that it shares with the edge before it.
     forth = F.when(F.col("i") == 0, F.col("source") == F.col("start")).otherwise((F.col("source") == F.lag("source").over(order)) | (F.col("source") == F.lag("target").over(order)))
@@ -45,7 +45,8 @@ def samples(segments: DataFrame) -> DataFrame:
     """Positions every STEP metres, at the segments' ends and at the end of the floor's longest walk: (floor_id, at, seq, x, y).
 
     A floor may be walked more than once, as walks go on to other floors where an edge leads there; its marks are those of
-    all its walks, and a mark gives one position for each segment it lies on.
+    all its walks, and a mark gives one position for each segment it lies on. Marks are many more than the planner takes
+    them for, as rows dealt to bins are, so joins with them are told to sort and merge.
     """
     total = segments.groupBy("floor_id").agg(F.max("end_at").alias("total"))
     steps = F.transform(F.sequence(F.lit(0), F.ceil(F.col("total") / STEP).cast("int") - 1), lambda i: i * STEP)
@@ -53,7 +54,7 @@ def samples(segments: DataFrame) -> DataFrame:
     block = lambda c: F.floor(F.col(c) / BLOCK)
     s = segments.join(total, "floor_id").withColumn("block", F.explode(F.sequence(block("start_at"), block("end_at"))))
     on = (F.col("start_at") <= F.col("at")) & ((F.col("at") < F.col("end_at")) | ((F.col("at") == F.col("total")) & (F.col("end_at") == F.col("total"))))
-    return _place(marks.withColumn("block", block("at")).join(s, ["floor_id", "block"]).where(on))
+    return _place(marks.withColumn("block", block("at")).join(s.hint("merge"), ["floor_id", "block"]).where(on))
 
 
 def _place(rows: DataFrame) -> DataFrame:
