@@ -176,7 +176,7 @@ def valid_intervals(segments: DataFrame, key: list[str], geometry: Geometry, wal
     ends = segments.select(*key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     w = Window.partitionBy(*key).orderBy("t")
     kept = found.unionByName(ends).distinct().withColumn("before", F.lag("t").over(w)).where("before is null or t - before > 1e-8").drop("before")
-    pieces = kept.withColumn("hi", F.lead("t").over(w)).where("hi - t > 1e-8").withColumnRenamed("t", "lo").join(segments, key)
+    pieces = kept.withColumn("hi", F.lead("t").over(w)).where("hi - t > 1e-8").withColumnRenamed("t", "lo").join(segments.hint("merge"), key)
     mid = (F.col("lo") + F.col("hi")) / 2
     at = pieces.select(*key, "floor_id", "lo", "hi", (F.col("ax") + mid * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + mid * (F.col("by") - F.col("ay"))).alias("y"))
     free = conflicts(at, [*key, "lo"], geometry).where(f"{'conflict' if walkable else 'conflict_off_path'} is null").select(*key, "lo", "hi")
@@ -235,7 +235,7 @@ def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bo
         pairs = step(pairs.withColumn("__near", near).drop("__shapes"), "lines")
         free, pairs = pairs.where("not __near").drop("__near"), pairs.where("__near").drop("__near")
     found = step(cuts(pairs, key, geometry), "cuts")
-    meeting = found.select(*key).distinct()
+    meeting = found.select(*key).distinct().hint("merge")
     clear = pairs.join(meeting, key, "left_anti")
     clear = clear.unionByName(free) if settled else clear
     parts = valid_intervals(pairs.select(*key, "floor_id", "ax", "ay", "bx", "by").join(meeting, key, "left_semi"), key, geometry, False, found)
@@ -243,11 +243,11 @@ def visible(pairs: DataFrame, key: list[str], geometry: Geometry, open_start: bo
     if not open_start:
         starts = clear.select("floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
         ok = conflicts(starts, ["floor_id", "x", "y"], geometry).where("conflict_off_path is null").select("floor_id", F.col("x").alias("ax"), F.col("y").alias("ay"))
-        clear = clear.join(ok, ["floor_id", "ax", "ay"], "left_semi")
+        clear = clear.join(ok.hint("merge"), ["floor_id", "ax", "ay"], "left_semi")
     # A pair whose two ends are one point has no length to measure.
     point = pairs.where("ax = bx and ay = by").select(*key, "floor_id", F.col("ax").alias("x"), F.col("ay").alias("y")).join(meeting, key, "left_semi")
     seen = seen.unionByName(conflicts(point, key, geometry).where("conflict_off_path is null").select(*key))
-    return pairs.join(seen, key, "left_semi").select(*clear.columns).unionByName(clear)
+    return pairs.join(seen.hint("merge"), key, "left_semi").select(*clear.columns).unionByName(clear)
 
 
 # The same, as SQL over the tables vertex and capsule; nothing is binned there.

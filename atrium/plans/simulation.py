@@ -88,7 +88,7 @@ def connected(points: DataFrame, spark, d) -> DataFrame:
     seen = seen.withColumn("signal", F.round(100 * (1 - F.col("dist") / F.col("marginal")), 8))
     best = seen.groupBy(*key).agg(F.max(F.struct("signal", (-F.col("beacon_id")).alias("neg"), (F.col("dist") <= F.col("radius") + G.EPS).alias("ok"))).alias("b"))
     state = F.when(F.col("b").isNull(), "dead").when(F.col("b.ok"), "reliable").otherwise("weak")
-    return points.join(best, key, "left").select(*key, (-F.col("b.neg")).alias("active"), F.round("b.signal", 4).alias("signal"), state.alias("state"))
+    return points.join(best.hint("merge"), key, "left").select(*key, (-F.col("b.neg")).alias("active"), F.round("b.signal", 4).alias("signal"), state.alias("state"))
 
 
 def route_position_at(spark, d) -> DataFrame:

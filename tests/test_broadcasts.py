@@ -57,3 +57,9 @@ def test_routes_are_sorted_and_merged_where_nodes_are_many(spark, sent, monkeypa
     keys.clear()
     note(graph.routes(spark.createDataFrame([(0, 0)], "source long, node_id long"), arcs)).count()
     assert keys == [] and many
+
+
+def test_sight_of_points_is_sorted_and_merged(spark, sent):
+    keys, note = sent
+    got = note(simulation.handover_events(spark, SF, walk(spark)))
+    assert large(keys) == [] and got.where("kind = 'connect'").count() > 0
