@@ -66,8 +66,8 @@ def intervals(segments: DataFrame) -> DataFrame:
     """Stretches between neighbouring samples, placed at their middle: (floor_id, at, seq, x, y, lo, hi)."""
     w = Window.partitionBy("floor_id").orderBy("at")
     s = samples(segments).select("floor_id", F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), "seq").where("hi is not null")
-    s = s.join(segments, ["floor_id", "seq"]).withColumn("at", (F.col("lo") + F.col("hi")) / 2)
-    return _place(s).join(s.select("floor_id", "at", "lo", "hi"), ["floor_id", "at"])
+    s = s.join(segments.hint("merge"), ["floor_id", "seq"]).withColumn("at", (F.col("lo") + F.col("hi")) / 2)
+    return _place(s).join(s.select("floor_id", "at", "lo", "hi").hint("merge"), ["floor_id", "at"])
 
 
 def connected(points: DataFrame, spark, d) -> DataFrame:
@@ -139,8 +139,8 @@ def _stretches(spark, d) -> DataFrame:
     lines = s.select("floor_id", "seq", "ax", "ay", "bx", "by")
     valid = floor.valid_intervals(lines, ["floor_id", "seq"], coverage.geometry(spark, d)).withColumnsRenamed({"lo": "v0", "hi": "v1"})
     length = F.col("end_at") - F.col("start_at")
-    inside = parts.join(s.select("floor_id", "seq", "start_at", "end_at"), ["floor_id", "seq"]).join(valid, ["floor_id", "seq"]).where(((F.col("lo") - F.col("start_at")) / length >= F.col("v0") - 1e-9) & ((F.col("hi") - F.col("start_at")) / length <= F.col("v1") + 1e-9))
-    out = parts.join(states, ["floor_id", "at"]).join(inside.select("floor_id", "at", F.lit(True).alias("valid")).distinct(), ["floor_id", "at"], "left")
+    inside = parts.join(s.select("floor_id", "seq", "start_at", "end_at").hint("merge"), ["floor_id", "seq"]).join(valid.hint("merge"), ["floor_id", "seq"]).where(((F.col("lo") - F.col("start_at")) / length >= F.col("v0") - 1e-9) & ((F.col("hi") - F.col("start_at")) / length <= F.col("v1") + 1e-9))
+    out = parts.join(states.hint("merge"), ["floor_id", "at"]).join(inside.select("floor_id", "at", F.lit(True).alias("valid")).distinct().hint("merge"), ["floor_id", "at"], "left")
     return out.select("floor_id", "lo", "hi", F.when(F.col("valid"), F.col("state")).otherwise("dead").alias("state"))
 
 

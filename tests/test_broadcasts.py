@@ -63,3 +63,12 @@ def test_sight_of_points_is_sorted_and_merged(spark, sent):
     keys, note = sent
     got = note(simulation.handover_events(spark, SF, walk(spark)))
     assert large(keys) == [] and got.where("kind = 'connect'").count() > 0
+
+
+def test_stretches_of_walks_are_sorted_and_merged(spark, sent, monkeypatch):
+    keys, note = sent
+    segments = walk(spark)
+    monkeypatch.setattr(simulation, "route_segments", lambda spark, d: segments)
+    got = note(simulation.coverage_sections(spark, SF))
+    ends = got.selectExpr("min(start_at) as a", "max(end_at) as b", "round(sum(end_at - start_at), 6) as m").first()
+    assert large(keys) == [] and tuple(ends) == (0.0, 44.0, 44.0)
