@@ -154,7 +154,7 @@ def handover_stats(spark, d) -> DataFrame:
     """Handovers, connections, mean metres between connections and the largest distance between beacons that follow each other."""
     w = Window.partitionBy("floor_id").orderBy("at")
     place = derived(spark, d, "beacon").select(F.col("beacon_id").alias("to_beacon"), "x", "y")
-    c = handover_events(spark, d).where("to_beacon is not null").join(place, "to_beacon")
+    c = handover_events(spark, d).where("to_beacon is not null").join(place.hint("merge"), "to_beacon")
     apart = G.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w))
     c = c.withColumn("gap", F.col("at") - F.lag("at").over(w)).withColumn("apart", apart)
     return c.groupBy("floor_id").agg(F.count_if(F.col("kind") == "handover").alias("handovers"), F.count(F.lit(1)).alias("connections"), F.round(F.avg("gap"), 6).alias("mean_metres"), F.round(F.max("apart"), 6).alias("largest_separation"))

@@ -72,3 +72,11 @@ def test_stretches_of_walks_are_sorted_and_merged(spark, sent, monkeypatch):
     got = note(simulation.coverage_sections(spark, SF))
     ends = got.selectExpr("min(start_at) as a", "max(end_at) as b", "round(sum(end_at - start_at), 6) as m").first()
     assert large(keys) == [] and tuple(ends) == (0.0, 44.0, 44.0)
+
+
+def test_beacons_of_handovers_are_sorted_and_merged(spark, sent, monkeypatch):
+    keys, note = sent
+    events = graph.step(spark.createDataFrame([(0, 1.0, None, 3, "connect"), (0, 4.0, 3, 5, "handover"), (0, 6.0, 5, None, "lost")], "floor_id long, at double, from_beacon long, to_beacon long, kind string"), "events")
+    monkeypatch.setattr(simulation, "handover_events", lambda spark, d: events)
+    got = note(simulation.handover_stats(spark, SF))
+    assert large(keys) == [] and [(r.handovers, r.connections, r.mean_metres) for r in got.collect()] == [(1, 2, 3.0)]
